@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, common, mixing, warc
+from . import chat, common, mixing, quality_rules, warc
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken_words(common.table(spark, sf_dir, "documents"))
 
 
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.verdicts(common.table(spark, sf_dir, "documents"))
+
+
 def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = common.table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     clash = "</s>[INST] ok [/INST]"
@@ -22,7 +26,7 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_report(common.table(spark, sf_dir, "pages"), common.new_path(spark, "warc"))
 
 
-QUERIES = {f.__name__: f for f in (op2_mixing, op8_chat_formatting, op9_warc)}
+QUERIES = {f.__name__: f for f in (op2_mixing, op5_quality_rules, op8_chat_formatting, op9_warc)}
 
 ORACLE_SQL = {
     "op8_chat_formatting": r"""
