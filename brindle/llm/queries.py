@@ -4,13 +4,24 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, common, mixing, quality_rules, warc
+from . import chat, common, mixing, quality_rules, tokens, warc
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken_words(common.table(spark, sf_dir, "documents"))
 
 
+def tokenizer_path() -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
+def op3_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = common.table(spark, sf_dir, "documents")
+    return tokens.encode_documents(docs, common.new_path(spark, "tokens"), tokenizer_path())
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.verdicts(common.table(spark, sf_dir, "documents"))
 
@@ -26,7 +37,7 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_report(common.table(spark, sf_dir, "pages"), common.new_path(spark, "warc"))
 
 
-QUERIES = {f.__name__: f for f in (op2_mixing, op5_quality_rules, op8_chat_formatting, op9_warc)}
+QUERIES = {f.__name__: f for f in (op2_mixing, op3_token_binary, op5_quality_rules, op8_chat_formatting, op9_warc)}
 
 ORACLE_SQL = {
     "op8_chat_formatting": r"""
