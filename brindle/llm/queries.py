@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, common, mixing, quality_rules, tokens, warc
+from . import chat, common, mixing, neardup, quality_rules, tokens, warc
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,6 +22,10 @@ def op3_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tokens.encode_documents(docs, common.new_path(spark, "tokens"), tokenizer_path())
 
 
+def op4_minhash_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.contract(common.table(spark, sf_dir, "documents"))
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.verdicts(common.table(spark, sf_dir, "documents"))
 
@@ -37,7 +41,7 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_report(common.table(spark, sf_dir, "pages"), common.new_path(spark, "warc"))
 
 
-QUERIES = {f.__name__: f for f in (op2_mixing, op3_token_binary, op5_quality_rules, op8_chat_formatting, op9_warc)}
+QUERIES = {f.__name__: f for f in (op2_mixing, op3_token_binary, op4_minhash_neardup, op5_quality_rules, op8_chat_formatting, op9_warc)}
 
 ORACLE_SQL = {
     "op8_chat_formatting": r"""
