@@ -4,7 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, common, decontam, mixing, neardup, quality_rules, secrets, tokens, warc
+from . import chat, common, decontam, mixing, neardup, quality_rules, secrets, tokens, toxicity, warc
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.contract(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels"))
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,7 +53,7 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_report(common.table(spark, sf_dir, "pages"), common.new_path(spark, "warc"))
 
 
-QUERIES = {f.__name__: f for f in (op2_mixing, op3_token_binary, op4_minhash_neardup, op5_quality_rules, op6_secret_scans, op7_decontamination, op8_chat_formatting, op9_warc)}
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_mixing, op3_token_binary, op4_minhash_neardup, op5_quality_rules, op6_secret_scans, op7_decontamination, op8_chat_formatting, op9_warc)}
 
 ORACLE_SQL = {
     "op8_chat_formatting": r"""
