@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import chat, common, decontam, mixing, neardup, quality_rules, secrets, tokens, toxicity, warc
+from . import chat, common, decontam, mixing, neardup, quality_knn, quality_rules, secrets, tokens, toxicity, warc
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -53,7 +53,11 @@ def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_report(common.table(spark, sf_dir, "pages"), common.new_path(spark, "warc"))
 
 
-QUERIES = {f.__name__: f for f in (op1_toxicity, op2_mixing, op3_token_binary, op4_minhash_neardup, op5_quality_rules, op6_secret_scans, op7_decontamination, op8_chat_formatting, op9_warc)}
+def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_knn.contract(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "labels"))
+
+
+QUERIES = {f.__name__: f for f in (op1_toxicity, op2_mixing, op3_token_binary, op4_minhash_neardup, op5_quality_rules, op6_secret_scans, op7_decontamination, op8_chat_formatting, op9_warc, op10_quality_classifier)}
 
 ORACLE_SQL = {
     "op8_chat_formatting": r"""
