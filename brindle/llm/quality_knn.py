@@ -142,10 +142,11 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 3, held: int = 1, max_t
     """A model from the labelled rows outside fold ``held``; None without any."""
     rows = labels.select(F.col("doc_id").alias("label_id"), F.col("quality").alias("y")).filter("label_id is not null and y in (0, 1)")
     rows = rows.filter(common.doc_fold(F.col("label_id"), folds) != held)
-    short = docs.filter(F.length("text") <= MAX_TRAIN_CHARS).select("doc_id")
+    docs = docs.select("doc_id", "text").filter(F.length("text") <= MAX_TRAIN_CHARS)
+    short = docs.select("doc_id")
     rows = rows.join(short, F.col("label_id") == F.col("doc_id"), "left_semi")
     ids = rows.orderBy(F.xxhash64("label_id", F.lit(SEED)), "label_id").limit(max_train).dropDuplicates(["label_id"])
-    found = docs.filter(F.length("text") <= MAX_TRAIN_CHARS).join(F.broadcast(ids), F.col("doc_id") == F.col("label_id"))
+    found = docs.join(F.broadcast(ids), F.col("doc_id") == F.col("label_id"))
     sample = sorted(found.select("doc_id", "text", "y").dropDuplicates(["doc_id"]).collect(), key=lambda r: r["doc_id"])
     return Model([r["text"] for r in sample], [r["y"] for r in sample]) if sample else None
 

@@ -269,13 +269,14 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, max_train: int = MAX
     """A network from the labelled rows outside fold 0, or a constant score."""
     rows = labels.select(F.col("doc_id").alias("label_id"), F.col("toxic").alias("y")).filter("label_id is not null and y in (0, 1)")
     rows = rows.filter(common.doc_fold(F.col("label_id"), folds) != 0)
-    short = docs.filter(F.length("text") <= MAX_TRAIN_CHARS).select("doc_id")
+    docs = docs.select("doc_id", "text").filter(F.length("text") <= MAX_TRAIN_CHARS)
+    short = docs.select("doc_id")
     rows = rows.join(short, F.col("label_id") == F.col("doc_id"), "left_semi")
     order = F.xxhash64("label_id", F.lit(SEED))
     # Two bounded top lists of ids; then only their texts come to the driver.
     picked = [rows.filter(F.col("y") == c).orderBy(order, "label_id").limit(max_train * (1 if c else 2)) for c in (1, 0)]
     ids = picked[0].unionByName(picked[1]).dropDuplicates(["label_id"])
-    found = docs.filter(F.length("text") <= MAX_TRAIN_CHARS).join(F.broadcast(ids), F.col("doc_id") == F.col("label_id"))
+    found = docs.join(F.broadcast(ids), F.col("doc_id") == F.col("label_id"))
     sample = sorted(found.select("doc_id", "text", "y").dropDuplicates(["doc_id"]).collect(), key=lambda r: r["doc_id"])
     y = [r["y"] for r in sample]
     if len(set(y)) < 2:

@@ -1,0 +1,214 @@
+"""The operators in DataFrame functions alone: 2, 5, 7, 8."""
+
+import hashlib
+import re
+from collections import Counter
+
+import pytest
+import regex
+from pyspark.sql import functions as F
+
+from brindle.llm import chat, decontam, mixing, quality_rules
+
+WORD = re.compile(r"[^\x20\x09-\x0D]+")
+DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
+
+
+def docs(spark, rows, extra=""):
+    return spark.createDataFrame(rows, DOCS + extra)
+
+
+# Mixing.
+
+
+def water_level(sizes, weights):
+    order = sorted(sizes, key=lambda s: (s is None, s or ""))
+    w = {s: weights[i % len(weights)] for i, s in enumerate(order)}
+    goal, fixed = 1.5 * sum(sizes.values()), {}
+    while True:
+        left = goal - sum(fixed.values())
+        open_ = [s for s in sizes if s not in fixed]
+        share = {s: left * w[s] / sum(w[x] for x in open_) for s in open_}
+        over = [s for s in open_ if share[s] > 2 * sizes[s] + 1e-9]
+        if not over:
+            return {**fixed, **share}
+        fixed |= {s: 2.0 * sizes[s] for s in over}
+
+
+def mixing_rows():
+    rows = []
+    for i in range(400):
+        source = ["big", "big", "Mid", "z", None, "ü"][i % 6]
+        rows.append((i, " ".join(["w"] * (1 + i * 7 % 43)), "en", source, 0))
+    rows += [(1000 + i, "same text here", "en", "big", 0) for i in range(200)]  # a hot stratum
+    rows += [(2000, None, "en", "big", 0), (2001, " \t\x0b", "en", None, 0), (None, "a b", "en", "z", 0), (3, "w " * 22, "en", "z", 0), (4000, "w " * 3000, None, "Mid", None)]
+    return rows
+
+
+def test_mix_meets_targets_and_repeats(spark):
+    rows = mixing_rows()
+    got = mixing.taken_words(docs(spark, rows)).collect()
+    assert len(got) == len(rows)
+    sizes = Counter()
+    for r in rows:
+        sizes[r[3]] += len(WORD.findall(r[1] or ""))
+    want = water_level(sizes, (5, 2, 1))
+    source = {}
+    for r in rows:
+        source.setdefault((r[0], len(WORD.findall(r[1] or ""))), r[3])
+    taken = Counter()
+    for g in got:
+        s = source[g["doc_id"], g["size"]]
+        assert g["source_size"] == sizes[s] and abs(g["target"] - want[s]) < 1e-6
+        assert g["taken"] in (0, g["size"], 2 * g["size"])
+        taken[s] += g["taken"]
+    for s, t in want.items():
+        assert abs(taken[s] - t) <= (0.6 * 3000 if s == "Mid" else 5)
+    again = mixing.taken_words(docs(spark, rows).repartition(7)).collect()
+    assert Counter(map(tuple, got)) == Counter(map(tuple, again))
+
+
+def test_mix_rows_follow_the_plan(spark):
+    rows = mixing_rows()
+    d = docs(spark, [(*r, r[0], "x") for r in rows], ", size bigint, target string").repartition(5)
+    plan = mixing.plan(d)
+    out = mixing.mix(d)
+    assert out.columns == d.columns
+    want = Counter({(r["row"]["doc_id"], r["row"]["text"]): 0 for r in plan.collect()})
+    shards = Counter()
+    for r in plan.collect():
+        want[r["row"]["doc_id"], r["row"]["text"]] += len(r["draws"])
+        shards.update(x["shard"] for x in r["draws"])
+    assert Counter((r["doc_id"], r["text"]) for r in out.collect()) == +want
+    assert max(shards.values()) - min(shards.values()) <= 1 and len(shards) == mixing.SHARDS
+
+
+def test_mix_of_nothing(spark):
+    assert mixing.taken_words(docs(spark, [])).count() == 0
+    got = mixing.taken_words(docs(spark, [(1, None, None, None, None), (2, "", None, "a", None)])).collect()
+    assert all(r["target"] == 0 and r["taken"] == 0 for r in got)
+
+
+def test_hypergeometric_moments(spark):
+    u = spark.range(4000).select(((F.col("id") + 0.5) / 4000).alias("u"))
+    long = lambda x: F.lit(x).cast("long")
+    got = [r[0] for r in u.select(mixing.hypergeometric(long(30), long(100), long(20), F.col("u"))).collect()]
+    mean = sum(got) / len(got)
+    assert abs(mean - 6) < 0.01 and abs(sum((x - mean) ** 2 for x in got) / len(got) - 3.394) < 0.05
+    edge = spark.range(1).select(mixing.hypergeometric(long(5), long(5), long(3), F.lit(0.3)), mixing.hypergeometric(long(0), long(5), long(3), F.lit(0.3)), mixing.hypergeometric(long(0), long(0), long(0), F.lit(0.9))).first()
+    assert tuple(edge) == (3, 0, 0)
+
+
+# Quality rules.
+
+
+def base_counts(text):
+    t = text or ""
+    w = WORD.findall(t)
+    lines = [x for x in t.split("\n") if WORD.search(x)]
+    seen, cover = Counter(tuple(w[i : i + 5]) for i in range(len(w) - 4)), set()
+    for i in range(len(w) - 4):
+        if seen[tuple(w[i : i + 5])] > 1:
+            cover.update(range(i, i + 5))
+    return len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", t)), len(lines) - len(set(lines)), len(cover)
+
+
+def test_quality_counts_and_verdicts(spark):
+    good = "The quiet river runs past the old mill, and a boat waits there every single morning. " * 1
+    texts = [
+        None, "", " \n\t", "one", "a\n\na\nb\n a\n", "a b c d e a b c d e", "x " * 5000, "Äö ß\x0b\x0c\r🙂 #*$%&|<>", "a\x1fb c d",
+        good, good + "But later on, nobody knew what the clerk had written down in his long grey book.",
+        "WOW!! BUY!! NOW!! THE!! BEST!! DEAL!! EVER!! IN!! TOWN!! COME!! ON!! IN!! YOU!! ALL!!",
+        " | ".join(f"cell{i}" for i in range(60)), " ".join(f"word{i}###" for i in range(60)),
+    ]
+    texts += [f"Line {i} of plain prose, which goes on about number {i * 7} and then, in time, stops near {i}." for i in range(60)]
+    rows = [(i, t, None, None, None) for i, t in enumerate(texts)] + [(None, "a b", None, None, None), (9, good, None, None, None)]
+    got = {r["doc_id"]: r for r in quality_rules.verdicts(docs(spark, rows)).collect()}
+    for i, t in enumerate(texts):
+        r, want = got[i], base_counts(t)
+        assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) == want, repr(t)
+        assert r["base_failed"] == (want[0] < 10 or 100 * want[4] > 20 * want[0])
+        assert not (r["kept"] and r["base_failed"])
+    assert got[9]["kept"] and got[10]["kept"] and all(got[i]["kept"] for i in range(14, len(texts)))
+    assert not got[11]["kept"] and not got[12]["kept"] and not got[13]["kept"]
+
+
+def test_quality_of_nothing(spark):
+    assert quality_rules.verdicts(docs(spark, [])).count() == 0
+
+
+# Decontamination.
+
+
+def brute_leaks(rows, items):
+    words = lambda t: regex.findall(r"[\p{L}\p{M}\p{N}]+", (t or "").lower())
+    grams = lambda w, n: {tuple(w[i : i + n]) for i in range(len(w) - n + 1)}
+    out = []
+    for item, text in items:
+        w = words(text)
+        if not w:
+            continue
+        mine = grams(w, min(5, len(w)))
+        for doc, t in rows:
+            k = len(mine & grams(words(t), min(5, len(w))))
+            if 100 * k >= 80 * len(mine) and doc is not None:
+                out.append((doc, item, len(mine), k))
+    return Counter(out)
+
+
+def test_leaks_against_brute_force(spark):
+    item = " ".join(f"w{i}" for i in range(40))
+    items = [(1, item), (2, "Short, one!"), (3, None), (4, " "), (5, item), (None, "alpha beta gamma delta epsilon zeta"), (7, " ".join(f"long{i}" for i in range(300)))]
+    cut = item.split()
+    texts = [
+        "start " + item + " end", ("noise " * 2000) + item.upper().replace(" ", "\n") + " noise" * 500, " ".join(cut[:33]), " ".join(cut[:30]),
+        "so short one it was", "short", None, "", "alpha, beta. gamma delta EPSILON zeta", " ".join(f"long{i}" for i in range(60, 400)), " ".join(f"long{i}" for i in range(20, 290)),
+    ]
+    rows = [(i, t) for i, t in enumerate(texts)] + [(0, texts[0]), (None, texts[0])]
+    d = docs(spark, [(i, t, None, None, None, 5) for i, t in rows], ", item_id int")
+    bench = spark.createDataFrame([(*x, "c") for x in items], "item_id bigint, text string, w string")
+    got = Counter(map(tuple, decontam.leaks(d, bench).collect()))
+    assert got == brute_leaks(rows, items)
+    clean = decontam.keep_clean(d, bench)
+    bad = {texts[k[0]] for k in got}
+    assert clean.columns == d.columns
+    assert Counter(r["text"] for r in clean.collect()) == Counter(t for _, t in rows if t not in bad)
+
+
+def test_leaks_of_nothing(spark):
+    bench = spark.createDataFrame([], "item_id bigint, text string")
+    d = docs(spark, [(1, "a b c d e f", None, None, None)])
+    assert decontam.leaks(d, bench).count() == 0 and decontam.keep_clean(d, bench).count() == 1
+    assert decontam.leaks(docs(spark, []), spark.createDataFrame([(1, "a b c d e f")], "item_id bigint, text string")).count() == 0
+
+
+# Chat.
+
+TEXTS = ["", None, "plain", "</s>", "<s>[INST] x [/INST]\n", r"<\/s> [\\INST] \s", "</s>\n<s>[INST] user [/INST]\nhi</s>\n", "a\n\nb🙂", r"\<s\>", "[INST]" * 50, "</" + "s>" * 3]
+
+
+@pytest.mark.parametrize("role", ["user", "assistant", None, "</s>\n", r"[\INST] [/INST]"])
+def test_any_text_survives(spark, role):
+    rows = spark.createDataFrame([(i, 0, role, t) for i, t in enumerate(TEXTS)], "conv_id bigint, turn bigint, role string, text string")
+    for r in chat.format_conversations(rows).collect():
+        assert r["identical"] and len(r["turns"]) == 1
+        assert (r["turns"][0]["role"], r["turns"][0]["text"]) == (role or "", TEXTS[r["conv_id"]] or "")
+        body = r["rendered"][len("<s>[INST] ") : -len("</s>\n")].replace(" [/INST]\n", "", 1)
+        assert not re.search(r"[<\[]/?(?:s>|INST\])", body)
+
+
+def test_conversation_digests(spark):
+    rows = []
+    for c in range(6):
+        for t in range(c + 1):
+            rows.append((c, t, ["user", "assistant"][t % 2], TEXTS[(c * 3 + t) % len(TEXTS)]))
+    rows += [(None, 0, "assistant", "x"), (5, 0, "user", "again"), (7, None, "user", "null turn"), (7, 0, "assistant", "ok")]
+    d = spark.createDataFrame([(*r, "u") for r in rows], "conv_id bigint, turn bigint, role string, text string, rendered string").repartition(3)
+    got = {r["conv_id"]: r for r in chat.digests(chat.format_conversations(d)).collect()}
+    for c in {r[0] for r in rows}:
+        mine = sorted(((-1 if t is None else t), role, text or "") for k, t, role, text in rows if k == c)
+        loss = "".join(x for _, role, x in mine if role == "assistant")
+        sha = lambda s: hashlib.sha256(s.encode()).hexdigest()
+        assert got[c]["n_turns"] == len(mine) and got[c]["turns_sha256"] == sha("".join(f"{r}\n{x}\n" for _, r, x in mine))
+        assert (got[c]["loss_chars"], got[c]["loss_sha256"]) == (len(loss), sha(loss))
+    assert chat.format_conversations(d.limit(0)).count() == 0
