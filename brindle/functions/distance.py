@@ -1,6 +1,6 @@
 """Vector distances as JVM expressions over array<float> columns.
 
-Vectors of different lengths are an error.  Smaller is closer in all three.
+Vectors of different lengths are an error, a null vector gives null.  Smaller is closer in all three.
 Sums run in double, in array order.
 """
 
@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 def _sum(a: Column, b: Column, term) -> Column:
     parts = F.zip_with(a, b, lambda x, y: term(x.cast("double"), y.cast("double")))
     total = F.aggregate(parts, F.lit(0.0), lambda s, x: s + x)
-    return F.when(F.size(a) == F.size(b), total).otherwise(F.raise_error(F.lit("vectors differ in length")).cast("double"))
+    return F.when(a.isNull() | b.isNull(), None).when(F.size(a) == F.size(b), total).otherwise(F.raise_error(F.lit("vectors differ in length")).cast("double"))
 
 
 def dot(a: Column, b: Column) -> Column:
