@@ -60,6 +60,40 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {f.__name__: f for f in (op1_toxicity, op2_mixing, op3_token_binary, op4_minhash_neardup, op5_quality_rules, op6_secret_scans, op7_decontamination, op8_chat_formatting, op9_warc, op10_quality_classifier)}
 
 ORACLE_SQL = {
+    "op4_minhash_neardup": r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w
+  FROM documents
+), s AS (
+  SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) = 1 THEN [w[1]]
+    ELSE list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) END AS s
+  FROM w
+), n AS (SELECT doc_id, CAST(len(s) AS BIGINT) AS n FROM s
+), x AS (SELECT doc_id, unnest(s) AS g FROM s
+), c AS (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM x a JOIN x b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2
+), e AS (
+  SELECT a, b FROM c JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE 100 * k >= 80 * (p.n + q.n - k)
+), u AS (SELECT a, b FROM e UNION SELECT b, a FROM e
+), r AS (SELECT doc_id, doc_id AS seen FROM n UNION SELECT r.doc_id, u.b FROM r JOIN u ON u.a = r.seen
+)
+SELECT n.doc_id, max(n.n) AS n_shingles, min(seen) AS component_id, n.doc_id = min(seen) AS kept
+FROM n JOIN r ON r.doc_id = n.doc_id GROUP BY n.doc_id
+""",
+    "op7_decontamination": r"""
+WITH i AS (
+  SELECT item_id, w, least(len(w), 5) AS width FROM (SELECT item_id, regexp_extract_all(lower(text), '[\p{L}\p{M}\p{N}]+') AS w FROM benchmark) WHERE len(w) > 0
+), si AS (
+  SELECT item_id, width, unnest(list_distinct(list_transform(range(1, len(w) - width + 2), lambda j: list_aggregate(w[j : j + width - 1], 'string_agg', ' ')))) AS g FROM i
+), ni AS (SELECT item_id, count(*) AS n FROM si GROUP BY item_id
+), d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{L}\p{M}\p{N}]+') AS w FROM documents
+), sd AS (
+  SELECT doc_id, width, unnest(list_distinct(list_transform(range(1, len(w) - width + 2), lambda j: list_aggregate(w[j : j + width - 1], 'string_agg', ' ')))) AS g
+  FROM d, (SELECT DISTINCT width FROM i) WHERE len(w) >= width
+)
+SELECT sd.doc_id, si.item_id, CAST(max(n) AS INTEGER) AS n_shingles, CAST(count(*) AS INTEGER) AS n_shared
+FROM sd JOIN si USING (width, g) JOIN ni ON ni.item_id = si.item_id GROUP BY sd.doc_id, si.item_id HAVING 100 * count(*) >= 80 * max(n)
+""",
     "op8_chat_formatting": r"""
 WITH rows AS (
   SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
