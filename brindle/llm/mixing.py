@@ -222,11 +222,16 @@ def plan(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, max_re
 
 
 def mix(docs: DataFrame, shards: int = SHARDS, **options) -> DataFrame:
-    """The mixed documents themselves: columns of ``docs``, a row per copy,
-    one partition per shard, shuffled inside it."""
+    """The mixed documents themselves: columns of ``docs``, a row per copy.
+
+    A shard is dealt out in slices of its permuted places, as many as the
+    session's shuffle partitions ask for, and each slice is shuffled inside.
+    """
+    parts = max(shards, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    slices = 8 * -(-parts // shards)
     drawn = plan(docs, shards=shards, **options).select("row", F.explode("draws").alias("draw"))
-    dealt = drawn.repartition(shards, "draw.shard").sortWithinPartitions("draw.shard", "draw.place")
-    return dealt.select("row.*")
+    dealt = drawn.repartition(parts, F.col("draw.shard"), F.pmod("draw.place", _long(slices)))
+    return dealt.sortWithinPartitions("draw.shard", "draw.place").select("row.*")
 
 
 def taken_words(docs: DataFrame, **options) -> DataFrame:
