@@ -11,8 +11,8 @@ counted map-side, so thousands of copies are one row per task).  Links are
 then looked for between classes in three rounds, none of which emits all
 pairs of a group: (1) each class against the least class it shares a band
 with, (2) each member of a group that is not yet joined to the group's least
-member, against that one, (3) what is still apart, pair by pair across
-components.  Every pair whose sizes allow a link is confirmed on the full
+member (its hub), against that one, (3) what is still apart from a hub,
+against all that share the hub, in blocks with an inverted index.  Every pair whose sizes allow a link is confirmed on the full
 sets, made anew from the whole texts.  Components come from contraction.
 
 Defined results: null, empty or blank text has an empty set and is linked
@@ -182,6 +182,62 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, width: int, similarity: tuple
     return common.materialize(both.select("a", "b", "text_a", "text_b").mapInArrow(_confirmer(width, similarity), "a bigint, b bigint"), tag)
 
 
+LEFT, RIGHT = 256, 1024
+
+
+def _block_linker(width: int, similarity: tuple[int, int]):
+    part, whole = similarity
+
+    def link(table: pa.Table) -> pa.Table:
+        """Exact similarity of a block's left sets with its right ones through an
+        inverted index; one link per left document and component is enough."""
+        rows = table.to_pylist()
+        sets = shingle_sets([r["text"] for r in rows], width, _Words())
+        right = [i for i, r in enumerate(rows) if not r["is_left"]]
+        out = []
+        if right:
+            sizes = np.array([len(sets[i]) for i in right])
+            flat, owner = np.concatenate([sets[i] for i in right]), np.repeat(np.arange(len(right)), sizes)
+            order = np.argsort(flat, kind="stable")
+            flat, owner = flat[order], owner[order]
+            components = np.array([rows[i]["component"] for i in right])
+            for i, r in enumerate(rows):
+                if not r["is_left"] or not len(sets[i]):
+                    continue
+                low, high = np.searchsorted(flat, sets[i], "left"), np.searchsorted(flat, sets[i], "right")
+                n = high - low
+                at = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())
+                shared = np.bincount(owner[at], minlength=len(right))
+                hit = (shared > 0) & (whole * shared >= part * (len(sets[i]) + sizes - shared)) & (components != r["component"])
+                for j in {int(c): int(j) for j, c in zip(np.flatnonzero(hit), components[hit], strict=True)}.values():
+                    out.append((r["node"], rows[right[j]]["node"]))
+        return pa.table({"a": pa.array([x[0] for x in out], pa.int64()), "b": pa.array([x[1] for x in out], pa.int64())})
+
+    return link
+
+
+def _linked_apart(apart: DataFrame, texts: DataFrame, width: int, similarity: tuple[int, int]) -> DataFrame | None:
+    """Links (a, b) between nodes that share a hub and are still in different
+    components.  The nodes outside the hub's component are the left side, all
+    nodes the right one; both are cut into blocks, so a row is copied once per
+    opposite block and no task holds more than a block pair.  None if there is
+    nothing left to compare (a hub and one node were compared before)."""
+    units = common.materialize(apart.select("hub", "node", "component").distinct(), "dup-units")
+    own = units.filter("node = hub").select("hub", F.col("component").alias("hub_component"))
+    units = units.join(own, "hub").withColumn("is_left", F.col("component") != F.col("hub_component"))
+    counts = units.groupBy("hub").agg(F.count("*").alias("n"), F.sum(F.col("is_left").cast("int")).alias("n_left")).filter("n > 2 and n_left > 0")
+    counts = counts.select("hub", F.ceil(F.col("n_left") / LEFT).alias("lefts"), F.ceil(F.col("n") / RIGHT).alias("rights"))
+    units = units.join(counts, "hub")
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    left = units.filter("is_left").select("hub", F.pmod(F.xxhash64("node"), F.col("lefts")).alias("i"), every("rights").alias("j"), "node", "component", "is_left")
+    right = units.select("hub", every("lefts").alias("i"), F.pmod(F.xxhash64("node"), F.col("rights")).alias("j"), "node", "component", F.lit(False).alias("is_left"))
+    blocks = common.materialize(left.unionByName(right), "dup-blocks")
+    if blocks.isEmpty():
+        return None
+    filled = blocks.join(texts.select(F.col("doc_id").alias("node"), "text"), "node")
+    return common.materialize(filled.groupBy("hub", "i", "j").applyInArrow(_block_linker(width, similarity), "a bigint, b bigint"), "dup-links")
+
+
 def classify(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, similarity: tuple[int, int] = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """(doc_id, n_shingles, component_id) per row of ``docs`` (doc_id, text)."""
     part, whole = similarity
@@ -207,23 +263,20 @@ def classify(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, similarity: tu
     same = full.join(classes, ["d0", "d1"]).filter("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
     edges = common.materialize(_confirmed(tested, texts, shingle_words, similarity, "dup-links").unionByName(same), "dup-edges")
     found = connected_components(edges)
-    for last in (False, True):
+
+    def apart() -> DataFrame:
+        """Members of band groups that hold more than one component."""
         placed = members.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        apart = placed.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).filter("c0 < c1").select("key")
-        placed = common.materialize(placed.join(apart, "key").select("key", "node", "hub", "component"), "dup-apart")
-        if last:
-            other = placed.select("key", F.col("node").alias("b"), F.col("component").alias("cb"))
-            pairs = placed.select("key", F.col("node").alias("a"), F.col("component").alias("ca")).join(other, "key").filter("ca > cb")
-        else:
-            own = placed.filter("node = hub").select("key", F.col("component").alias("cb"))
-            pairs = placed.join(own, "key").filter("component <> cb").select(F.col("node").alias("a"), F.col("hub").alias("b"))
-        pairs = possible(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-        pairs = common.materialize(pairs.join(tested, ["a", "b"], "left_anti"), "dup-pairs")
-        if pairs.isEmpty():
-            continue
-        new = _confirmed(pairs, texts, shingle_words, similarity, "dup-links")
-        tested = tested.unionByName(pairs)
-        if not new.isEmpty():
+        mixed = placed.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).filter("c0 < c1").select("key")
+        return common.materialize(placed.join(mixed, "key").select("key", "node", "hub", "component"), "dup-apart")
+
+    placed = apart()
+    own = placed.filter("node = hub").select("key", F.col("component").alias("cb"))
+    pairs = placed.join(own, "key").filter("component <> cb").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
+    pairs = common.materialize(possible(pairs).join(tested, ["a", "b"], "left_anti"), "dup-pairs")
+    for more in (lambda: _confirmed(pairs, texts, shingle_words, similarity, "dup-links"), lambda: _linked_apart(apart(), texts, shingle_words, similarity)):
+        new = more()
+        if new is not None and not new.isEmpty():
             edges = edges.unionByName(new)
             found = connected_components(edges)
     out = signed.select("doc_id", "n_shingles").join(found.select(F.col("node").alias("doc_id"), "component"), "doc_id", "left")
