@@ -42,7 +42,7 @@ MAX_WORDS = 20_000
 WINDOW, STRIDE = 32, 16
 HIDDEN, WORD_DIM, CHAR_DIM = 8, 8, 16
 HEAD, TAIL, CODES = 10, 4, 128
-EPOCHS = 6
+BATCH, STEPS, ENOUGH = 48, 450, 0.003
 SEED = 11
 KNOWN_WORDS = 300_000
 
@@ -66,6 +66,15 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -30, 30)))
 
 
+def _add_rows(out: np.ndarray, index: np.ndarray, rows: np.ndarray) -> None:
+    """``out[index] += rows`` where an index may repeat: sums of sorted runs."""
+    if len(index):
+        order = np.argsort(index, kind="stable")
+        at = index[order]
+        first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
+        out[at[first]] += np.add.reduceat(rows[order], first, axis=0)
+
+
 class Network:
     """Parameters and the passes over windows (ids: windows x steps into a word table)."""
 
@@ -134,10 +143,10 @@ class Network:
         return self.pool(both, ids)[0]
 
 
-def windows(ids: np.ndarray) -> np.ndarray:
-    """All overlapping windows over a text's word ids; 0 pads the last."""
+def windows(ids: np.ndarray, stride: int = STRIDE) -> np.ndarray:
+    """All windows over a text's word ids, ``stride`` apart; 0 pads the last."""
     n = len(ids)
-    starts = np.arange(0, max(1, n - STRIDE), STRIDE)
+    starts = np.arange(0, max(1, n - WINDOW + stride), stride)
     padded = np.zeros(starts[-1] + WINDOW, ids.dtype)
     padded[:n] = ids[: len(padded)]
     return padded[starts[:, None] + np.arange(WINDOW)]
@@ -151,7 +160,9 @@ def document_logits(z: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return np.add.reduceat(e * z, starts) / np.add.reduceat(e, starts)
 
 
-def train(texts: list[str], labels: list[int], seed: int = SEED, epochs: int = EPOCHS) -> Network:
+def train(texts: list[str], labels: list[int], seed: int = SEED, steps: int = STEPS) -> Network:
+    """About ``steps`` steps of Adam whatever the size of the sample, fewer once
+    the mean loss of an epoch is below ``ENOUGH``."""
     split = [split_words(t) for t in texts]
     seen = Counter(w for ws in split for w in set(ws))
     vocabulary = sorted((w for w, n in seen.items() if n >= MIN_DOCS), key=lambda w: (-seen[w], w))[:MAX_WORDS]
@@ -160,7 +171,8 @@ def train(texts: list[str], labels: list[int], seed: int = SEED, epochs: int = E
     index = {w: i + 1 for i, w in enumerate(dict.fromkeys(w for ws in split for w in ws))}
     word_ids = np.array([net.vocabulary.get(w, 0) for w in index], np.int64)
     codes = char_codes(list(index))
-    docs = [windows(np.array([index[w] for w in ws], np.int64)) for ws in split]
+    # Every word counts once in training; overlapping windows are for scoring.
+    docs = [windows(np.array([index[w] for w in ws], np.int64), WINDOW) for ws in split]
     y = np.array(labels, np.float32)
     share = y.mean()
     weight = np.where(y > 0, 0.5 / share, 0.5 / (1 - share)) ** 0.5
@@ -168,10 +180,11 @@ def train(texts: list[str], labels: list[int], seed: int = SEED, epochs: int = E
     v = {k: np.zeros_like(x) for k, x in net.p.items()}
     step = 0
     h = HIDDEN
-    for epoch in range(epochs):
-        order = g.permutation(len(docs))
-        for at in range(0, len(order), 48):
-            pick = order[at : at + 48]
+    batches = -(-len(docs) // BATCH)
+    for epoch in range(-(-steps // batches)):
+        order, loss = g.permutation(len(docs)), 0.0
+        for at in range(0, len(order), BATCH):
+            pick = order[at : at + BATCH]
             ids = np.concatenate([docs[i] for i in pick])
             starts = np.cumsum([0, *(len(docs[i]) for i in pick[:-1])])
             used, local = np.unique(ids, return_inverse=True)
@@ -188,6 +201,7 @@ def train(texts: list[str], labels: list[int], seed: int = SEED, epochs: int = E
             counts = np.diff(np.append(starts, len(z)))
             doc_z = document_logits(z, starts)
             error = (_sigmoid(doc_z) - y[pick]) * weight[pick] / len(pick)
+            loss += float(np.logaddexp(0, np.where(y[pick] > 0, -doc_z, doc_z)).sum())
             e = np.exp(z - np.repeat(np.maximum.reduceat(z, starts), counts))
             soft = e / np.repeat(np.add.reduceat(e, starts), counts)
             dz = np.repeat(error, counts) * soft * (1 + z - np.repeat(doc_z, counts))
@@ -205,6 +219,7 @@ def train(texts: list[str], labels: list[int], seed: int = SEED, epochs: int = E
                 u, w = net.p[f"u{s}"], net.p[f"w{s}"]
                 d_gate = np.zeros_like(gates[k])
                 d_state = np.zeros((len(ids), h), np.float32)
+                owners, parts = [], []
                 for t, who, before, zt, rt, cand in reversed(kept[s]):
                     d_state += d_both[t][:, k * h : (k + 1) * h]
                     d_cand = d_state * zt * (1 - cand**2)
@@ -214,26 +229,29 @@ def train(texts: list[str], labels: list[int], seed: int = SEED, epochs: int = E
                     pre = np.concatenate((d_z, d_r, d_cand), 1) * (who > 0)[:, None]
                     grad[f"u{s}"][:, : 2 * h] += before.T @ pre[:, : 2 * h]
                     grad[f"u{s}"][:, 2 * h :] += (rt * before).T @ pre[:, 2 * h :]
-                    np.add.at(d_gate, who, pre)
+                    owners.append(who)
+                    parts.append(pre)
                     d_state = d_state * (1 - zt) + (back * rt + np.concatenate((d_z, d_r), 1) @ u[:, : 2 * h].T) * (who > 0)[:, None]
+                _add_rows(d_gate, np.concatenate(owners), np.concatenate(parts))
                 d_gate[0] = 0
                 grad[f"w{s}"] = np.concatenate((np.zeros((1, x.shape[1]), np.float32), x)).T @ d_gate
                 grad[f"c{s}"] = d_gate.sum(0)
                 d_x += d_gate @ w.T
             d_x = d_x[1:]
-            np.add.at(grad["word"], wi, d_x[:, :WORD_DIM])
+            _add_rows(grad["word"], wi, d_x[:, :WORD_DIM])
             d_char = d_x[:, WORD_DIM:] * (1 - x[:, WORD_DIM:] ** 2)
             grad["char_b"] = d_char.sum(0)
-            for j in range(codes.shape[1]):
-                np.add.at(grad["char"], co[:, j], d_char)
+            _add_rows(grad["char"], co.ravel(), np.repeat(d_char, co.shape[1], axis=0))
             grad["char"][0] = 0
             step += 1
-            rate = 0.02 * (0.5 if epoch >= epochs - 2 else 1.0)
+            rate = 0.02 if step < 0.7 * steps else 0.01
             for k, w in net.p.items():
                 d = np.clip(grad[k], -1, 1)
                 m[k] = 0.9 * m[k] + 0.1 * d
                 v[k] = 0.99 * v[k] + 0.01 * d * d
                 w -= (rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-7)).astype(np.float32)
+        if epoch >= 4 and loss < ENOUGH * len(docs):
+            break
     return net
 
 
@@ -265,7 +283,7 @@ def held_out(doc_id: int | None) -> bool:
     return zlib.crc32(("" if doc_id is None else str(doc_id)).encode()) % 5 == 0
 
 
-def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, max_train: int = MAX_TRAIN, epochs: int = EPOCHS) -> Network | float:
+def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, max_train: int = MAX_TRAIN, steps: int = STEPS) -> Network | float:
     """A network from the labelled rows outside fold 0, or a constant score."""
     rows = labels.select(F.col("doc_id").alias("label_id"), F.col("toxic").alias("y")).filter("label_id is not null and y in (0, 1)")
     rows = rows.filter(common.doc_fold(F.col("label_id"), folds) != 0)
@@ -281,7 +299,7 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, max_train: int = MAX
     y = [r["y"] for r in sample]
     if len(set(y)) < 2:
         return float(y[0]) if y else 0.0
-    return train([r["text"] for r in sample], y, epochs=epochs)
+    return train([r["text"] for r in sample], y, steps=steps)
 
 
 def _scoring(model: Network | float):

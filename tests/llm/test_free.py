@@ -213,7 +213,7 @@ def test_toxicity_learns_and_covers_every_window(spark):
     rows += [(900, None), (901, ""), (902, " "), (None, "zzgrumble it"), (903, "w " * 30000 + "zzgrumble " * 3 + "w " * 30000)]
     d = docs(spark, [(*x, 0.5) for x in rows], ", score double")
     lab = spark.createDataFrame([*labels, (None, 1, 1), (5000, 1, 1), (3, 1, None)], LABELS)
-    model = toxicity.fit(d, lab, epochs=8)
+    model = toxicity.fit(d, lab, steps=60)
     got = {r["doc_id"]: r["score"] for r in toxicity.score(d, model).collect()}
     assert len(got) == len(rows) and all(0 <= s <= 1 for s in got.values())
     held = [(i, t) for i, _, t in labels if toxicity.held_out(i)]
@@ -225,7 +225,7 @@ def test_toxicity_learns_and_covers_every_window(spark):
 def test_toxicity_gradients():
     """Training moves the loss down, and the scorer agrees with the training pass."""
     rows, labels = labelled(80, insult)
-    net = toxicity.train([t for _, t in rows], [y for _, _, y in labels], epochs=12)
+    net = toxicity.train([t for _, t in rows], [y for _, _, y in labels], steps=60)
     s = toxicity.Scorer(net)([t for _, t in rows])
     y = np.array([t for _, _, t in labels])
     assert s[y == 1].mean() - s[y == 0].mean() > 0.5
