@@ -163,16 +163,20 @@ def document_logits(z: np.ndarray, starts: np.ndarray) -> np.ndarray:
 def train(texts: list[str], labels: list[int], seed: int = SEED, steps: int = STEPS) -> Network:
     """About ``steps`` steps of Adam whatever the size of the sample, fewer once
     the mean loss of an epoch is below ``ENOUGH``."""
-    split = [split_words(t) for t in texts]
-    seen = Counter(w for ws in split for w in set(ws))
+    # Texts are split one by one: of all words only the distinct ones are kept.
+    index: dict[str, int] = {}
+    seen: Counter = Counter()
+    docs = []
+    for text in texts:
+        ws = split_words(text)
+        seen.update(set(ws))
+        # Every word counts once in training; overlapping windows are for scoring.
+        docs.append(windows(np.array([index.setdefault(w, len(index) + 1) for w in ws], np.int32), WINDOW))
     vocabulary = sorted((w for w, n in seen.items() if n >= MIN_DOCS), key=lambda w: (-seen[w], w))[:MAX_WORDS]
     net = Network(vocabulary, seed)
     g = np.random.default_rng(seed)
-    index = {w: i + 1 for i, w in enumerate(dict.fromkeys(w for ws in split for w in ws))}
     word_ids = np.array([net.vocabulary.get(w, 0) for w in index], np.int64)
-    codes = char_codes(list(index))
-    # Every word counts once in training; overlapping windows are for scoring.
-    docs = [windows(np.array([index[w] for w in ws], np.int64), WINDOW) for ws in split]
+    codes = char_codes(list(index)).astype(np.int32)
     y = np.array(labels, np.float32)
     share = y.mean()
     weight = np.where(y > 0, 0.5 / share, 0.5 / (1 - share)) ** 0.5
