@@ -25,13 +25,15 @@ text; an empty table gives an empty folder; other columns are ignored.
 
 from __future__ import annotations
 
-import re
+import itertools
+import os
 import struct
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -44,10 +46,8 @@ MAGIC = b"DACS"
 END_ID = 2
 #: A segment is closed once it has this many ids; a document never straddles two.
 SEGMENT_IDS = 1 << 20
-#: Words whose ids a Python worker keeps; when full, the store starts anew.
-KNOWN_WORDS = 400_000
-
-_known: dict[str, dict[str, bytes]] = {}
+#: Text is encoded in runs of about so many bytes.
+SLICE_BYTES = 8 << 20
 
 
 def encode_segment(ids: np.ndarray, ends: np.ndarray) -> bytes:
@@ -121,65 +121,110 @@ class Segment:
         return np.array([self[i] for i in range(start, int(self.ends[k]))], np.uint32)
 
 
-class WordTokenizer:
-    """Ids of whole texts, through the ids of their words.
+#: Letters whose normal form is one lower-case letter each, then marks other than the apostrophe.
+_PLAIN = "^(?P<letters>[A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u017e]+)(?P<marks>[!-&(-/:-@\\[-`{-~]*)$"
+
+
+class BatchTokenizer:
+    """Ids of whole texts, a batch at a time and without a step per word.
 
     The vocabulary's pre-tokenizer never joins across white space and its
     normalizer works word by word, so a text's ids are those of its words in
-    turn; each distinct word is encoded once per worker.
+    turn.  A plain word (letters of the Latin blocks, perhaps with ASCII
+    marks behind) is cut into its lower-cased letters and its marks, each one
+    piece to the pre-tokenizer; the batch's distinct pieces are encoded many
+    at a time and told apart by the ids that end a piece.  Any other distinct
+    word is encoded alone.  Ids are then gathered piece by piece.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, end_id: int):
+        # One thread per worker: a task has one core, and threads keep memory of their own.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.inner = Tokenizer.from_file(path)
-        self.known = _known.setdefault(path, {})
-
-    def __call__(self, texts: list[str]) -> list[np.ndarray]:
-        known = self.known
-        if len(known) > KNOWN_WORDS:
-            known.clear()
-        split = [t.split() if t.isascii() and not _ODD & set(t) else _WORD.findall(t) for t in texts]
-        new = list({w for ws in split for w in ws if w not in known})
-        for at in range(0, len(new), 20_000):
-            part = new[at : at + 20_000]
-            for w, e in zip(part, self.inner.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                known[w] = np.array(e.ids, "<u4").tobytes()
-        return [np.frombuffer(b"".join([known[w] for w in ws]), "<u4") for ws in split]
-
-
-_WORD = re.compile(common.WORD)
-#: ASCII separators that str.split() takes for white space and the contract does not.
-_ODD = frozenset("\x1c\x1d\x1e\x1f")
+        self.inner, self.end_id = Tokenizer.from_file(path), end_id
+        vocabulary = self.inner.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+
+    def _encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of texts end to end, and how many each has."""
+        flat, counts = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+        for at in range(0, len(texts), 16):  # the library's results take far more room than their ids
+            ids = [e.ids for e in self.inner.encode_batch_fast(texts[at : at + 16], add_special_tokens=False)]
+            flat.append(np.fromiter(itertools.chain.from_iterable(ids), np.uint32))
+            counts.append(np.fromiter(map(len, ids), np.int64, len(ids)))
+        return np.concatenate(flat), np.concatenate(counts)
+
+    def _encode_pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        flat, counts = self._encode([" ".join(pieces[i : i + 500]) for i in range(0, len(pieces), 500)])
+        cuts = np.flatnonzero(self.ends[flat]) + 1
+        if len(cuts) != len(pieces):  # a piece that is not one to the pre-tokenizer
+            return self._encode(pieces)
+        return flat, np.diff(cuts, prepend=0)
+
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts end to end, ids per text), end ids included."""
+        lists = pc.ascii_split_whitespace(pc.fill_null(texts.cast(pa.large_string()), ""))
+        flat = lists.flatten()
+        filled = pc.greater(pc.binary_length(flat), 0)
+        before = np.concatenate(([0], np.cumsum(filled.to_numpy(zero_copy_only=False))))
+        offsets = np.asarray(lists.offsets) - lists.offsets[0].as_py()
+        last = before[offsets[1:]]  # words up to the end of each text
+        coded = flat.filter(filled).dictionary_encode()
+        words, at = coded.dictionary, coded.indices.to_numpy(zero_copy_only=False)
+        cut = pc.extract_regex(words, _PLAIN)
+        plain = cut.is_valid().to_numpy(zero_copy_only=False)
+        letters = pc.utf8_lower(cut.field(0).filter(cut.is_valid())).dictionary_encode()
+        marks = cut.field(1).filter(cut.is_valid()).dictionary_encode()
+        parts = [
+            (np.array([self.end_id], np.uint32), np.array([1])), (np.zeros(0, np.uint32), np.array([0])),
+            self._encode_pieces(letters.dictionary.to_pylist()), self._encode([x or "" for x in marks.dictionary.to_pylist()]),
+            self._encode(words.filter(pa.array(~plain)).to_pylist()),
+        ]
+        pool, sizes = (np.concatenate([p[k] for p in parts]) for k in (0, 1))
+        starts = np.cumsum(sizes) - sizes
+        n_letters, n_marks = len(letters.dictionary), len(marks.dictionary)
+        first, second = np.zeros(len(words), np.int64), np.ones(len(words), np.int64)
+        first[plain] = 2 + letters.indices.to_numpy(zero_copy_only=False)
+        second[plain] = 2 + n_letters + marks.indices.to_numpy(zero_copy_only=False)
+        first[~plain] = 2 + n_letters + n_marks + np.arange(len(words) - plain.sum())
+        pieces = np.empty(2 * len(at), np.int64)
+        pieces[::2], pieces[1::2] = first[at], second[at]
+        pieces = np.insert(pieces, 2 * last, 0)
+        lengths = sizes[pieces]
+        ends = np.cumsum(lengths)
+        ids = pool[np.repeat(starts[pieces] - (ends - lengths), lengths) + np.arange(ends[-1] if len(ends) else 0)]
+        return ids, np.diff(ends[2 * last + np.arange(len(last))], prepend=0)
+
+
+def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """Runs of rows of about ``SLICE_BYTES`` of text."""
+    size = np.cumsum(pc.fill_null(pc.binary_length(batch.column(1)), 0).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < len(batch):
+        done = size[at - 1] if at else 0
+        end = max(at + 1, int(np.searchsorted(size, done + SLICE_BYTES)))
+        yield batch.slice(at, end - at)
+        at = end
 
 
 def _writer(tokenizer_path: str, end_id: int):
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encode, part, seq = WordTokenizer(tokenizer_path), TaskContext.get().partitionId(), 0
-        docs: list = []
-        held: list[np.ndarray] = []
-        n = 0
-
-        def segment() -> pa.RecordBatch:
-            ends = np.cumsum([len(x) for x in held])
-            blob = encode_segment(np.concatenate(held), ends)
-            return pa.RecordBatch.from_pylist([{"part": part, "seq": seq, "n_ids": int(ends[-1]), "docs": docs, "segment": blob}], schema=_SEGMENT)
-
+        encode, part, seq = BatchTokenizer(tokenizer_path, end_id), TaskContext.get().partitionId(), 0
         for batch in batches:
-            ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for at in range(0, len(ids), 256):
-                found = encode([x or "" for x in texts[at : at + 256]])
-                for doc, tokens in zip(ids[at : at + 256], found, strict=True):
-                    docs.append(doc)
-                    held.append(np.append(tokens, np.uint32(end_id)))
-                    n += len(held[-1])
-                    if n >= SEGMENT_IDS:
-                        yield segment()
-                        docs, held, n, seq = [], [], 0, seq + 1
-        if docs:
-            yield segment()
+            for run in _slices(batch):
+                ids, counts = encode(run.column(1))
+                ends, at = np.cumsum(counts), 0
+                while at < len(run):
+                    done = int(ends[at - 1]) if at else 0
+                    end = max(at + 1, int(np.searchsorted(ends, done + SEGMENT_IDS)))
+                    blob = encode_segment(ids[done : int(ends[end - 1])], ends[at:end] - done)
+                    docs = run.column(0).slice(at, end - at).to_pylist()
+                    yield pa.RecordBatch.from_pylist([{"part": part, "seq": seq, "n_ids": int(ends[end - 1]) - done, "docs": docs, "segment": blob}], schema=_SEGMENT)
+                    at, seq = end, seq + 1
 
     return write
 
@@ -221,7 +266,9 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
     # Where segments start: a table of a row per segment, a millionth of the ids.
     heads = files.groupBy("part", "seq").agg(F.max("n_ids").alias("n_ids"))
     heads = heads.withColumn("at", F.coalesce(F.sum("n_ids").over(Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long")))
-    placed = files.join(heads.select("part", "seq", "at"), ["part", "seq"])
+    # Written first, so that the planner knows its size and need not shuffle the segments for the join.
+    heads = common.materialize(heads.select("part", "seq", "at"), "token-starts")
+    placed = files.join(heads, ["part", "seq"])
     return placed.select("docs", "segment", "at").mapInArrow(_reader, T.StructType.fromDDL("doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint"))
 
 
