@@ -1,7 +1,11 @@
 """Secret scans: fixed patterns, and a battery of randomness tests.
 
 Patterns give the spans of kinds assign, access and hex.  Beyond them, runs
-of token characters are tested.  The narrowest encoding that fits a run (hex,
+of token characters are tested; ``=`` ends a run, for inside one it divides
+a name from its value, and at the end it only pads.  A run that holds marks
+of both base 64 alphabets is tested by its parts: what lies between the marks
+of either alphabet, and between all of them; of parts that overlap, the one
+least like text is listed.  The narrowest encoding that fits a run (hex,
 base 32, 36, 62, 64 or URL-safe 64) sets an alphabet; a run looks random if
 none of three tests rejects uniform draws from it: chi-squared over bands of
 the alphabet, the number of runs above and below its middle, and the serial
@@ -35,7 +39,9 @@ KINDS = ("assign", "access", "hex", "random")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")
-RUN = re.compile(r"[A-Za-z0-9+/_=-]{20,}")
+RUN = re.compile(r"[A-Za-z0-9+/_-]{20,}")
+#: Parts of a run that no alphabet fits as a whole.
+PARTS = [re.compile(rf"[A-Za-z0-9{marks}]{{20,}}") for marks in ("+/", "_-", "+", "")]
 MIN_ASSIGN, MIN_ACCESS, MIN_HEX, MIN_RUN = 12, 18, 16, 20
 FALSE_SHARE = 1e-4
 REJECT = 0.002
@@ -109,6 +115,13 @@ def natural_p(run: str, alphabet: str) -> float:
     return _upper_tail((sum(ratio[c] for c in run) - len(run) * mean) / math.sqrt(len(run) * var))
 
 
+def parts_of(start: int, run: str) -> list[tuple[int, str]]:
+    """A run (start, text), or its parts where it mixes both base 64 alphabets."""
+    if not (any(c in run for c in "+/") and any(c in run for c in "-_")):
+        return [(start, run)]
+    return sorted({(start + m.start(), m[0]) for part in PARTS for m in part.finditer(run)})
+
+
 def random_spans(runs: list[tuple[int, str]]) -> list[tuple[int, int]]:
     """Those of a document's runs (start, text) that the battery finds."""
     tested = []
@@ -116,10 +129,14 @@ def random_spans(runs: list[tuple[int, str]]) -> list[tuple[int, int]]:
         name = encoding_of(run)
         if name and randomness(run, ENCODINGS[name]) > REJECT:
             tested.append((natural_p(run, ENCODINGS[name]), start, start + len(run)))
-    tested.sort()
+    tested.sort(key=lambda x: (x[0], x[1] - x[2], x[1]))
     # Every run was a chance to err, also those that the tests rejected.
     found = [i for i, (p, _, _) in enumerate(tested) if p <= FALSE_SHARE * (i + 1) / len(runs)]
-    return [(s, e) for _, s, e in tested[: found[-1] + 1]] if found else []
+    out = []
+    for _, s, e in tested[: found[-1] + 1] if found else []:
+        if not any(a < e and s < b for a, b in out):
+            out.append((s, e))
+    return out
 
 
 def scan_text(text: str) -> list[tuple[str, int, int]]:
@@ -138,9 +155,9 @@ def scan_text(text: str) -> list[tuple[str, int, int]]:
         at = text.index(word, at)
         out += [("hex", at + m.start(), at + m.end()) for m in HEX.finditer(word)]
         if len(word) >= MIN_RUN:
-            runs += [(at + m.start(), m[0].rstrip("=")) for m in RUN.finditer(word)]
+            runs += [part for m in RUN.finditer(word) for part in parts_of(at + m.start(), m[0])]
         at += len(word)
-    runs = [(s, r) for s, r in runs if len(r) >= MIN_RUN and not any(a < s + len(r) and s < b for _, a, b in out)]
+    runs = [(s, r) for s, r in runs if not any(a < s + len(r) and s < b for _, a, b in out)]
     out += [("random", s, e) for s, e in random_spans(runs)]
     return sorted(out, key=lambda x: (x[1], KINDS.index(x[0])))
 

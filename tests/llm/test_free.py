@@ -156,6 +156,26 @@ def test_battery_finds_random_and_leaves_natural():
         assert not [s for s in secrets.scan_text(f"x {natural} y") if s[0] == "random"], natural
 
 
+def test_battery_reads_values_behind_names_and_mixed_marks():
+    r = random.Random(6)
+    for before, after, names in (
+        ("DB_PASS=", "", ("base62", "base64", "base64url")), ("https://h.example/p?sig=", "&v=1", ("base62", "base64", "base64url")), ("AUTH=", "==", ("base62", "base64")),
+        ("my-files/", "", ("base62", "base64url")), ("/var/log-files/", "/x", ("base62", "base64url")), ("some+words/", "_x", ("base62",)), ("a-", "", ("base64",)),
+    ):
+        for name in names:
+            found = 0
+            for _ in range(100):
+                value = "".join(r.choice(secrets.ENCODINGS[name]) for _ in range(40))
+                text = f"see {before}{value}{after} there"
+                spans = [s for s in secrets.scan_text(text) if s[0] == "random"]
+                at = text.index(value)
+                found += any(s < at + 40 and at < e for _, s, e in spans)
+                assert all(a[2] <= b[1] for a, b in zip(spans, spans[1:]))
+            assert found >= 90, (before, name, found)
+    for natural in ("PATH=/usr/local/share/some-package_files/README", "https://example.org/a-page/with_some/words-in-its/long+path/index2"):
+        assert not [s for s in secrets.scan_text(f"x {natural} y") if s[0] == "random"], natural
+
+
 def test_secret_report(spark):
     text = 'é token = "04dbebab91ab85687d33eeaaf9ac699e1188f962"'
     got = {r["doc_id"]: r for r in secrets.report(docs(spark, [(1, text, "s"), (2, None, "s"), (1, "", "s"), (None, text, "s")], ", spans string")).collect()}
