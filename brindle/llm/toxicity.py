@@ -1,6 +1,7 @@
 """Toxicity scores by a bidirectional gated recurrent network in numpy.
 
-Input of a step is a word: its own embedding (words seen in at least
+Input of a step is a word, or a piece of a word of more than ``LONG``
+characters (cut at its inner marks, then into overlapping pieces): its own embedding (words seen in at least
 ``MIN_DOCS`` training documents; others share one) beside a character part
 (embeddings of its characters by place from either end, summed and squashed).
 Two gated recurrent units read each window of words forwards and backwards;
@@ -24,6 +25,7 @@ and pass through ``keep_clean``.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -42,19 +44,41 @@ MAX_WORDS = 20_000
 WINDOW, STRIDE = 32, 16
 HIDDEN, WORD_DIM, CHAR_DIM = 8, 8, 16
 HEAD, TAIL, CODES = 10, 4, 128
+LONG = HEAD + TAIL
+MARKS = ".,;:!?\"'()"
+JOINS = re.compile(r"([!-/:-@\[-`{-~]+)")
 BATCH, STEPS, ENOUGH = 48, 450, 0.003
 SEED = 11
 KNOWN_WORDS = 300_000
 
 
+def pieces(word: str) -> list[str]:
+    """A word as steps of at most ``LONG`` characters besides its outer marks.
+
+    A longer one is cut at its inner marks, and what is still longer into
+    pieces that overlap by half, so that all its characters are read.
+    """
+    if len(word) <= LONG:
+        return [word]
+    bare = word.strip(MARKS) or word
+    if len(bare) <= LONG:
+        return [word]
+    out = []
+    for part in JOINS.split(bare):
+        last = len(part) - LONG
+        out += [part[i : i + LONG] for i in (*range(0, last, LONG // 2), last)] if last > 0 else [part] if part else []
+    return out
+
+
 def split_words(text: str | None) -> list[str]:
-    return (text or "").lower().split()
+    words = (text or "").lower().split()
+    return [p for w in words for p in pieces(w)] if any(len(w) > LONG for w in words) else words
 
 
 def char_codes(words: list[str]) -> np.ndarray:
     """A row per word: codes of its first ``HEAD`` and last ``TAIL`` characters,
     each with its place; 0 is no character.  Trailing marks are left out."""
-    bare = [w.strip(".,;:!?\"'()") or w for w in words]
+    bare = [w.strip(MARKS) or w for w in words]
     text = "".join([w[:HEAD].ljust(HEAD, "\0") + w[-TAIL:].ljust(TAIL, "\0") for w in bare])
     o = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(words), HEAD + TAIL).astype(np.int64)
     # ASCII keeps its code; others share the codes below 32, which words do not use.

@@ -253,6 +253,26 @@ def test_toxicity_gradients():
     assert np.allclose(one_by_one, s[:20], atol=1e-5)
 
 
+def test_toxicity_reads_all_of_long_words():
+    for word in ("abcdefghijklmno", "".join(map(chr, range(97, 123))), "one_two/three-four.five", "".join(chr(0x4E00 + i) for i in range(500)), '"' + "abcdefghij" * 5 + '".', "https://h.example/a?b=c&d=e"):
+        steps = toxicity.split_words(f"see {word} there")
+        assert steps[0] == "see" and steps[-1] == "there" and all(len(s) <= 14 for s in steps)
+        bare = word.strip(toxicity.MARKS) or word
+        at = end = 0
+        for s in steps[1:-1]:  # no character is left out, and every eight inside a part are in one step
+            at = bare.index(s, at)
+            assert at <= end
+            end = max(end, at + len(s))
+        assert end == len(bare)
+        for part in re.split(r"[^\w]|_", bare):
+            assert all(any(part[i : i + 8] in s for s in steps) for i in range(len(part) - 7))
+    assert toxicity.split_words("Short words, (international) stay!!!!!!!!!!!") == ["short", "words,", "(international)", "stay!!!!!!!!!!!"]
+    rows, labels = labelled(400, insult)
+    score = toxicity.Scorer(toxicity.train([t for _, t in rows], [y for _, _, y in labels], steps=60))
+    clean, bad = "_".join(rows[1][1].split()[:30]), "_".join([*rows[1][1].split()[:15], "zzgrumble", "zzgruff", "zzgrumbles", *rows[1][1].split()[15:30]])
+    assert score([clean])[0] < 0.5 < score([bad])[0]
+
+
 def test_toxicity_without_labels(spark):
     d = docs(spark, [(1, "a"), (2, None)])
     none = spark.createDataFrame([], LABELS)
