@@ -43,7 +43,7 @@ MIN_DOCS = 3
 MAX_WORDS = 20_000
 WINDOW, STRIDE = 32, 16
 HIDDEN, WORD_DIM, CHAR_DIM = 8, 8, 16
-HEAD, TAIL, CODES = 10, 4, 128
+HEAD, TAIL, ASCII, CODES = 10, 4, 128, 512
 LONG = HEAD + TAIL
 MARKS = ".,;:!?\"'()"
 JOINS = re.compile(r"([!-/:-@\[-`{-~]+)")
@@ -81,8 +81,8 @@ def char_codes(words: list[str]) -> np.ndarray:
     bare = [w.strip(MARKS) or w for w in words]
     text = "".join([w[:HEAD].ljust(HEAD, "\0") + w[-TAIL:].ljust(TAIL, "\0") for w in bare])
     o = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(words), HEAD + TAIL).astype(np.int64)
-    # ASCII keeps its code; others share the codes below 32, which words do not use.
-    o = np.where(o < CODES, o, 1 + (o * 31) % 31)
+    # ASCII keeps its code; others share those above it, and differ from all within 383 code points.
+    o = np.where(o < ASCII, o, ASCII + o % (CODES - ASCII))
     return np.where(o > 0, o + np.arange(HEAD + TAIL) * CODES, 0)
 
 

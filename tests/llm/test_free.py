@@ -273,6 +273,17 @@ def test_toxicity_reads_all_of_long_words():
     assert score([clean])[0] < 0.5 < score([bad])[0]
 
 
+def test_toxicity_tells_letters_outside_ascii_apart():
+    for block in ((0xC0, 0x180), (0x370, 0x4F0), (0x5D0, 0x5EB), (0xE01, 0xE3B), (0x3041, 0x30FF), (0x4E00, 0x4F00), (0xAC00, 0xAD00)):
+        letters = [chr(i) for i in range(*block)]
+        codes = toxicity.char_codes([*letters, *map(chr, range(32, 127))])
+        assert len({tuple(c) for c in codes}) == len(codes)
+    net = toxicity.Network([])
+    assert (toxicity.char_codes(["ä" * 14, "\U0001f600" * 14]) < len(net.p["char"])).all()
+    a, b = net.embed(["привет", "приват"])[2]
+    assert not np.allclose(a, b)
+
+
 def test_toxicity_without_labels(spark):
     d = docs(spark, [(1, "a"), (2, None)])
     none = spark.createDataFrame([], LABELS)
