@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from brindle.functions.distance import METRICS
@@ -34,11 +34,21 @@ def knn_join(base: DataFrame, queries: DataFrame, k: int, metric: str = "l2", ve
     pairs = spread.join(packed, "b").select(vec_id, F.explode(F.transform("qs", lambda q: F.struct(q["query_id"].alias("query_id"), METRICS[metric](F.col(vector), q["q"]).alias("distance")))).alias("p"))
     # A first rank inside hashed slices bounds what meets per query.
     near = pairs.select("p.query_id", vec_id, "p.distance", F.pmod(F.xxhash64(vec_id), F.lit(64)).alias("slice"))
+    return _ranked(near, k, vec_id)
+
+
+def _ranked(near: DataFrame, k: int, vec_id: str) -> DataFrame:
+    """(query_id, rank, vec_id, distance): the k best per query, first of each slice and then of all."""
     order = [F.col("distance"), F.col(vec_id)]
     local = near.withColumn("r", F.row_number().over(Window.partitionBy("query_id", "slice").orderBy(*order))).filter(F.col("r") <= k)
     return local.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).filter(F.col("rank") <= k).select("query_id", "rank", vec_id, "distance")
 
 
+def _spots(vector: str, centres: list[list[float]]) -> Column:
+    """(d, cell) of every centre: its distance from a vector, and its number."""
+    return F.array(*(F.struct(METRICS["l2"](F.col(vector), F.array(*(F.lit(float(v)) for v in c))).alias("d"), F.lit(i).alias("cell")) for i, c in enumerate(centres)))
+
+
 @dataclass
 class IvfIndex:
     """Cells (centres as a bounded list) and every row with its cell."""
@@ -54,6 +64,20 @@ class IvfIndex:
         order = sorted(range(len(self.centres)), key=lambda i: sum((a - b) ** 2 for a, b in zip(self.centres[i], query, strict=True)))
         return knn(self.rows.filter(F.col("cell").isin(order[:probes])), query, k, self.metric, self.vec_id, self.vector)
 
+    def search_many(self, queries: DataFrame, k: int, probes: int = 8, slices: int = 16) -> DataFrame:
+        """(query_id, rank, vec_id, distance): ``search`` for a stated set of queries.
+
+        Rows meet the queries that probe their cell in hashed slices of the
+        cell, so a large cell is no single task.
+        """
+        asked = queries.select(F.col(self.vec_id).alias("query_id"), F.col(self.vector).alias("q"))
+        cells = F.slice(F.array_sort(_spots("q", self.centres)), 1, probes)["cell"] if self.centres else F.array().cast("array<int>")
+        asked = asked.select("query_id", "q", F.explode(cells).alias("cell"))
+        asked = asked.withColumn("slice", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(slices - 1).cast("bigint"))))
+        rows = self.rows.select(self.vec_id, self.vector, "cell", F.pmod(F.xxhash64(self.vec_id), F.lit(slices)).alias("slice"))
+        near = rows.join(asked, ["cell", "slice"]).select("query_id", self.vec_id, METRICS[self.metric](F.col(self.vector), F.col("q")).alias("distance"), "slice")
+        return _ranked(near, k, self.vec_id)
+
 
 def build_ivf(base: DataFrame, cells: int = 16, rounds: int = 8, sample_rows: int = 20_000, seed: int = 5, metric: str = "l2", vec_id: str = "vec_id", vector: str = "embedding") -> IvfIndex:
     """Fit centres on a bounded sample (``sample_rows`` by hashed id), then index every row."""
@@ -68,6 +92,5 @@ def build_ivf(base: DataFrame, cells: int = 16, rounds: int = 8, sample_rows: in
     for _ in range(rounds):
         near = ((x[:, None] - centres[None]) ** 2).sum(2).argmin(1)
         centres = np.array([x[near == i].mean(0) if (near == i).any() else c for i, c in enumerate(centres)])
-    spots = F.array(*(F.struct(METRICS["l2"](F.col(vector), F.array(*(F.lit(float(v)) for v in c))).alias("d"), F.lit(i).alias("cell")) for i, c in enumerate(centres)))
-    rows = base.withColumn("cell", F.array_min(spots)["cell"])
+    rows = base.withColumn("cell", F.array_min(_spots(vector, centres))["cell"])
     return IvfIndex(centres.tolist(), rows, metric, vec_id, vector)
