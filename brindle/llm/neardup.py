@@ -17,7 +17,8 @@ sets, made anew from the whole texts.  Components come from contraction.
 
 Defined results: null, empty or blank text has an empty set and is linked
 with nothing; with fewer words than a shingle the whole sequence is the one
-shingle; rows that share a doc_id are one node (their links are united); a
+shingle; rows that share a doc_id are one node (their links are united),
+except in ``keep_one``, where each is judged by its own text; a
 null doc_id is linked with nothing and its component is null; an empty table
 gives an empty result; other columns are ignored by ``classify`` and pass
 through ``keep_one``.
@@ -290,8 +291,12 @@ def contract(docs: DataFrame, shingle_words: int = 2) -> DataFrame:
 
 def keep_one(docs: DataFrame, shingle_words: int = SHINGLE_WORDS) -> DataFrame:
     """Rows of ``docs`` without the near duplicates: of each component the row
-    with the smallest doc_id stays, and one of rows that repeat that doc_id."""
-    found = classify(docs, shingle_words).filter("doc_id <> component_id").select(F.col("doc_id").alias("gone_id")).distinct()
-    left = docs.join(found, docs["doc_id"] == found["gone_id"], "left_anti")
-    named = left.filter(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"])
-    return named.unionByName(left.filter(F.col("doc_id").isNull()))
+    with the smallest doc_id stays, and one of rows that repeat both doc_id and
+    text.  A row is named by a digest of the two, so that rows which share a
+    doc_id stand or fall by their own texts."""
+    rows = docs.filter(F.col("doc_id").isNotNull()).withColumn("__node", F.xxhash64("doc_id", "text"))
+    found = classify(rows.select(F.col("__node").alias("doc_id"), "text"), shingle_words).select(F.col("doc_id").alias("__node"), "component_id")
+    ids = rows.select("__node", F.col("doc_id").alias("id")).distinct()
+    first = found.distinct().join(ids, "__node").groupBy("component_id").agg(F.min(F.struct("id", "__node")).alias("first"))
+    named = rows.join(first.select(F.col("first.__node").alias("__node")), "__node", "left_semi").dropDuplicates(["__node"])
+    return named.select(*docs.columns).unionByName(docs.filter(F.col("doc_id").isNull()))

@@ -72,6 +72,14 @@ def test_components_against_brute_force(spark, width):
     assert Counter(k["doc_id"] for k in kept.collect()) == Counter([None, *{i for i, c in want.items() if i == c}])
 
 
+def test_rows_that_repeat_an_id_are_judged_by_their_texts(spark):
+    r = random.Random(9)
+    text = [" ".join(r.choice("abcdefghij") + str(r.randrange(99)) for _ in range(60)) for _ in range(4)]
+    rows = [(7, text[0]), (7, text[1]), (3, text[0]), (7, text[2]), (7, text[2]), (9, text[3]), (8, text[3] + " x"), (None, text[3]), (7, None)]
+    got = Counter((k["doc_id"], k["text"]) for k in neardup.keep_one(docs(spark, rows)).collect())
+    assert got == Counter([(7, text[1]), (3, text[0]), (7, text[2]), (8, text[3] + " x"), (None, text[3]), (7, None)])
+
+
 def test_neardup_of_nothing(spark):
     assert neardup.contract(docs(spark, [])).count() == 0
     one = neardup.contract(docs(spark, [(1, None), (2, None)])).collect()
