@@ -346,6 +346,33 @@ both("window_rank", "SELECT o_orderkey, row_number() OVER (PARTITION BY o_custke
 both("rollup_sets", "SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)")
 
 
+# Whole results of queries that are given above with a fixed range of ids or a limit.
+
+
+@query("SELECT count(*) AS n, sum(l_extendedprice) AS total FROM lineitem WHERE l_quantity < 24")
+def pushdown_scan_agg_value(spark: SparkSession, d: str) -> DataFrame:
+    return R.aggregate(scan(spark, d, "lineitem", where="l_quantity < 24"), {"n": ("count", "*"), "total": ("sum", "l_extendedprice")})
+
+
+@query("SELECT c_custkey, o_orderkey, l_linenumber FROM customer JOIN orders ON c_custkey = o_custkey JOIN lineitem ON o_orderkey = l_orderkey")
+def inner_join_1n_whole(spark: SparkSession, d: str) -> DataFrame:
+    orders = R.equi_join(scan(spark, d, "customer"), scan(spark, d, "orders"), "c_custkey", "o_custkey")
+    return R.equi_join(orders, scan(spark, d, "lineitem"), "o_orderkey", "l_orderkey").select("c_custkey", "o_orderkey", "l_linenumber")
+
+
+@query("SELECT s_nationkey, s_suppkey, s_acctbal FROM supplier ORDER BY s_nationkey, s_acctbal DESC, s_suppkey")
+def sort_multi_whole(spark: SparkSession, d: str) -> DataFrame:
+    return R.sort(scan(spark, d, "supplier", ["s_nationkey", "s_suppkey", "s_acctbal"]), ("s_nationkey", True), ("s_acctbal", False), ("s_suppkey", True))
+
+
+@query("SELECT n_nationkey, CASE WHEN n_regionkey = 1 THEN NULL ELSE n_regionkey END AS k FROM nation ORDER BY k NULLS FIRST, n_nationkey")
+def sort_nulls_whole(spark: SparkSession, d: str) -> DataFrame:
+    return R.sort(scan(spark, d, "nation").select("n_nationkey", F.nullif("n_regionkey", F.lit(1)).alias("k")), ("k", True), ("n_nationkey", True))
+
+
+both("hidden_sort_key_whole", "SELECT c_name FROM customer ORDER BY c_acctbal DESC, c_custkey")
+
+
 # Layout and encodings.
 
 

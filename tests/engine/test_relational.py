@@ -253,6 +253,20 @@ def test_registered_searches_take_every_fiftieth_vector(spark):
     assert len(found & exact) / len(exact) > 0.8
 
 
+def test_whole_joins_and_sorts(spark):
+    d = "/root/testdata/sf0.001"
+    run = lambda name: rows(catalogue.QUERIES[name](spark, d))
+    lines, customers = (spark.read.parquet(f"{d}/{t}.parquet") for t in ("lineitem", "customer"))
+    joined = run("inner_join_1n_whole")
+    assert len(joined) == lines.count() and max(r[0] for r in joined) >= 100
+    assert run("pushdown_scan_agg_value")[0][0] == lines.filter("l_quantity < 24").count()
+    suppliers = run("sort_multi_whole")
+    assert suppliers == sorted(suppliers, key=lambda r: (r[0], -r[2], r[1])) and len(suppliers) == spark.read.parquet(f"{d}/supplier.parquet").count()
+    nations = run("sort_nulls_whole")
+    assert nations == sorted(nations, key=lambda r: (-1 if r[1] is None else r[1], r[0])) and len(nations) == 25
+    assert [r[0] for r in run("hidden_sort_key_whole")] == [r["c_name"] for r in sorted(customers.collect(), key=lambda r: (-r["c_acctbal"], r["c_custkey"]))]
+
+
 # Streaming.
 
 
