@@ -1,17 +1,16 @@
-"""Benchmark decontamination by size-partitioned MinHash containment search,
-in DataFrame functions alone.
+"""Benchmark decontamination by MinHash containment search, in DataFrame functions alone.
 
 Items are short, documents long, so a signature of a whole document says
 nothing about one item.  Instead each item keeps its ``k`` least shingle
 hashes (a one-permutation MinHash sketch), and a document contains an item
-only if it holds most of them.  Items are partitioned by size: a partition of
-items with up to ``2**p`` shingles has its own sketch size, so that an item
-at the threshold is missed with a probability of at most 1e-6 (a small item
-keeps all its shingles and is never missed), and its own greatest sketch
-hash, above which a document's shingles cannot matter to it.  Documents are
-probed for every partition's share of hashes; hits are candidates, and each
-candidate is confirmed by the exact containment of the item's shingles, word
-by word, in the whole document.
+only if it holds most of them.  All items have the same sketch size, so that an
+item at the threshold is missed with a probability of at most 1e-6 (an item of
+up to that many shingles keeps them all and is never missed).  Items also fall
+into parts by size, up to ``2**p`` shingles; parts play no role in the search.
+Documents are probed, for each width of shingles, for hashes up to the greatest
+sketch hash of that width, above which a shingle cannot matter; hits are
+candidates, and each candidate is confirmed by the exact containment of the
+item's shingles, word by word, in the whole document.
 
 Scale: the sketches are a few hashes per item; whether they are broadcast is
 left to the planner, which knows their size.  A shingle that is in a third of
@@ -72,12 +71,12 @@ def sketches(items: DataFrame, shingle_words: int = SHINGLE_WORDS, containment:
     by_width = F.coalesce(*(F.when(F.col("width") == n, F.array_distinct(_hashes(F.col("w"), n))) for n in range(1, shingle_words + 1)))
     out = out.withColumns({"hashes": F.sort_array(by_width), "item": F.xxhash64("w")})
     out = out.withColumns({"n": F.size("hashes"), "part": F.ceil(F.log2(F.size("hashes").cast("double"))).cast("int")})
-    # Items of up to k shingles keep them all; larger partitions keep the k least.
+    # Items of up to k shingles keep them all; larger ones keep the k least.
     return out.select("item_id", "item", "width", "n", "part", F.explode(F.slice("hashes", 1, k)).alias("hash"))
 
 
 def _probes(docs: DataFrame, key: str, bounds: list) -> DataFrame:
-    """(key, width, hash): the shingles of documents that a partition may ask for."""
+    """(key, width, hash): the shingles of documents that an item of that width may ask for."""
     widths = sorted({b["width"] for b in bounds})
     limit = {w: max(b["top"] for b in bounds if b["width"] == w) for w in widths}
     words = docs.select(F.col(key), normal_words(docs["text"]).alias("w"))
