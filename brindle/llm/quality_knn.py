@@ -6,7 +6,9 @@ marks, symbols, other letters), which say how it is written whatever its
 language, plus how much of it repeats.  Weighted counts are brought down to
 ``DIMENSIONS`` by a truncated singular value decomposition of the labelled
 sample.  The sample's vectors, at most ``MAX_TRAIN`` rows whatever the corpus,
-go to every task; each document's cosines with all of them are one blocked
+of labelled texts of up to ``MAX_TRAIN_CHARS`` characters (longer ones never
+become neighbours and add no terms, so long documents are judged by shorter
+ones), go to every task; each document's cosines with all of them are one blocked
 matrix product, exact and complete, and the ``NEIGHBOURS`` nearest vote with
 their similarity.
 
