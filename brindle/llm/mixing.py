@@ -1,28 +1,37 @@
 """Mixing sources to target weights, in DataFrame functions alone.
 
 Method.  Every source gets a target number of words (weights, with a ceiling
-of ``max_repeats`` times its size; the excess is shared again by weight).
-The documents of a source that have the same number of words form a block
-stratum, so a quota of so many documents from a stratum is an exact number of
-words; quotas are set from the largest size down, each carrying what it could
-not place to the next smaller size (and no more than those can make up), which
-leaves a source within its smallest documents of its target.  A splitting tree then parts every source's number of
-draws among the output shards: at each node the draws of each source that go
-left follow the multivariate hypergeometric law (one exact hypergeometric
-inversion after another, given what is left), until every leaf holds one
-shard's quota.  A document's rank in its stratum comes from a hashed order,
-its draws take permuted places in the source (an affine bijection), and each
-shard owns a disjoint run of those places.  Shards are shuffled locally.
+of ``max_repeats`` times its size; the excess is shared again by weight).  A
+source's documents of one number of words form a stratum, and a quota of so
+many documents from a stratum is an exact number of words.  Whole copies of a
+source come first; what its target still lacks is an even share of its strata
+(running sums from the largest size down, rounded so that they never go over)
+and then single documents, the largest that still fit.  Where more than half of
+a source is lacking, those that stay out are picked in this way.  So a source
+ends within its smallest document that was not picked, or none fits any more.
+
+A splitting tree parts every source's number of draws among the output
+shards: at each node the draws of each source that go left follow the
+multivariate hypergeometric law (one exact hypergeometric inversion after
+another, given what is left), until every leaf holds one shard's quota.  The
+draws of a source take permuted places (an affine bijection), of which each
+shard owns a disjoint run as long as its quota; that says how many documents
+of each stratum a shard draws.  The documents of a stratum, in an order by
+hash, are dealt into a block per shard, as long as the shard's draws and its
+share of the documents that stay, and a shard draws from its own block alone.
+So the tree decides which documents are drawn, and no two shards can draw the
+same.  Shards are shuffled locally.
 
 Scale.  The text is shuffled once for the ranks and once for the shards.  A
-hot source or a hot stratum (thousands of copies have one size) is dealt out
-by hashed salts; ranks over salts are sums of counts.  Only tables of
-(source, size) counts and of sources meet in few tasks.
+stratum of more than ``HOT`` documents (thousands of copies have one size) is
+dealt out by hashed salts; ranks over salts are sums of counts.  Only tables
+of (source, size) counts and of sources meet in few tasks.
 
 Defined results: null text has size 0 and adds no words; null is a source of
-its own and comes last; rows repeat freely (equal rows are interchangeable);
+its own and comes last; rows that repeat an id are told apart by their other
+columns, and rows equal in all of them are interchangeable;
 an empty table gives an empty mix; if all sizes are 0 all targets are 0;
-columns of any other name pass through.
+columns of any other name pass through; ``shards`` must be a power of two.
 """
 
 from __future__ import annotations
@@ -38,6 +47,10 @@ MAX_REPEATS = 2
 SHARDS = 16
 SEED = 20240607
 SALTS = 256
+#: Strata of more documents are ranked by salts.
+HOT = 10_000
+#: Places are counted in runs of so many.
+RUN = 1 << 16
 # Fixed primes near a million, one of which is coprime to any number of draws in practice.
 _PRIMES = (1000003, 1000033, 1000037, 1000039, 1000081, 1000099)
 
@@ -104,11 +117,12 @@ def _inverted(given: Column) -> Column:
 
 
 def _sized(docs: DataFrame, seed: int) -> DataFrame:
+    plain = [c.name for c in docs.schema if "map<" not in c.dataType.simpleString()]
     return docs.select(
         F.struct(*(docs[c] for c in docs.columns)).alias("row"),
         F.when(docs["source"].isNull(), "n").otherwise(F.concat(F.lit("s"), docs["source"])).alias("src"),
         F.coalesce(F.regexp_count(docs["text"], F.lit(common.WORD)), F.lit(0)).cast("long").alias("size"),
-        F.xxhash64(docs["doc_id"], F.lit(seed)).alias("h"),
+        F.xxhash64(docs["doc_id"], docs["text"], F.lit(seed)).alias("h"), F.xxhash64(*(docs[c] for c in plain)).alias("tie"),
     ).withColumn("salt", F.pmod("h", _long(SALTS)))
 
 
@@ -130,27 +144,52 @@ def source_targets(sources: DataFrame, weights: tuple, share: float, max_repeats
     return out.withColumn("target", F.least(ceiling, F.coalesce(F.col("level") * F.col("weight"), ceiling))).drop("level", "ratio")
 
 
-def _quotas(hist: DataFrame, max_repeats: int) -> DataFrame:
-    """Per source: whole copies, and from each size how many documents once more."""
-    rest = F.col("target") - F.col("base") * F.col("words")
-    out = hist.withColumn("base", F.when(F.col("words") > 0, F.least(_long(max_repeats), F.floor(F.col("target") / F.col("words")))).otherwise(_long(0)))
-    out = out.withColumn("rest", F.when(F.col("base") < max_repeats, rest).otherwise(0.0))
-    kind = "array<struct<size:bigint,k:bigint,stratum_at:bigint,extra_at:bigint>>"
-    first = F.struct(*(F.lit(0).cast("long").alias(x) for x in ("words", "taken", "docs", "extra")), F.array().cast(kind).alias("rows"))
+def _quotas(hist: DataFrame, targets: DataFrame, max_repeats: int) -> DataFrame:
+    """(src, size, n, base, k, stratum_at, extra_at and the source's facts): whole
+    copies of the source, and how many documents of each size are drawn once more.
+
+    ``targets`` has a row per source (src, words, docs, target)."""
+    out = targets.withColumn("base", F.when(F.col("words") > 0, F.least(_long(max_repeats), F.floor(F.col("target") / F.col("words")))).otherwise(_long(0)))
+    out = out.withColumn("rest", F.when(F.col("base") < max_repeats, F.col("target") - F.col("base") * F.col("words")).otherwise(0.0))
+    # Where more than half are wanted, those that are left out are picked instead.
+    out = out.withColumn("flip", 2 * F.col("rest") > F.col("words"))
+    out = out.withColumn("goal", F.when(F.col("flip"), F.greatest(F.lit(0.0), F.col("words") - F.col("rest"))).otherwise(F.col("rest")))
+    out = out.withColumn("rate", F.when(F.col("words") > 0, F.col("goal") / F.col("words")).otherwise(0.0))
+    # Sizes of a source, largest first: every 1/rate-th document, the smaller end of each run of that many.
+    down = Window.partitionBy("src").orderBy(F.desc("size"))
+    before = lambda c: F.coalesce(F.sum(c).over(down.rowsBetween(Window.unboundedPreceding, -1)), _long(0))
+    out = hist.join(out, "src").withColumn("stratum_at", before("n"))
+    out = out.withColumn("even", F.when(F.col("size") > 0, F.least("n", F.floor((F.col("stratum_at") + F.col("n")) * F.col("rate")) - F.floor(F.col("stratum_at") * F.col("rate")))).otherwise(_long(0)))
+    strata = common.materialize(out, "mix-strata")
+    # What that leaves is filled by single documents, largest first.  Between two
+    # sizes that do not fit whole, what is lacking halves, so a few runs say it all.
+    sizes = strata.filter("size > 0").groupBy("src").agg(
+        F.sort_array(F.collect_list(F.struct("size", (F.col("n") - F.col("even")).alias("left"))), asc=False).alias("sizes"),
+        (F.max("goal") - F.sum(F.col("even") * F.col("size"))).alias("lack"),
+    )
+    runs = "array<struct<top:bigint,bottom:bigint,k:bigint>>"
+    first = F.struct(F.col("lack"), F.lit(None).cast("long").alias("top"), F.array().cast(runs).alias("runs"))
 
     def step(s: Column, x: Column) -> Column:
-        words = s["words"] + x["size"] * x["n"]
-        goal = F.col("rest") * words / F.col("words")
-        one = F.greatest(x["size"], _long(1))
-        even = F.floor((goal - s["taken"]) / one + 1e-9)
-        # What smaller documents could not make up any more is placed now, to the nearest document.
-        due = F.round((F.col("rest") - s["taken"] - (F.col("words") - words)) / one).cast("long")
-        k = F.when(x["size"] > 0, F.greatest(_long(0), F.least(x["n"], F.greatest(even, due)))).otherwise(_long(0))
-        row = F.struct(x["size"].alias("size"), k.alias("k"), s["docs"].alias("stratum_at"), s["extra"].alias("extra_at"))
-        return F.struct(words.alias("words"), (s["taken"] + k * x["size"]).alias("taken"), (s["docs"] + x["n"]).alias("docs"), (s["extra"] + k).alias("extra"), F.concat(s["rows"], F.array(row)).alias("rows"))
-
-    out = out.withColumn("q", F.aggregate("sizes", first, step))
-    return out.withColumn("draws", F.col("base") * F.col("docs") + F.col("q.extra"))
+        fits = F.greatest(_long(0), F.floor(s["lack"] / x["size"] + 1e-9))
+        take = F.least(fits, x["left"])
+        whole = take == x["left"]
+        end = F.struct(F.coalesce(s["top"], x["size"]).alias("top"), x["size"].alias("bottom"), take.alias("k"))
+        top = F.when(whole, F.coalesce(s["top"], x["size"]))
+        ended = F.when(~whole & (s["top"].isNotNull() | (take > 0)), F.concat(s["runs"], F.array(end))).otherwise(s["runs"])
+        return F.struct((s["lack"] - take * x["size"]).alias("lack"), top.alias("top"), ended.alias("runs"))
+
+    def closed(s: Column) -> Column:
+        last = F.struct(s["top"].alias("top"), _long(0).alias("bottom"), _long(0).alias("k"))
+        return F.when(s["top"].isNotNull(), F.concat(s["runs"], F.array(last))).otherwise(s["runs"])
+
+    runs = sizes.select("src", F.aggregate("sizes", first, step, closed).alias("runs"))
+    mine = F.filter("runs", lambda r: (r["top"] >= F.col("size")) & (r["bottom"] <= F.col("size")))
+    more = _let(mine, lambda m: F.when(F.size(m) == 0, _long(0)).when(m[0]["bottom"] == F.col("size"), m[0]["k"]).otherwise(F.col("n") - F.col("even")))
+    out = strata.join(runs, "src", "left").withColumn("k", F.col("even") + F.when((F.col("size") > 0) & F.col("runs").isNotNull(), more).otherwise(_long(0)))
+    out = out.withColumn("k", F.when(F.col("flip") & (F.col("size") > 0), F.col("n") - F.col("k")).otherwise(F.col("k")))
+    out = out.withColumn("extra_at", before("k")).drop("runs", "even", "rest", "goal", "rate", "flip")
+    return common.materialize(out, "mix-quotas")
 
 
 def splitting_tree(quotas: DataFrame, shards: int, seed: int) -> DataFrame:
@@ -159,6 +198,8 @@ def splitting_tree(quotas: DataFrame, shards: int, seed: int) -> DataFrame:
     ``quotas`` has (src, draws); ``shards`` is a power of two.  A node is one
     row with an array over sources; its halves take draws as even as can be.
     """
+    if shards < 1 or shards & (shards - 1):
+        raise ValueError("shards must be a power of two")
     node = quotas.agg(F.sort_array(F.collect_list(F.struct("src", "draws"))).alias("q"))
     node = node.select(F.transform("q", lambda x: x["src"]).alias("srcs"), F.transform("q", lambda x: x["draws"]).alias("q"), _long(0).alias("node"))
     level, width = 0, shards
@@ -186,38 +227,76 @@ def splitting_tree(quotas: DataFrame, shards: int, seed: int) -> DataFrame:
     return running.select("src", F.transform("a", lambda x: F.aggregate(F.filter("a", lambda y: y["node"] <= x["node"]), _long(0), lambda s, y: s + y["q"])).alias("ends"))
 
 
+def _shard_of(place: Column) -> Column:
+    """The shard that owns a place: the number of runs that end before it."""
+    return F.size(F.filter("ends", lambda e: e <= place))
+
+
+def _place(p: Column) -> Column:
+    """The permuted place of a source's p-th draw."""
+    total = F.greatest(F.col("source_draws"), _long(1))
+    return F.pmod(F.pmod(p, total) * F.col("step") + F.col("shift"), total)
+
+
+def _blocks(strata: DataFrame, facts: DataFrame, shards: int) -> DataFrame:
+    """(src, size, drawn, starts): how many documents of a stratum each shard draws,
+    and where its block of the stratum's documents starts."""
+    some = strata.filter("k > 0").select("src", "size", "k", "extra_at")
+    runs = some.select("*", F.explode(F.sequence(_long(0), F.col("k") - 1, _long(RUN))).alias("from"))
+    runs = runs.repartition("src", "size", "from").join(facts, "src")
+    drawn = runs.withColumn("t", F.explode(F.sequence(F.col("from"), F.least(F.col("from") + RUN, F.col("k")) - 1)))
+    drawn = drawn.select("src", "size", _shard_of(_place(F.col("base") * F.col("docs") + F.col("extra_at") + F.col("t"))).alias("shard"))
+    drawn = drawn.groupBy("src", "size", "shard").agg(F.count("*").alias("m")).groupBy("src", "size").agg(F.map_from_entries(F.collect_list(F.struct("shard", "m"))).alias("m"))
+    out = strata.select("src", "size", "n", "k").join(drawn, ["src", "size"]).join(facts.select("src", "ends", "source_draws"), "src")
+    out = out.withColumn("drawn", F.transform(F.sequence(F.lit(0), F.lit(shards - 1)), lambda j: F.coalesce(F.try_element_at("m", j), _long(0))))
+    # A block holds the shard's draws and its share of the documents that stay.
+    def start(j: Column) -> Column:
+        before = F.aggregate(F.slice("drawn", F.lit(1), j), _long(0), lambda a, x: a + x)
+        return before + F.when(j > 0, F.floor((F.col("n") - F.col("k")) * (F.get("ends", j - 1) / F.col("source_draws")))).otherwise(_long(0))
+
+    out = out.withColumn("starts", F.transform(F.sequence(F.lit(0), F.lit(shards - 1)), start))
+    return common.materialize(out.select("src", "size", "drawn", "starts"), "mix-blocks")
+
+
 def plan(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, max_repeats: int = MAX_REPEATS, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
     """Per row of ``docs``: row (its columns), size, source_size, target, and
     ``draws``: an array of (shard, place) with one entry per copy taken."""
     sized = _sized(docs, seed)
     counts = common.materialize(sized.groupBy("src", "size", "salt").agg(F.count("*").alias("n")), "mix-counts")
-    hist = counts.groupBy("src", "size").agg(F.sum("n").alias("n"))
-    per_source = hist.groupBy("src").agg(
-        F.sum(F.col("n") * F.col("size")).alias("words"), F.sum("n").alias("docs"),
-        F.sort_array(F.collect_list(F.struct("size", "n")), asc=False).alias("sizes"),
+    hist = common.materialize(counts.groupBy("src", "size").agg(F.sum("n").alias("n")), "mix-sizes")
+    per_source = common.materialize(hist.groupBy("src").agg(F.sum(F.col("n") * F.col("size")).alias("words"), F.sum("n").alias("docs")), "mix-sums")
+    targets = source_targets(per_source, weights, share, max_repeats).select("src", "words", "docs", "target")
+    strata = _quotas(hist, targets, max_repeats)
+    sources = strata.groupBy("src").agg(
+        F.max("base").alias("base"), F.max("words").alias("source_size"), F.max("target").alias("target"), F.max("docs").alias("docs"),
+        (F.max(F.col("base") * F.col("docs")) + F.sum("k")).alias("source_draws"),
     )
-    targets = source_targets(per_source.select("src", "words"), weights, share, max_repeats).select("src", "target")
-    sources = common.materialize(_quotas(per_source.join(targets, "src"), max_repeats).drop("sizes"), "mix-sources")
-    ends = splitting_tree(sources.select("src", "draws"), shards, seed)
-    q = F.col("draws")
+    sources = common.materialize(sources, "mix-sources")
+    ends = splitting_tree(sources.select("src", F.col("source_draws").alias("draws")), shards, seed)
+    q = F.col("source_draws")
     step = F.lit(1)
     for p in reversed(_PRIMES):
         step = F.when(F.pmod(F.lit(p), F.greatest(q, _long(1))) == 0, step).otherwise(F.when(F.pmod(q, F.lit(p)) != 0, F.lit(p)).otherwise(step))
-    facts = sources.join(ends, "src").select(
-        "src", "base", F.col("words").alias("source_size"), "target", "docs", F.col("draws").alias("source_draws"), "ends",
-        step.cast("long").alias("step"), F.pmod(F.xxhash64("src", F.lit(seed)), F.greatest(q, _long(1))).alias("shift"),
-    )
+    facts = sources.join(ends, "src").withColumns({"step": step.cast("long"), "shift": F.pmod(F.xxhash64("src", F.lit(seed)), F.greatest(q, _long(1)))})
     facts = common.materialize(facts, "mix-facts")
-    strata = sources.select("src", F.explode("q.rows").alias("r")).select("src", "r.*")
+    blocks = _blocks(strata, facts, shards)
+    # A row per stratum, and for hot ones a row per salt with the documents of the salts before.
+    strata = strata.select("src", "size", "stratum_at", (F.col("n") > HOT).alias("hot")).join(blocks, ["src", "size"], "left")
+    strata = common.materialize(strata, "mix-plan")
     over_salts = Window.partitionBy("src", "size").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
-    salted = counts.withColumn("salt_at", F.coalesce(F.sum("n").over(over_salts), _long(0))).drop("n").join(strata, ["src", "size"])
-    ranked = sized.withColumn("nth", F.row_number().over(Window.partitionBy("src", "size", "salt").orderBy("h", "row.doc_id")) - 1)
-    ranked = ranked.join(salted, ["src", "size", "salt"]).join(facts, "src")
-    rank = F.col("nth") + F.col("salt_at")
-    epochs = F.transform(F.sequence(_long(0), _long(max_repeats - 1)), lambda e: F.when(e < F.col("base"), e * F.col("docs") + F.col("stratum_at") + rank).when((e == F.col("base")) & (rank < F.col("k")), e * F.col("docs") + F.col("extra_at") + rank))
-    total = F.greatest(F.col("source_draws"), _long(1))
-    places = F.transform(F.filter(epochs, lambda p: p.isNotNull()), lambda p: F.pmod(F.pmod(p, total) * F.col("step") + F.col("shift"), total))
-    draws = F.transform(places, lambda p: F.struct(F.size(F.filter("ends", lambda e: e <= p)).alias("shard"), F.xxhash64(p, "src", F.lit(seed)).alias("place")))
+    hot = counts.join(strata.filter("hot").select("src", "size"), ["src", "size"])
+    hot = common.materialize(hot.withColumn("salt_at", F.coalesce(F.sum("n").over(over_salts), _long(0))).drop("n"), "mix-salts")
+    ranked = sized.join(strata, ["src", "size"]).withColumn("salt", F.when(F.col("hot"), F.col("salt")).otherwise(_long(-1)))
+    ranked = ranked.withColumn("nth", (F.row_number().over(Window.partitionBy("src", "size", "salt").orderBy("h", "row.doc_id", "tie")) - 1).cast("long"))
+    ranked = ranked.join(hot, ["src", "size", "salt"], "left").join(facts, "src")
+    ranked = ranked.withColumn("rank", F.col("nth") + F.coalesce("salt_at", _long(0)))
+    whole = F.transform(F.filter(F.sequence(_long(0), _long(max_repeats - 1)), lambda e: e < F.col("base")), lambda e: _place(e * F.col("docs") + F.col("stratum_at") + F.col("rank")))
+    copies = F.transform(whole, lambda p: F.struct(_shard_of(p).cast("int").alias("shard"), F.xxhash64(p, "src", F.lit(seed)).alias("place")))
+    # The block that a document falls in is the last that starts at or before its rank.
+    block = F.size(F.filter("starts", lambda a: a <= F.col("rank"))) - 1
+    extra = F.struct(block.cast("int").alias("shard"), F.xxhash64("h", "tie", F.lit(seed)).alias("place"))
+    in_block = _let(block, lambda b: F.col("rank") - F.get("starts", b) < F.get("drawn", b))
+    draws = F.when(F.col("starts").isNotNull() & in_block, F.concat(copies, F.array(extra))).otherwise(copies)
     return ranked.select("row", "size", "source_size", "target", draws.alias("draws"))
 
 
