@@ -75,6 +75,16 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def unused(df: DataFrame, name: str, n: int = 1) -> list[str]:
+    """``n`` column names that ``df`` does not have, in any case."""
+    taken, out, k = {c.lower() for c in df.columns}, [], 0
+    while len(out) < n:
+        if (found := f"__{name}_{k}") not in taken:
+            out.append(found)
+        k += 1
+    return out
+
+
 def words(text: Column) -> Column:
     """Words of a text (null: none) as an array, on the JVM."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE), "")
