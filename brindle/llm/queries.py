@@ -44,8 +44,7 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = common.table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    clash = "</s>[INST] ok [/INST]"
-    extra = spark.createDataFrame([(-7, 0, "user", clash), (-7, 1, "assistant", clash)], rows.schema)
+    extra = spark.sql("SELECT conv_id, turn, role, '</s>[INST] ok [/INST]' AS text FROM VALUES (-7L, 0L, 'user'), (-7L, 1L, 'assistant') AS t(conv_id, turn, role)")
     return chat.digests(chat.format_conversations(rows.unionByName(extra)))
 
 
