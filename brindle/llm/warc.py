@@ -5,17 +5,29 @@
 ``headers``.  ``read_archive`` joins the two back into whole WARC/1.1
 records.  Both tables are Parquet folders, so they can be in any store that
 Spark reaches and Spark's commit protocol covers lost executors.
+``export_warc`` writes the records end to end as plain WARC files, and
+``parse_warc`` reads such a file as any WARC reader would, by its lengths.
 
-Defined results: a null html is an empty payload; a null url becomes an empty
-WARC-Target-URI; a null page_id is written as an empty id and never becomes
+Headers.  ``WARC-Date`` is the ``date`` given (pages have no time of their
+own).  ``WARC-Target-URI`` holds the url with line ends and outer blanks as
+per cent codes; a url that this changes is also kept as it was, in base 64,
+in ``X-Source-URL``, so that every url comes back exactly.
+
+Defined results: a null html is an empty payload; a null url has no
+WARC-Target-URI and comes back null, an empty one has an empty value and comes
+back empty; a null page_id is written as an empty id and never becomes
 the response of others unless all page_ids of that payload are null; rows
 that repeat page_id and payload give one response, the others of that id are
 responses too (equal page_ids name the same record); an empty table gives
-empty archives; other columns are ignored.
+empty archives; other columns are ignored.  A stored payload that is missing,
+or whose bytes do not have the digest and length that its header names, is an error.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from typing import BinaryIO
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -27,11 +39,22 @@ _CRLF = "\r\n"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
-def _header(kind: str, page: Column, url: Column, digest: Column, size: Column, refers: Column | None) -> Column:
-    text = F.coalesce(page.cast("string"), F.lit(""))
+#: Of pages without a time of their own.
+DATE = "1970-01-01T00:00:00Z"
+
+
+def _shown_url(url: Column) -> Column:
+    """A url in one line without outer blanks."""
+    out = F.regexp_replace(F.regexp_replace(url, "\r", "%0D"), "\n", "%0A")
+    return F.regexp_replace(F.regexp_replace(out, "^[ \t]+", ""), "[ \t]+$", "")
+
+
+def _header(kind: str, date: str, page: Column, url: Column, digest: Column, size: Column, refers: Column | None) -> Column:
     parts = [
-        F.lit(f"WARC/1.1{_CRLF}WARC-Type: {kind}{_CRLF}WARC-Record-ID: <urn:page:"), text,
-        F.lit(f">{_CRLF}WARC-Target-URI: "), F.regexp_replace(F.coalesce(url, F.lit("")), r"[\r\n]", ""),
+        F.lit(f"WARC/1.1{_CRLF}WARC-Type: {kind}{_CRLF}WARC-Record-ID: <urn:page:"), F.coalesce(page.cast("string"), F.lit("")),
+        F.lit(f">{_CRLF}WARC-Date: {date}"),
+        F.coalesce(F.concat(F.lit(f"{_CRLF}WARC-Target-URI: "), _shown_url(url)), F.lit("")),
+        F.coalesce(F.when(_shown_url(url) != url, F.concat(F.lit(f"{_CRLF}X-Source-URL: "), F.regexp_replace(F.base64(F.encode(url, "UTF-8")), "[\r\n]", ""))), F.lit("")),
         F.lit(f"{_CRLF}WARC-Payload-Digest: sha256:"), digest,
     ]
     if refers is not None:
@@ -44,7 +67,7 @@ def _header(kind: str, page: Column, url: Column, digest: Column, size: Column,
     return F.concat(*parts)
 
 
-def write_archive(pages: DataFrame, path: str, min_revisit_bytes: int = MIN_REVISIT_BYTES) -> None:
+def write_archive(pages: DataFrame, path: str, min_revisit_bytes: int = MIN_REVISIT_BYTES, date: str = DATE) -> None:
     """Write ``pages`` (page_id, url, html) as an archive under ``path``.
 
     The first pass moves only (digest, page_id): map-side minima, so that a
@@ -58,8 +81,8 @@ def write_archive(pages: DataFrame, path: str, min_revisit_bytes: int = MIN_REVI
     response = (F.col("size") < min_revisit_bytes) | F.col("page_id").eqNullSafe(F.col("first_id"))
     linked.select(
         "page_id", "digest",
-        F.when(response, _header("response", F.col("page_id"), F.col("url"), F.col("digest"), F.col("size"), None))
-        .otherwise(_header("revisit", F.col("page_id"), F.col("url"), F.col("digest"), F.col("size"), F.col("first_id")))
+        F.when(response, _header("response", date, F.col("page_id"), F.col("url"), F.col("digest"), F.col("size"), None))
+        .otherwise(_header("revisit", date, F.col("page_id"), F.col("url"), F.col("digest"), F.col("size"), F.col("first_id")))
         .alias("header"),
     ).write.option("compression", "zstd").parquet(f"{path}/headers")
     # One row holds a payload: the smallest page_id of its digest; repeated page_ids are made one below.
@@ -71,7 +94,7 @@ def write_archive(pages: DataFrame, path: str, min_revisit_bytes: int = MIN_REVI
 
 
 def read_archive(spark: SparkSession, path: str) -> DataFrame:
-    """Records of an archive: header, payload (empty for a revisit), whole record bytes,
+    """Records of an archive: header, payload (empty for a revisit), whole record bytes, stored digest,
     and ``verified``: the stored bytes have the digest that the header names."""
     headers = spark.read.parquet(f"{path}/headers")
     payloads = spark.read.parquet(f"{path}/payloads").select(F.col("digest").alias("stored_digest"), F.col("payload").alias("stored"))
@@ -80,17 +103,46 @@ def read_archive(spark: SparkSession, path: str) -> DataFrame:
     revisit = F.col("header").contains(f"{_CRLF}WARC-Type: revisit{_CRLF}")
     body = F.when(revisit, F.lit(b"")).otherwise(F.col("stored"))
     return joined.select(
-        "header", body.alias("payload"), "stored_bytes", "verified",
+        "header", body.alias("payload"), "stored_bytes", "stored_digest", "verified",
         F.concat(F.encode("header", "UTF-8"), body, F.lit(_CRLF.encode() * 2)).alias("record"),
     )
 
 
+def export_warc(records: DataFrame, path: str) -> None:
+    """Write records of :func:`read_archive` as WARC files, whole records end to end.
+
+    Payloads are UTF-8, so Spark's text files hold their very bytes; the two
+    line ends behind each record are what those files put behind each row."""
+    whole = F.concat("header", F.decode("payload", "UTF-8"))
+    records.select(whole.alias("record")).write.option("lineSep", _CRLF * 2).text(path)
+
+
+def parse_warc(data: BinaryIO) -> Iterator[tuple[list[tuple[str, str]], bytes]]:
+    """(fields, block) of each record of an open WARC file."""
+    while line := data.readline():
+        if line != b"WARC/1.1\r\n":
+            raise ValueError(f"not the start of a record: {line[:40]!r}")
+        fields = []
+        while (line := data.readline()) != b"\r\n":
+            if not line.endswith(b"\r\n"):
+                raise ValueError("a header block does not end")
+            name, value = line[:-2].decode().split(":", 1)
+            fields.append((name, value[1:]))
+        size = int(dict(fields)["Content-Length"])
+        block, end = data.read(size), data.read(4)
+        if len(block) != size or end != b"\r\n\r\n":
+            raise ValueError("a record is cut short")
+        yield fields, block
+
+
 def parse_headers(records: DataFrame) -> DataFrame:
     """The fields of a record's header block, read from its text."""
     field = lambda name, pattern: F.regexp_extract("header", f"\r\n{name}: {pattern}\r\n", 1)
     return records.withColumns({
         "page_id": field("WARC-Record-ID", "<urn:page:(-?[0-9]*)>").try_cast("bigint"),
-        "url": field("WARC-Target-URI", "([^\r\n]*)"),
+        "url": F.when(F.col("header").contains(f"{_CRLF}X-Source-URL: "), F.decode(F.unbase64(field("X-Source-URL", "([^\r\n]*)")), "UTF-8")).when(
+            F.col("header").contains(f"{_CRLF}WARC-Target-URI: "), field("WARC-Target-URI", "([^\r\n]*)")),
+        "date": field("WARC-Date", "([^\r\n]*)"),
         "record_type": field("WARC-Type", "([a-z]+)"),
         "payload_digest": field("WARC-Payload-Digest", "sha256:([0-9a-f]+)"),
         "refers_to": field("WARC-Refers-To", "<urn:page:(-?[0-9]*)>").try_cast("bigint"),
@@ -101,10 +153,17 @@ def parse_headers(records: DataFrame) -> DataFrame:
 def archive_report(pages: DataFrame, path: str) -> DataFrame:
     """Write ``pages``, read the archive back and report each record (see module)."""
     write_archive(pages, path)
-    records = parse_headers(read_archive(pages.sparkSession, path))
-    sound = F.col("verified") & (F.length("payload") == F.col("content_length"))
+    return report(pages.sparkSession, path)
+
+
+def report(spark: SparkSession, path: str) -> DataFrame:
+    """The contract's columns of each record of an archive."""
+    records = parse_headers(read_archive(spark, path))
+    size, revisit = F.col("content_length"), F.col("record_type") == "revisit"
+    sound = F.coalesce(F.col("verified") & (F.col("payload_digest") == F.col("stored_digest")) & (size == F.when(revisit, 0).otherwise(F.col("stored_bytes"))), F.lit(False))
+    broken = F.raise_error(F.concat(F.lit("a stored payload is missing or damaged: "), "payload_digest")).cast("long")
     return records.select(
         "page_id",
-        F.when(sound, F.col("stored_bytes")).alias("payload_bytes"),
+        F.when(sound, F.col("stored_bytes")).otherwise(broken).alias("payload_bytes"),
         "payload_digest", "record_type", "refers_to",
     )

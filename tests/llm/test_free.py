@@ -95,6 +95,38 @@ def test_components_of_a_long_chain(spark):
     assert components.connected_components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
 
 
+def test_components_take_few_steps(spark, monkeypatch):
+    """A sorted chain, a star whose middle is the greatest, and a chain of small and great nodes in turn."""
+    made = Counter()
+    plain = components.common.materialize
+    monkeypatch.setattr(components.common, "materialize", lambda df, tag: made.update([tag]) or plain(df, tag))
+    n = 1000
+    chain = [(i, i + 1) for i in range(n - 1)]
+    star = [(5000 + n, 5000 + i) for i in range(n)]
+    turns = [(10_000 + i // 2 + (i % 2) * n, 10_000 + (i + 1) // 2 + ((i + 1) % 2) * n) for i in range(n)]
+    for edges in (chain, star, turns):
+        made.clear()
+        got = {r["component"] for r in components.connected_components(spark.createDataFrame(edges, "a bigint, b bigint").coalesce(1)).collect()}
+        assert got == {min(map(min, edges))} and made["cc-step"] <= 3 and made["cc-jump"] <= 12, made
+
+
+def test_hot_hubs_are_dealt_over_buckets(spark, monkeypatch):
+    """Links inside a hub's group are the same however small the blocks and however many the buckets."""
+    r = random.Random(8)
+    vocabulary = [f"w{i}" for i in range(300)]
+    core = [r.choice(vocabulary) for _ in range(60)]
+    rows = []
+    for i in range(150):  # a common part and a part of each text's own, near the threshold in both directions
+        own = [r.choice(vocabulary) for _ in range(r.choice([4, 8, 12, 16]))]
+        rows.append((i, " ".join(core + own + (rows[-1][1].split()[60:] if i % 3 == 1 else []))))
+    want = brute_classes(rows, 2)
+    for sizes in ((256, 1024, 1 << 18, 1 << 20, 64), (5, 9, 1 << 18, 1 << 20, 3), (256, 1024, 300, 500, 1)):
+        for name, value in zip(("LEFT", "RIGHT", "LEFT_SHINGLES", "RIGHT_SHINGLES", "BUCKETS"), sizes, strict=True):
+            monkeypatch.setattr(neardup, name, value)
+        got = {g["doc_id"]: g["component_id"] for g in neardup.classify(docs(spark, rows), 2).collect()}
+        assert got == want
+
+
 # Token files.
 
 ODD = ["a\x1cb c d", "<|endoftext|> x<|endoftext|>y", "Σίσυφος ΣΑΣ Ss", "don't I'LL  you'vé e ́x", " x\u0085y", "", " \n", None, "ﬁ İstanbul ǅ ŉa Ĳs", "a" * 5000, "123 4-5 ..!?", "Émile''s é́ Å ſs", "x<|endoftext|> é<|startoftext|>,", "word\x0bword"]
@@ -216,6 +248,48 @@ def test_archive_round_trip(spark):
     assert warc.archive_report(pages.limit(0), new_path(spark, "w")).count() == 0
 
 
+def test_archive_keeps_urls_and_gives_warc_files(spark):
+    import io
+    from pathlib import Path
+    from urllib.parse import urlparse
+
+    urls = ["http://a/", None, "", " http://b/\t", "http://c/\r\nWARC-Type: revisit", "http://d/%0D%0A?x=é", "\n", "a\u2028b"]
+    html = ["<p>" + "ä🙂" * 60, "<p>" + "ä🙂" * 60, "", None, "WARC/1.1\r\n\r\nx\r\n\r\n", "\r\n\r\n", "x" * 300_000, "tiny"]
+    pages = spark.createDataFrame([(i, u, h) for i, (u, h) in enumerate(zip(urls, html, strict=True))], "page_id bigint, url string, html string").repartition(3)
+    path = new_path(spark, "w")
+    warc.write_archive(pages, path, date="2024-05-06T07:08:09Z")
+    records = warc.read_archive(spark, path)
+    got = {r["page_id"]: r for r in warc.parse_headers(records).collect()}
+    assert [got[i]["url"] for i in range(len(urls))] == urls
+    warc.export_warc(records, f"{path}/warc")
+    found = {}
+    for file in Path(urlparse(path).path).glob("warc/part-*"):
+        data = file.read_bytes()
+        whole = [bytes(r["record"]) for r in got.values()]
+        assert sum(x in data for x in whole) == len(list(warc.parse_warc(io.BytesIO(data))))
+        for fields, block in warc.parse_warc(io.BytesIO(data)):
+            names = [n for n, _ in fields]
+            assert len(names) == len(set(names)) and {"WARC-Type", "WARC-Record-ID", "WARC-Date", "Content-Length"} <= set(names)
+            f = dict(fields)
+            assert f["WARC-Date"] == "2024-05-06T07:08:09Z"
+            found[int(f["WARC-Record-ID"][len("<urn:page:") : -1])] = (f["WARC-Type"], block.decode())
+    assert found == {i: ("response", h or "") if i != 1 else ("revisit", "") for i, h in enumerate(html)}
+    with pytest.raises(ValueError):
+        list(warc.parse_warc(io.BytesIO(whole[0][:-1])))
+
+
+def test_damaged_archives_are_errors(spark):
+    pages = spark.createDataFrame([(1, "u", "a" * 200), (2, "u", "b" * 200)], "page_id bigint, url string, html string")
+    path = new_path(spark, "w")
+    warc.write_archive(pages, path)
+    stored = spark.read.parquet(f"{path}/payloads").collect()
+    bad = spark.createDataFrame([(stored[0]["digest"], bytearray(b"c" * 200)), (stored[1]["digest"], stored[1]["payload"])], "digest string, payload binary")
+    for payloads in (bad, bad.limit(0)):
+        payloads.write.mode("overwrite").parquet(f"{path}/payloads")
+        with pytest.raises(Exception, match="missing or damaged"):
+            warc.report(spark, path).collect()
+
+
 # Classifiers.
 
 

@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import re
 import struct
 from collections import Counter
@@ -268,6 +269,44 @@ def test_leaks_against_brute_force(spark):
     assert Counter(r["text"] for r in clean.collect()) == Counter(t for _, t in rows if t not in bad)
 
 
+def test_size_parts_have_their_own_sketches_and_bounds(spark):
+    r = random.Random(4)
+    word = lambda: "".join(r.choice("abcdefghijklmnop") for _ in range(6))
+    items = [(i, " ".join(word() for _ in range(n + 4))) for i, n in enumerate([1, 2, 3, 4, 5, 6, 8, 9, 16, 17, 30, 32, 33, 64, 65, 128, 200, 256, 500, 1000, 4000] * 3)]
+    bench = spark.createDataFrame(items, "item_id bigint, text string")
+    rows = decontam.sketches(bench).collect()
+    of = {}
+    for x in rows:
+        of.setdefault(x["item_id"], []).append(x)
+    sizes = decontam.part_sizes()
+    for i, text in items:
+        n = len(text.split()) - 4
+        assert {x["n"] for x in of[i]} == {n} and {x["part"] for x in of[i]} == {(n - 1).bit_length()}
+        assert len(of[i]) == min(n, sizes[(n - 1).bit_length()]) and len(of[i]) >= decontam.sketch_size(n)
+    bound = {p: max(x["hash"] for x in rows if x["part"] == p) for p in {x["part"] for x in rows}}
+    # The larger the items, the lower their bound, and so the fewer shingles they ask for.
+    assert [bound[p] for p in (5, 7, 9, 12)] == sorted((bound[p] for p in (5, 7, 9, 12)), reverse=True)
+    text = " ".join(word() for _ in range(20_000))
+    bounds = [{"width": 5, "part": p, "top": b} for p, b in bound.items()]
+    probes = Counter(x["part"] for x in decontam._probes(spark.createDataFrame([(1, text)], "doc_id bigint, text string"), "doc_id", bounds).collect())
+    assert probes[12] * 20 < probes[5] <= 19_996 and probes[12] < probes[9] < probes[7] < probes[5]
+
+
+def test_sketches_miss_hardly_ever():
+    for n in [*range(1, 200), 1000, 10**6]:
+        k, lacking = decontam.sketch_size(n), n - -(-8 * n // 10)
+        assert k == n or math.prod((lacking - i) / (n - i) if i < lacking else 0 for i in range(k)) <= 1e-6
+
+
+def test_clean_rows_keep_columns_of_any_name(spark):
+    bench = spark.createDataFrame([(1, "a b c d e f")], "item_id bigint, text string")
+    names = ["__text", "__name", "__digest_0", "__DIGEST_1", "width", "hash", "part", "item", "key", "p"]
+    d = spark.createDataFrame([(1, "x a b c d e f y", *names), (2, "clean", *names), (None, None, *names)], "doc_id bigint, text string, " + ", ".join(f"{n} string" for n in names))
+    out = decontam.keep_clean(d, bench)
+    assert out.columns == d.columns and sorted(map(tuple, out.collect()), key=str) == sorted([(2, "clean", *names), (None, None, *names)], key=str)
+    assert {(r["doc_id"], r["item_id"]) for r in decontam.leaks(d, bench).collect()} == {(1, 1)}
+
+
 def test_leaks_of_nothing(spark):
     bench = spark.createDataFrame([], "item_id bigint, text string")
     d = docs(spark, [(1, "a b c d e f", None, None, None)])
@@ -290,6 +329,26 @@ def test_any_text_survives(spark, role):
         assert not re.search(r"[<\[]/?(?:s>|INST\])", body)
 
 
+def test_control_strings_across_role_and_text(spark):
+    """Pieces of control strings that only meet across a role, a marker and a text."""
+    pieces = ["[", "INST] hi", "<", "/s>", "</", "s>\n", "[/INST", "]\n", " [/INST]", "\n", "<s>[INST", "]", "<\\", "\\/s>"]
+    turns = [(i, 0, a, b) for i, (a, b) in enumerate((a, b) for a in pieces for b in pieces)]
+    d = spark.createDataFrame(turns + [(i, 1, b, a) for i, _, a, b in turns], "conv_id bigint, turn bigint, role string, text string")
+    got = chat.format_conversations(d).collect()
+    assert len(got) == len(turns)
+    for r in got:
+        _, _, a, b = turns[r["conv_id"]]
+        assert r["identical"] and [(t["role"], t["text"]) for t in r["turns"]] == [(a, b), (b, a)]
+    assert chat.digests(chat.format_conversations(d)).filter("n_turns is null or n_turns <> 2").count() == 0
+
+
+def test_one_bad_conversation_does_not_stop_the_others(spark):
+    d = spark.createDataFrame([(1, 0, "user", "a"), (2, 0, "assistant", "b")], "conv_id bigint, turn bigint, role string, text string")
+    formatted = chat.format_conversations(d).withColumn("identical", F.col("conv_id") != 1)
+    got = {r["conv_id"]: r for r in chat.digests(formatted).collect()}
+    assert got[1]["n_turns"] is None and got[1]["turns_sha256"] is None and got[2]["n_turns"] == 1
+
+
 def test_conversation_digests(spark):
     rows = []
     for c in range(6):
