@@ -19,8 +19,8 @@ beside ``part``, ``seq`` and the documents' ids, in ascending doc_id order,
 so any store that Spark reaches will do and a lost executor loses no file.
 
 Defined results: null text is empty and gets the end id alone; null doc_ids
-come first; rows that repeat a doc_id are documents of their own, ordered by
-text; an empty table gives an empty folder; other columns are ignored.
+come first; rows that repeat a doc_id are documents of their own, ordered by a
+hash of their text and then the text; an empty table gives an empty folder; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -115,10 +115,35 @@ class Segment:
             out = value
         return out
 
+    def _rank(self, level: int, i: int) -> int:
+        """How many of the level's first ``i`` entries go on, by its directory."""
+        _, bits, ranks = self.levels[level]
+        block = i // BLOCK
+        ones = int(ranks[block]) + int(np.bitwise_count(bits[block * BLOCK // 8 : i >> 3]).sum())
+        return ones + (int(bits[i >> 3] & ((1 << (i & 7)) - 1)).bit_count() if i & 7 else 0)
+
+    def span(self, start: int, end: int) -> np.ndarray:
+        """Ids from ``start`` to ``end``.  Entries of a run that go on are a run of the
+        next level, whose ends the directory gives; nothing else is decoded."""
+        runs = []
+        for level in range(len(self.levels)):
+            if start >= end:
+                break
+            runs.append((level, start, end))
+            start, end = self._rank(level, start), self._rank(level, end)
+        out = np.zeros(0, np.uint32)
+        for level, a, b in reversed(runs):
+            chunks, bits, _ = self.levels[level]
+            value = chunks[a:b].astype(np.uint32)
+            if len(out):
+                goes_on = np.unpackbits(bits[a >> 3 : (b + 7) >> 3], bitorder="little")[a & 7 : (a & 7) + b - a].astype(bool)
+                value[goes_on] |= out << CHUNK_BITS
+            out = value
+        return out
+
     def document(self, k: int) -> np.ndarray:
-        """The ids of the k-th document, read id by id."""
-        start = int(self.ends[k - 1]) if k else 0
-        return np.array([self[i] for i in range(start, int(self.ends[k]))], np.uint32)
+        """The ids of the k-th document."""
+        return self.span(int(self.ends[k - 1]) if k else 0, int(self.ends[k]))
 
 
 #: Letters whose normal form is one lower-case letter each, then marks other than the apostrophe.
@@ -248,11 +273,10 @@ def write_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = E
 
 def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        for row in batch.to_pylist():
-            segment = Segment(row["segment"])
-            raw, rows, start = segment.ids().astype("<u4").tobytes(), [], 0
-            for doc, end in zip(row["docs"], segment.ends.tolist(), strict=True):
-                rows.append({"doc_id": doc, "start": row["at"] + start, "n_tokens": end - start, "ids_crc32": zlib.crc32(raw[4 * start : 4 * end])})
+        for docs, blob, at in zip(*batch.columns, strict=True):
+            segment, rows, start = Segment(blob.as_buffer()), [], 0
+            for k, (doc, end) in enumerate(zip(docs.as_py(), segment.ends.tolist(), strict=True)):
+                rows.append({"doc_id": doc, "start": at.as_py() + start, "n_tokens": end - start, "ids_crc32": zlib.crc32(segment.document(k).astype("<u4", copy=False))})
                 start = end
             yield pa.RecordBatch.from_pylist(rows, schema=_REPORT)
 
@@ -260,18 +284,53 @@ def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 _REPORT = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
 
 
+def segment_starts(spark: SparkSession, path: str) -> DataFrame:
+    """(part, seq, n_ids, at): each segment, and how many ids stand before it.
+
+    Segments are summed up by part; running sums go over the parts, of which
+    there are as many as writing tasks, and then inside each part."""
+    heads = spark.read.schema(_SEGMENT_DDL).parquet(path).groupBy("part", "seq").agg(F.max("n_ids").alias("n_ids"))
+    heads = common.materialize(heads, "token-heads")
+    before = lambda c, w: F.coalesce(F.sum(c).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long"))
+    parts = heads.groupBy("part").agg(F.sum("n_ids").alias("all")).withColumn("part_at", before("all", Window.orderBy("part")))
+    inside = heads.withColumn("inner_at", before("n_ids", Window.partitionBy("part").orderBy("seq")))
+    placed = inside.join(parts.select("part", "part_at"), "part").select("part", "seq", "n_ids", (F.col("part_at") + F.col("inner_at")).alias("at"))
+    # Written, so that the planner knows its size and need not shuffle the segments for a join.
+    return common.materialize(placed, "token-starts")
+
+
 def read_files(spark: SparkSession, path: str) -> DataFrame:
-    """Per document: doc_id, start (ids of all before it), n_tokens, ids_crc32, all from the files."""
-    files = spark.read.schema(_SEGMENT_DDL).parquet(path)
-    # Where segments start: a table of a row per segment, a millionth of the ids.
-    heads = files.groupBy("part", "seq").agg(F.max("n_ids").alias("n_ids"))
-    heads = heads.withColumn("at", F.coalesce(F.sum("n_ids").over(Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long")))
-    # Written first, so that the planner knows its size and need not shuffle the segments for the join.
-    heads = common.materialize(heads.select("part", "seq", "at"), "token-starts")
-    placed = files.join(heads, ["part", "seq"])
+    """Per document: doc_id, start (ids of all before it), n_tokens, ids_crc32, all from the files.
+
+    Each document is read by itself, through the rank directories."""
+    placed = spark.read.schema(_SEGMENT_DDL).parquet(path).join(segment_starts(spark, path).select("part", "seq", "at"), ["part", "seq"])
     return placed.select("docs", "segment", "at").mapInArrow(_reader, T.StructType.fromDDL("doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint"))
 
 
+def _finder(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for blob, places, at in zip(*batch.columns, strict=True):
+            segment, found = Segment(blob.as_buffer()), places.as_py()
+            ids = [segment[p - at.as_py()] for p in found]
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int64()), pa.array(ids, pa.int64())], names=["position", "token_id"])
+
+
+def tokens_at(spark: SparkSession, path: str, positions: DataFrame) -> DataFrame:
+    """(position, token_id) for each distinct ``position`` of a table that is in the corpus.
+
+    A position's segment is met by equality: both fall into cells of
+    ``SEGMENT_IDS`` ids, and a segment is a row for each cell that it touches.
+    Only the segments asked for are opened, and each id takes a few look-ups."""
+    starts = segment_starts(spark, path).filter("n_ids > 0")
+    cell = lambda c: F.floor(c / SEGMENT_IDS)
+    touched = starts.withColumn("cell", F.explode(F.sequence(cell(F.col("at")), cell(F.col("at") + F.col("n_ids") - 1))))
+    asked = positions.select(F.col("position").cast("long")).filter("position >= 0").distinct().withColumn("cell", cell(F.col("position")))
+    hit = asked.join(touched, "cell").filter("position >= at and position < at + n_ids")
+    # A segment's positions are at most its ids.
+    hit = common.materialize(hit.groupBy("part", "seq", "at").agg(F.collect_list("position").alias("places")), "token-asked")
+    return segments(spark, path).join(hit, ["part", "seq"]).select("segment", "places", "at").mapInArrow(_finder, T.StructType.fromDDL("position bigint, token_id bigint"))
+
+
 def segments(spark: SparkSession, path: str) -> DataFrame:
     """The stored segments, for :class:`Segment`."""
     return spark.read.schema(_SEGMENT_DDL).parquet(path)

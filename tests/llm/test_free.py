@@ -152,6 +152,8 @@ def test_segments_give_any_id():
         s = tokens.Segment(tokens.encode_segment(ids, np.array([n // 2, n])))
         assert len(s) == n and (s.ids() == ids).all() and all(s[i] == ids[i] for i in range(n))
         assert s.document(1).tolist() == ids[n // 2 :].tolist()
+        for a, b in g.integers(0, n + 1, (40, 2)) if n else []:
+            assert s.span(min(a, b), max(a, b)).tolist() == ids[min(a, b) : max(a, b)].tolist()
         with pytest.raises(IndexError):
             s[n]
 
@@ -173,6 +175,22 @@ def test_token_files_against_the_library(spark, monkeypatch):
     assert tokens.encode_documents(d.limit(0), new_path(spark, "t"), tokenizer_path()).count() == 0
 
 
+def test_tokens_by_corpus_position(spark, monkeypatch):
+    """Any id of the corpus by its place alone, over segments, parts and a document longer than a segment."""
+    monkeypatch.setattr(tokens, "SEGMENT_IDS", 50)
+    rows = [(i, t) for i, t in enumerate([*ODD, *ODD])]
+    d, path = docs(spark, rows).repartition(3), new_path(spark, "t")
+    tokens.write_files(d, path, tokenizer_path())
+    ids = np.concatenate(expected_ids([t for _, t in rows])).tolist()
+    starts = sorted((r["part"], r["seq"], r["n_ids"], r["at"]) for r in tokens.segment_starts(spark, path).collect())
+    assert len({s[0] for s in starts}) > 1 and [s[3] for s in starts] == [sum(x[2] for x in starts[:k]) for k in range(len(starts))]
+    asked = spark.createDataFrame([(p,) for p in [*range(len(ids)), 5, 5, -1, len(ids), 10**12, None]], "position bigint")
+    got = {r["position"]: r["token_id"] for r in tokens.tokens_at(spark, path, asked).collect()}
+    assert got == dict(enumerate(ids))
+    tokens.write_files(d.limit(0), empty := new_path(spark, "t"), tokenizer_path())
+    assert tokens.tokens_at(spark, empty, asked).count() == 0
+
+
 # Secrets.
 
 
