@@ -183,7 +183,11 @@ def _confirmed(pairs: DataFrame, texts: DataFrame, width: int, similarity: tuple
     return common.materialize(both.select("a", "b", "text_a", "text_b").mapInArrow(_confirmer(width, similarity), "a bigint, b bigint"), tag)
 
 
+#: At most so many documents, and about so many shingles, on either side of a block.
 LEFT, RIGHT = 256, 1024
+LEFT_SHINGLES, RIGHT_SHINGLES = 1 << 18, 1 << 20
+#: A hub's nodes are dealt over so many buckets wherever rows meet by hub.
+BUCKETS = 64
 
 
 def _block_linker(width: int, similarity: tuple[int, int]):
@@ -192,8 +196,11 @@ def _block_linker(width: int, similarity: tuple[int, int]):
     def link(table: pa.Table) -> pa.Table:
         """Exact similarity of a block's left sets with its right ones through an
         inverted index; one link per left document and component is enough."""
-        rows = table.to_pylist()
-        sets = shingle_sets([r["text"] for r in rows], width, _Words())
+        words, sets = _Words(), []
+        for batch in table.select(["text"]).to_batches():
+            for run in _batches(batch):
+                sets += shingle_sets([r[0] for r in run], width, words)
+        rows = table.drop_columns(["text"]).to_pylist()
         right = [i for i, r in enumerate(rows) if not r["is_left"]]
         out = []
         if right:
@@ -217,18 +224,37 @@ def _block_linker(width: int, similarity: tuple[int, int]):
     return link
 
 
-def _linked_apart(apart: DataFrame, texts: DataFrame, width: int, similarity: tuple[int, int]) -> DataFrame | None:
+def _by_hub(units: DataFrame, *totals) -> DataFrame:
+    """(hub, bucket, totals): totals of a hub beside each bucket that it fills.
+
+    Rows are first counted by hub and bucket, so that a hub with a third of
+    all rows is ``BUCKETS`` rows where it meets in one task."""
+    some = units.groupBy("hub", "bucket").agg(*(f(F.col(c)).alias(c) for c, f in totals))
+    whole = some.groupBy("hub").agg(*(f(F.col(c)).alias(c) for c, f in totals))
+    return some.select("hub", "bucket").join(whole, "hub")
+
+
+def _linked_apart(apart: DataFrame, sizes: DataFrame, texts: DataFrame, width: int, similarity: tuple[int, int]) -> DataFrame | None:
     """Links (a, b) between nodes that share a hub and are still in different
     components.  The nodes outside the hub's component are the left side, all
-    nodes the right one; both are cut into blocks, so a row is copied once per
-    opposite block and no task holds more than a block pair.  None if there is
-    nothing left to compare (a hub and one node were compared before)."""
-    units = common.materialize(apart.select("hub", "node", "component").distinct(), "dup-units")
-    own = units.filter("node = hub").select("hub", F.col("component").alias("hub_component"))
-    units = units.join(own, "hub").withColumn("is_left", F.col("component") != F.col("hub_component"))
-    counts = units.groupBy("hub").agg(F.count("*").alias("n"), F.sum(F.col("is_left").cast("int")).alias("n_left")).filter("n > 2 and n_left > 0")
-    counts = counts.select("hub", F.ceil(F.col("n_left") / LEFT).alias("lefts"), F.ceil(F.col("n") / RIGHT).alias("rights"))
-    units = units.join(counts, "hub")
+    nodes the right one; both are cut into blocks by numbers of documents and of
+    shingles, so a row is copied once per opposite block and no task holds more
+    than a block pair.  None if there is nothing left to compare (a hub and one
+    node were compared before)."""
+    units = apart.select("hub", "node", "component").distinct().join(sizes, "node")
+    units = common.materialize(units.withColumn("bucket", F.pmod(F.xxhash64("node"), F.lit(BUCKETS))), "dup-units")
+    own = units.select("hub", "bucket", F.when(F.col("node") == F.col("hub"), F.col("component")).alias("hub_component"), F.lit(1).alias("n"), F.col("n").alias("n_shingles"))
+    own = _by_hub(own, ("hub_component", F.max), ("n", F.sum), ("n_shingles", F.sum)).filter("n > 2").withColumnsRenamed({"n": "n_right", "n_shingles": "right_shingles"})
+    units = units.join(own, ["hub", "bucket"]).withColumn("is_left", F.col("component") != F.col("hub_component"))
+    left = units.filter("is_left").withColumn("n_left", F.lit(1)).withColumn("left_shingles", F.col("n"))
+    totals = left.groupBy("hub", "bucket").agg(F.sum("n_left").alias("n_left"), F.sum("left_shingles").alias("left_shingles"))
+    totals = totals.groupBy("hub").agg(F.sum("n_left").alias("n_left"), F.sum("left_shingles").alias("left_shingles"))
+    counts = own.join(totals, "hub").select(
+        "hub", "bucket",
+        F.greatest(F.ceil(F.col("n_left") / LEFT), F.ceil(F.col("left_shingles") / LEFT_SHINGLES)).alias("lefts"),
+        F.greatest(F.ceil(F.col("n_right") / RIGHT), F.ceil(F.col("right_shingles") / RIGHT_SHINGLES)).alias("rights"),
+    )
+    units = units.join(common.materialize(counts, "dup-counts"), ["hub", "bucket"])
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     left = units.filter("is_left").select("hub", F.pmod(F.xxhash64("node"), F.col("lefts")).alias("i"), every("rights").alias("j"), "node", "component", "is_left")
     right = units.select("hub", every("lefts").alias("i"), F.pmod(F.xxhash64("node"), F.col("rights")).alias("j"), "node", "component", F.lit(False).alias("is_left"))
@@ -275,7 +301,7 @@ def classify(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, similarity: tu
     own = placed.filter("node = hub").select("key", F.col("component").alias("cb"))
     pairs = placed.join(own, "key").filter("component <> cb").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
     pairs = common.materialize(possible(pairs).join(tested, ["a", "b"], "left_anti"), "dup-pairs")
-    for more in (lambda: _confirmed(pairs, texts, shingle_words, similarity, "dup-links"), lambda: _linked_apart(apart(), texts, shingle_words, similarity)):
+    for more in (lambda: _confirmed(pairs, texts, shingle_words, similarity, "dup-links"), lambda: _linked_apart(apart(), sizes, texts, shingle_words, similarity)):
         new = more()
         if new is not None and not new.isEmpty():
             edges = edges.unionByName(new)
@@ -294,9 +320,10 @@ def keep_one(docs: DataFrame, shingle_words: int = SHINGLE_WORDS) -> DataFrame:
     with the smallest doc_id stays, and one of rows that repeat both doc_id and
     text.  A row is named by a digest of the two, so that rows which share a
     doc_id stand or fall by their own texts."""
-    rows = docs.filter(F.col("doc_id").isNotNull()).withColumn("__node", F.xxhash64("doc_id", "text"))
-    found = classify(rows.select(F.col("__node").alias("doc_id"), "text"), shingle_words).select(F.col("doc_id").alias("__node"), "component_id")
-    ids = rows.select("__node", F.col("doc_id").alias("id")).distinct()
-    first = found.distinct().join(ids, "__node").groupBy("component_id").agg(F.min(F.struct("id", "__node")).alias("first"))
-    named = rows.join(first.select(F.col("first.__node").alias("__node")), "__node", "left_semi").dropDuplicates(["__node"])
+    (name,) = common.unused(docs, "node")
+    rows = docs.filter(F.col("doc_id").isNotNull()).withColumn(name, F.xxhash64("doc_id", "text"))
+    found = classify(rows.select(F.col(name).alias("doc_id"), "text"), shingle_words).select(F.col("doc_id").alias("node"), "component_id")
+    ids = rows.select(F.col(name).alias("node"), F.col("doc_id").alias("id")).distinct()
+    first = found.distinct().join(ids, "node").groupBy("component_id").agg(F.min(F.struct("id", "node")).alias("first"))
+    named = rows.join(first.select(F.col("first.node").alias(name)), name, "left_semi").dropDuplicates([name])
     return named.select(*docs.columns).unionByName(docs.filter(F.col("doc_id").isNull()))
