@@ -1,6 +1,7 @@
 """The other operators: 1, 3, 4, 6, 9, 10."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -205,15 +206,81 @@ def test_base_spans_against_plain_patterns():
         assert [s for s in secrets.scan_text(text) if s[0] != "random"] == sorted(want, key=lambda x: (x[1], secrets.KINDS.index(x[0])))
 
 
-def test_battery_finds_random_and_leaves_natural():
-    r = random.Random(5)
-    for name in ("base62", "base64", "base64url"):
-        found = sum(bool(secrets.scan_text("see " + "".join(r.choice(secrets.ENCODINGS[name]) for _ in range(40)) + " there")) for _ in range(100))
-        assert found >= 95
-    for natural in ("Donaudampfschifffahrtsgesellschaft", "/usr/share/doc/python/examples/README", "DE89370400440532013000", "thenquickbrownfoxjumpsoverthelazydog", "CamelCaseNamesAreLongInJavaPrograms2", "2024-01-02T03-04-05-000000", "aaaaaaaaaaaaaaaaaaaaaaaaaaAAAAAAAA11"):
+NATURAL = (
+    "Donaudampfschifffahrtsgesellschaft", "/usr/share/doc/python/examples/README", "DE89370400440532013000", "thenquickbrownfoxjumpsoverthelazydog",
+    "CamelCaseNamesAreLongInJavaPrograms2", "2024-01-02T03-04-05-000000", "aaaaaaaaaaaaaaaaaaaaaaaaaaAAAAAAAA11", "550e8400-e29b-41d4-a716-446655440000",
+    "SCREAMING_SNAKE_CASE_CONSTANT_NAME", "very-long-url-slug-with-many-words-in-it-2024", "keitstlichschenverpfandung", "internationalization-and-localization", "00000000000000000000000000", "92834759283475983475983475",
+)
+
+
+@pytest.mark.parametrize("length", [20, 24, 32, 40, 64])
+def test_battery_finds_random_draws_of_every_encoding(length):
+    r = random.Random(length)
+    for name, alphabet in secrets.ENCODINGS.items():
+        found = 0
+        for _ in range(200):
+            text = "see " + "".join(r.choice(alphabet) for _ in range(length)) + " there"
+            found += any(s[1] <= 4 and s[2] >= 4 + length for s in secrets.scan_text(text))
+        # Letters of one case alone are far from text only when there are more of them.
+        assert found >= (200 * 0.55 if name in ("letters", "LETTERS") and length < 32 else 200 * 0.88), (name, length, found)
+
+
+def test_battery_leaves_natural():
+    for natural in NATURAL:
         assert not [s for s in secrets.scan_text(f"x {natural} y") if s[0] == "random"], natural
 
 
+def test_battery_against_plain_statistics():
+    """The uniform tests written out with loops."""
+    r = random.Random(3)
+    for name in ("hex", "base62", "LETTERS"):
+        alphabet = secrets.ENCODINGS[name]
+        for n in (20, 33, 80):
+            run = "".join(r.choice(alphabet) for _ in range(n))
+            at = [alphabet.index(c) for c in run]
+            k = max(3, min(len(alphabet), n // 5))
+            tail = lambda z: 0.5 * math.erfc(z / math.sqrt(2))
+            wilson = lambda chi, f: tail(((chi / f) ** (1 / 3) - (1 - 2 / (9 * f))) / math.sqrt(2 / (9 * f)))
+            band = lambda i: int(i * k / len(alphabet))
+            share = [sum(band(i) == j for i in range(len(alphabet))) / len(alphabet) for j in range(k)]
+            ps = [wilson(sum((sum(band(i) == j for i in at) - n * q) ** 2 / (n * q) for j, q in enumerate(share)), k - 1)]
+            kinds = [q for q in ("0123456789", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz") if any(c in q for c in alphabet)]
+            if len(kinds) > 1:
+                want = [n * sum(c in q for c in alphabet) / len(alphabet) for q in kinds]
+                ps.append(wilson(sum((sum(c in q for c in run) - e) ** 2 / e for q, e in zip(kinds, want, strict=True)), len(kinds) - 1))
+            high = [i >= len(alphabet) / 2 for i in at]
+            a, b = sum(high), n - sum(high)
+            m = 1 + 2 * a * b / n
+            ps.append(2 * tail(abs(1 + sum(x != y for x, y in zip(high, high[1:])) - m) / math.sqrt((m - 1) * (m - 2) / (n - 1))))
+            mean = sum(at) / n
+            ps.append(2 * tail(abs(sum((x - mean) * (y - mean) for x, y in zip(at, at[1:])) / sum((x - mean) ** 2 for x in at)) * math.sqrt(n)))
+            assert secrets.randomness(run, alphabet) == pytest.approx(min(1.0, 4 * min(ps)))
+
+
+def test_false_finds_are_controlled_over_the_corpus(spark):
+    """What one text by itself would list is left out where a corpus tests thousands of natural runs."""
+    r = random.Random(5)
+    syllables = ["ver", "lich", "keit", "heit", "ung", "schaft", "ein", "be", "er", "tion", "ment", "elle", "que", "aux"]
+    natural = [(i, "Ein " + "".join(r.choice(syllables) for _ in range(r.randrange(5, 9))).ljust(20, "n") + " Wort") for i in range(3000)]
+    strong = "".join(r.choice(secrets.ENCODINGS["base62"]) for _ in range(64))
+    alone = sum(any(k == "random" for k, *_ in secrets.scan_text(t)) for _, t in natural)
+    got = {x["doc_id"]: x["spans"] for x in secrets.scan(docs(spark, [*natural, (9000, f"see {strong} there")])).collect()}
+    found = [i for i, spans in got.items() if any(s["kind"] == "random" for s in spans)]
+    assert 9000 in found and len(found) - 1 <= max(1, alone // 10), (alone, len(found))
+
+
+def test_cuts_are_those_of_benjamini_and_hochberg():
+    r = random.Random(7)
+    for _ in range(50):
+        ps = [10 ** -r.uniform(0, 8) if r.random() < 0.3 else r.random() for _ in range(200)]
+        some = [p for p in ps if p <= secrets.FALSE_SHARE]
+        (least,) = secrets.cuts([len(ps)], Counter((0, secrets.bin_of(p)) for p in some))
+        # Each p-value counts as the greatest of its bin.
+        edge = sorted(10 ** (-secrets.bin_of(p) / secrets.BINS) for p in some)
+        ok = [e for k, e in enumerate(edge, 1) if e * len(ps) <= secrets.FALSE_SHARE * sum(x <= e for x in edge)]
+        assert sum(secrets.bin_of(p) >= least for p in some) == sum(e <= max(ok, default=0) for e in edge)
+
+
 def test_battery_reads_values_behind_names_and_mixed_marks():
     r = random.Random(6)
     for before, after, names in (
