@@ -98,3 +98,27 @@ def lower_ascii(text: Column) -> Column:
 def doc_fold(doc_id: Column, folds: int) -> Column:
     """crc32 of the id as text, modulo ``folds``; a null id falls in fold 0."""
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(folds))
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, held: int, most: dict, seed: int) -> DataFrame:
+    """(doc_id, text, y): a bounded sample of the labelled rows outside fold ``held``.
+
+    ``most`` bounds the rows of each label, or of all (None).  Ids are taken by
+    a hash.  An id labelled both ways is left out, and of rows that repeat an id
+    the one whose text has the least hash is taken, so that reruns agree.
+    """
+    y = F.col(label)
+    rows = labels.select(F.col("doc_id").alias("label_id"), y.cast("int").alias("y")).filter("label_id is not null and y in (0, 1)")
+    rows = rows.filter(doc_fold(F.col("label_id"), folds) != held)
+    docs = docs.select("doc_id", "text").filter("text is not null")
+    rows = rows.join(docs.select("doc_id"), F.col("label_id") == F.col("doc_id"), "left_semi")
+    rows = rows.groupBy("label_id").agg(F.min("y").alias("y"), F.max("y").alias("other")).filter("y = other").drop("other")
+    order = F.xxhash64("label_id", F.lit(seed))
+    picked = [(rows if c is None else rows.filter(F.col("y") == c)).orderBy(order, "label_id").limit(n) for c, n in most.items()]
+    ids = picked[0]
+    for more in picked[1:]:
+        ids = ids.unionByName(more)
+    # The ids are bounded by ``most``.
+    found = docs.join(F.broadcast(ids), F.col("doc_id") == F.col("label_id"))
+    first = F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("first")
+    return found.groupBy("doc_id", "y").agg(first).select("doc_id", "first.text", "y")

@@ -5,10 +5,11 @@ trigrams of its bytes' kinds (lower case, capitals, digits, blanks, line ends,
 marks, symbols, other letters), which say how it is written whatever its
 language, plus how much of it repeats.  Weighted counts are brought down to
 ``DIMENSIONS`` by a truncated singular value decomposition of the labelled
-sample.  The sample's vectors, at most ``MAX_TRAIN`` rows whatever the corpus,
-of labelled texts of up to ``MAX_TRAIN_CHARS`` characters (longer ones never
-become neighbours and add no terms, so long documents are judged by shorter
-ones), go to every task; each document's cosines with all of them are one blocked
+sample.  The sample is at most ``max_train`` rows (a parameter of ``fit``) whatever the
+corpus, chosen by a hash of their ids, of texts of any length: words are
+counted and texts turned into term vectors in tasks, and only those vectors
+of fixed size come to the driver.  The sample's latent vectors
+go to every task; each document's cosines with all of them are one blocked
 matrix product, exact and complete, and the ``NEIGHBOURS`` nearest vote with
 their similarity.
 
@@ -16,7 +17,9 @@ Scoring is one map over whole texts without a shuffle.
 
 Defined results: null, empty or blank text has the zero vector and gets the
 sample's share of label 1, as does any text without a similar neighbour; null
-ids and repeated rows are scored as any other; without labelled rows the
+ids and repeated rows are scored as any other; an id that is labelled both
+ways is not learnt from, and of rows that repeat a labelled id the one whose
+text has the least hash is; without labelled rows the
 score is 0; an empty table gives an empty result; other columns are ignored.
 """
 
@@ -33,7 +36,6 @@ from pyspark.sql import functions as F
 from . import common
 
 MAX_TRAIN = 3000
-MAX_TRAIN_CHARS = 20_000
 MAX_WORDS = 1500
 DIMENSIONS = 48
 NEIGHBOURS = 15
@@ -74,7 +76,7 @@ def trigram_counts(texts: list[bytes]) -> np.ndarray:
 
 
 def repeated_share(words: list[bytes], lines: list[bytes]) -> tuple[float, float, float]:
-    """Shares of repeated words pairs and lines, and neighbours that are equal."""
+    """Shares of repeated triples of words and of repeated lines, and of neighbours that are equal."""
     pairs = len(words) - 1
     if pairs < 1:
         return 0.0, 0.0, 0.0
@@ -83,19 +85,30 @@ def repeated_share(words: list[bytes], lines: list[bytes]) -> tuple[float, float
     return max(0.0, again), 1 - len(set(lines)) / max(1, len(lines)), twice
 
 
+def raw_terms(texts: list[bytes], words: dict[bytes, int]) -> np.ndarray:
+    """Unweighted terms, a row per text."""
+    size = KINDS**3
+    out = np.zeros((len(texts), size + len(words) + 3), np.float32)
+    counts = trigram_counts(texts)
+    out[:, :size] = np.sqrt(counts / np.maximum(1, counts.sum(1, keepdims=True)))
+    for i, t in enumerate(texts):
+        ws = t.lower().split()
+        at = [a for a in map(words.get, ws) if a is not None]
+        if at:
+            out[i, size:-3] = np.sqrt(np.bincount(at, minlength=len(words)) / len(ws))
+        out[i, -3:] = np.sqrt(repeated_share(ws, [x for x in t.split(b"\n") if x.strip()])) if len(ws) > 1 else 0
+    return out
+
+
 class Model:
-    """Vocabulary, weights, projection and labelled vectors."""
-
-    def __init__(self, texts: list[str], labels: list[int]):
-        raw = [(t or "").encode() for t in texts]
-        seen = Counter(w for t in raw for w in set(t.lower().split()))
-        self.words = {w: i for i, (w, _) in enumerate(sorted(seen.items(), key=lambda x: (-x[1], x[0]))[:MAX_WORDS])}
-        self.weight = np.ones(KINDS**3 + len(self.words) + 3, np.float32)
-        x = self.terms(raw)
-        self.weight = (np.log((1 + len(x)) / (1 + (x > 0).sum(0))) + 0.1).astype(np.float32)
+    """Vocabulary, weights, projection and labelled vectors, from the sample's unweighted terms."""
+
+    def __init__(self, words: list[bytes], raw: np.ndarray, labels: list[int]):
+        self.words = {w: i for i, w in enumerate(words)}
+        self.weight = (np.log((1 + len(raw)) / (1 + (raw > 0).sum(0))) + 0.1).astype(np.float32)
         self.weight[KINDS**3 : -3] *= 0.5
         self.weight[-3:] = 1.0
-        x = self.terms(raw)
+        x = raw * self.weight
         g = np.random.default_rng(SEED)
         # Randomised range finder, then the small decomposition.
         k = min(DIMENSIONS, *x.shape)
@@ -108,29 +121,17 @@ class Model:
         self.share = float(self.labels.mean())
         self.vectors = self.project(x)
 
-    def terms(self, raw: list[bytes]) -> np.ndarray:
-        size = KINDS**3
-        out = np.zeros((len(raw), size + len(self.words) + 3), np.float32)
-        counts = trigram_counts(raw)
-        out[:, :size] = np.sqrt(counts / np.maximum(1, counts.sum(1, keepdims=True)))
-        known = self.words
-        for i, t in enumerate(raw):
-            ws = t.lower().split()
-            at = [a for a in map(known.get, ws) if a is not None]
-            if at:
-                n = np.bincount(at, minlength=len(known))
-                out[i, size:-3] = np.sqrt(n / len(ws))
-            out[i, -3:] = np.sqrt(repeated_share(ws, [x for x in t.split(b"\n") if x.strip()])) if len(ws) > 1 else 0
-        return out * self.weight
+    def terms(self, texts: list[bytes]) -> np.ndarray:
+        return raw_terms(texts, self.words) * self.weight
 
     def project(self, x: np.ndarray) -> np.ndarray:
         v = x @ self.basis
         return v / np.maximum(1e-9, np.linalg.norm(v, axis=1, keepdims=True))
 
-    def score(self, texts: list[str | None]) -> np.ndarray:
+    def score(self, texts: list[bytes]) -> np.ndarray:
         out = np.empty(len(texts))
         for at in range(0, len(texts), BLOCK):
-            v = self.project(self.terms([(t or "").encode() for t in texts[at : at + BLOCK]]))
+            v = self.project(self.terms(texts[at : at + BLOCK]))
             cosines = v @ self.vectors.T
             k = min(NEIGHBOURS, cosines.shape[1])
             near = np.argpartition(-cosines, k - 1, axis=1)[:, :k]
@@ -140,31 +141,50 @@ class Model:
         return np.clip(out, 0, 1)
 
 
+def _runs(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
+    """Slices of batches of about a megabyte of text."""
+    for batch in batches:
+        texts, at, size = batch.column(column).to_pylist(), 0, 0
+        for i, t in enumerate(texts):
+            size += len(t or "")
+            if size >= 1 << 20 or i == len(texts) - 1:
+                yield batch.slice(at, i + 1 - at), [(x or "").encode() for x in texts[at : i + 1]]
+                at, size = i + 1, 0
+
+
+def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for _, texts in _runs(batches, 2):
+        seen = Counter(w for t in texts for w in set(t.lower().split()))
+        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.binary()), pa.array(list(seen.values()), pa.int64())], names=["word", "n"])
+
+
+def _vectors(words: list[bytes]):
+    known = {w: i for i, w in enumerate(words)}
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows, texts in _runs(batches, 2):
+            x = raw_terms(texts, known)
+            yield pa.RecordBatch.from_arrays([rows.column(0), rows.column(1), pa.array([v.tobytes() for v in x], pa.binary())], names=["doc_id", "y", "x"])
+
+    return run
+
+
 def fit(docs: DataFrame, labels: DataFrame, folds: int = 3, held: int = 1, max_train: int = MAX_TRAIN) -> Model | None:
-    """A model from the labelled rows outside fold ``held``; None without any."""
-    rows = labels.select(F.col("doc_id").alias("label_id"), F.col("quality").alias("y")).filter("label_id is not null and y in (0, 1)")
-    rows = rows.filter(common.doc_fold(F.col("label_id"), folds) != held)
-    docs = docs.select("doc_id", "text").filter(F.length("text") <= MAX_TRAIN_CHARS)
-    short = docs.select("doc_id")
-    rows = rows.join(short, F.col("label_id") == F.col("doc_id"), "left_semi")
-    ids = rows.orderBy(F.xxhash64("label_id", F.lit(SEED)), "label_id").limit(max_train).dropDuplicates(["label_id"])
-    found = docs.join(F.broadcast(ids), F.col("doc_id") == F.col("label_id"))
-    sample = sorted(found.select("doc_id", "text", "y").dropDuplicates(["doc_id"]).collect(), key=lambda r: r["doc_id"])
-    return Model([r["text"] for r in sample], [r["y"] for r in sample]) if sample else None
+    """A model from at most ``max_train`` labelled rows outside fold ``held``; None without any."""
+    sample = common.labelled_sample(docs, labels, "quality", folds, held, {None: max_train}, SEED)
+    sample = common.materialize(sample.select("doc_id", "y", "text"), "quality-sample")
+    counted = sample.mapInArrow(_count_words, "word binary, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+    words = [bytes(r["word"]) for r in counted.orderBy(F.desc("n"), "word").limit(MAX_WORDS).collect()]
+    # Rows of fixed size, at most max_train.
+    rows = sorted(sample.mapInArrow(_vectors(words), "doc_id bigint, y int, x binary").collect(), key=lambda r: r["doc_id"])
+    return Model(words, np.stack([np.frombuffer(r["x"], np.float32) for r in rows]), [r["y"] for r in rows]) if rows else None
 
 
 def _scoring(model: Model | None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts, out, at, size = batch.column(1).to_pylist(), [], 0, 0
-            for i, t in enumerate(texts):
-                size += len(t or "")
-                if size >= 1 << 20 or i == len(texts) - 1:
-                    part = texts[at : i + 1]
-                    out.append(model.score(part) if model else np.zeros(len(part)))
-                    at, size = i + 1, 0
-            scores = np.concatenate(out) if out else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], names=["doc_id", "score"])
+        for rows, texts in _runs(batches, 1):
+            scores = model.score(texts) if model else np.zeros(len(texts))
+            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(scores, pa.float64())], names=["doc_id", "score"])
 
     return run
 
