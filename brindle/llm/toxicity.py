@@ -3,7 +3,8 @@
 Input of a step is a word, or a piece of a word of more than ``LONG``
 characters (cut at its inner marks, then into overlapping pieces): its own embedding (words seen in at least
 ``MIN_DOCS`` training documents; others share one) beside a character part
-(embeddings of its characters by place from either end, summed and squashed).
+(embeddings of its first letter and of all its trigrams by hash, ends included, summed and
+squashed), so that a string reads alike wherever it stands in a piece.
 Two gated recurrent units read each window of words forwards and backwards;
 attention pools their states into one vector and a logit.  Windows overlap by
 half, every window of a text is scored, and the text's logit is the average
@@ -11,13 +12,17 @@ of its windows' logits weighted by their own soft maximum, so that one bad
 window is enough in a long text.
 
 Training (forward and backward passes, Adam) happens on the driver over a
-bounded sample: at most ``MAX_TRAIN`` labelled rows of each label, chosen by a
-hash of their ids, of texts up to ``MAX_TRAIN_CHARS`` characters; texts
-longer than that are never cut, other rows stand in for them.  Scoring is one
-map over all rows; the model (about a megabyte) goes with the task.
+bounded sample: at most ``max_train`` toxic and twice as many clean labelled
+rows, chosen by a hash of their ids, of texts of up to ``max_chars`` characters
+(both parameters of ``fit``); texts longer than that are never cut, other rows
+stand in for them.  Every step reads a few of its texts with the blanks taken out,
+which teaches the character part to read text without blanks.  Scoring is one
+map over all rows; the model (about two megabytes) goes with the task.
 
 Defined results: null, empty or blank text is scored from a window of padding
-alone; null ids and repeated rows are scored as any other; without labelled
+alone; null ids and repeated rows are scored as any other; an id that is
+labelled both ways is not learnt from, and of rows that repeat a labelled id the
+one whose text has the least hash is; without labelled
 rows of both kinds every score is the share of label 1 (0 without labels);
 an empty table gives an empty result; other columns are ignored by ``score``
 and pass through ``keep_clean``.
@@ -43,8 +48,11 @@ MIN_DOCS = 3
 MAX_WORDS = 20_000
 WINDOW, STRIDE = 32, 16
 HIDDEN, WORD_DIM, CHAR_DIM = 8, 8, 16
-HEAD, TAIL, ASCII, CODES = 10, 4, 128, 512
-LONG = HEAD + TAIL
+LONG, ASCII, LETTERS, TRIGRAMS = 14, 128, 512, 1 << 15
+#: Odd factors that mix three code points into a trigram's place in its table.
+FACTORS = (2654435761, 2246822519, 3266489917)
+#: Share of the training texts that are read without blanks in an epoch.
+JOINED = 0.2
 MARKS = ".,;:!?\"'()"
 JOINS = re.compile(r"([!-/:-@\[-`{-~]+)")
 BATCH, STEPS, ENOUGH = 48, 450, 0.003
@@ -76,14 +84,20 @@ def split_words(text: str | None) -> list[str]:
 
 
 def char_codes(words: list[str]) -> np.ndarray:
-    """A row per word: codes of its first ``HEAD`` and last ``TAIL`` characters,
-    each with its place; 0 is no character.  Trailing marks are left out."""
+    """A row per word: the code of its first letter, and of each of its trigrams, with
+    an end before and behind; 0 is nothing.  Outer marks are left out.
+
+    Of letters, ASCII keep their code; others share those above it, and differ
+    from all within 383 code points."""
     bare = [w.strip(MARKS) or w for w in words]
-    text = "".join([w[:HEAD].ljust(HEAD, "\0") + w[-TAIL:].ljust(TAIL, "\0") for w in bare])
-    o = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(words), HEAD + TAIL).astype(np.int64)
-    # ASCII keeps its code; others share those above it, and differ from all within 383 code points.
-    o = np.where(o < ASCII, o, ASCII + o % (CODES - ASCII))
-    return np.where(o > 0, o + np.arange(HEAD + TAIL) * CODES, 0)
+    text = "".join([f"\1{w}\2".ljust(LONG + 2, "\0") for w in bare])
+    o = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32).reshape(len(words), LONG + 2).astype(np.uint64)
+    mixed = sum(o[:, k : k + LONG] * np.uint64(f) for k, f in enumerate(FACTORS))
+    mixed = ((mixed ^ (mixed >> np.uint64(17))) * np.uint64(FACTORS[0]) >> np.uint64(15)) % np.uint64(TRIGRAMS - 1)
+    grams = np.where(o[:, 2:] > 0, LETTERS + 1 + mixed.astype(np.int64), 0)
+    first = o[:, 1:2].astype(np.int64)
+    first = np.where(first < ASCII, first, ASCII + first % (LETTERS - ASCII))
+    return np.concatenate((first, grams), 1)
 
 
 def _sigmoid(x: np.ndarray) -> np.ndarray:
@@ -108,7 +122,7 @@ class Network:
         self.vocabulary = {w: i + 1 for i, w in enumerate(vocabulary)}
         d, h = WORD_DIM + CHAR_DIM, HIDDEN
         self.p = {
-            "word": f(len(vocabulary) + 1, WORD_DIM, scale=0.1), "char": f((HEAD + TAIL) * CODES, CHAR_DIM),
+            "word": f(len(vocabulary) + 1, WORD_DIM, scale=0.1), "char": f(LETTERS + TRIGRAMS, CHAR_DIM),
             "char_b": f(CHAR_DIM, scale=0.01), "att": f(2 * h), "out": f(2 * h), "bias": np.zeros(1, np.float32),
         }
         for s in "fb":
@@ -122,7 +136,7 @@ class Network:
 
     def inputs(self, ids: np.ndarray, codes: np.ndarray) -> np.ndarray:
         """Step inputs of words: word embedding beside squashed character sums."""
-        chars = np.zeros((len(ids), CHAR_DIM), np.float32)
+        chars = np.zeros((len(ids), CHAR_DIM), self.p["char"].dtype)
         table = self.p["char"].copy()
         table[0] = 0
         for j in range(codes.shape[1]):
@@ -131,15 +145,14 @@ class Network:
 
     def gates(self, inputs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """What a word adds to all gates, either way; row 0 is padding."""
-        pad = np.zeros((1, inputs.shape[1]), np.float32)
-        x = np.concatenate((pad, inputs))
-        return tuple((x @ self.p[f"w{s}"] + self.p[f"c{s}"]).astype(np.float32) for s in "fb")
+        x = np.concatenate((np.zeros((1, inputs.shape[1]), inputs.dtype), inputs))
+        return tuple(x @ self.p[f"w{s}"] + self.p[f"c{s}"] for s in "fb")
 
     def states(self, gate: np.ndarray, ids: np.ndarray, side: str, keep: list | None = None) -> np.ndarray:
         """States after each step, steps x windows x hidden; padding (0) holds the state."""
         h, n = HIDDEN, len(ids)
         u = self.p[f"u{side}"]
-        out, state = np.empty((ids.shape[1], n, h), np.float32), np.zeros((n, h), np.float32)
+        out, state = np.empty((ids.shape[1], n, h), gate.dtype), np.zeros((n, h), gate.dtype)
         order = range(ids.shape[1]) if side == "f" else range(ids.shape[1] - 1, -1, -1)
         for t in order:
             at = ids[:, t]
@@ -184,6 +197,66 @@ def document_logits(z: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return np.add.reduceat(e * z, starts) / np.add.reduceat(e, starts)
 
 
+def gradients(net: Network, wi: np.ndarray, co: np.ndarray, local: np.ndarray, starts: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, dict]:
+    """Summed loss of documents, and the gradient of their loss weighted by ``weight``.
+
+    ``wi`` and ``co`` are word ids and character codes of the words in use,
+    ``local`` the windows over them (0 is padding), ``starts`` each document's
+    first window."""
+    h = HIDDEN
+    x = net.inputs(wi, co)
+    gates = net.gates(x)
+    kept: dict[str, list] = {"f": [], "b": []}
+    both = np.concatenate([net.states(gates[k], local, s, kept[s]) for k, s in enumerate("fb")], 2)
+    z, a, pooled = net.pool(both, local)
+    counts = np.diff(np.append(starts, len(z)))
+    doc_z = document_logits(z, starts)
+    error = (_sigmoid(doc_z) - y) * weight
+    loss = float(np.logaddexp(0, np.where(y > 0, -doc_z, doc_z)).sum())
+    e = np.exp(z - np.repeat(np.maximum.reduceat(z, starts), counts))
+    soft = e / np.repeat(np.add.reduceat(e, starts), counts)
+    dz = np.repeat(error, counts) * soft * (1 + z - np.repeat(doc_z, counts))
+    grad = {k: np.zeros_like(w) for k, w in net.p.items()}
+    grad["bias"][0] = dz.sum()
+    grad["out"] = pooled.T @ dz
+    d_pooled = dz[:, None] * net.p["out"]
+    d_both = a[:, :, None] * d_pooled[None]
+    da = np.einsum("tnd,nd->tn", both, d_pooled)
+    de = a * (da - (a * da).sum(0))
+    grad["att"] = np.einsum("tn,tnd->d", de, both)
+    d_both += de[:, :, None] * net.p["att"]
+    d_x = np.zeros((len(wi) + 1, x.shape[1]), x.dtype)
+    for k, s in enumerate("fb"):
+        u, w = net.p[f"u{s}"], net.p[f"w{s}"]
+        d_gate = np.zeros_like(gates[k])
+        d_state = np.zeros((len(local), h), x.dtype)
+        owners, parts = [], []
+        for t, who, before, zt, rt, cand in reversed(kept[s]):
+            d_state += d_both[t][:, k * h : (k + 1) * h]
+            d_cand = d_state * zt * (1 - cand**2)
+            d_z = d_state * (cand - before) * zt * (1 - zt)
+            back = d_cand @ u[:, 2 * h :].T
+            d_r = back * before * rt * (1 - rt)
+            pre = np.concatenate((d_z, d_r, d_cand), 1) * (who > 0)[:, None]
+            grad[f"u{s}"][:, : 2 * h] += before.T @ pre[:, : 2 * h]
+            grad[f"u{s}"][:, 2 * h :] += (rt * before).T @ pre[:, 2 * h :]
+            owners.append(who)
+            parts.append(pre)
+            d_state = d_state * (1 - zt) + (back * rt + np.concatenate((d_z, d_r), 1) @ u[:, : 2 * h].T) * (who > 0)[:, None]
+        _add_rows(d_gate, np.concatenate(owners), np.concatenate(parts))
+        d_gate[0] = 0
+        grad[f"w{s}"] = np.concatenate((np.zeros((1, x.shape[1]), x.dtype), x)).T @ d_gate
+        grad[f"c{s}"] = d_gate.sum(0)
+        d_x += d_gate @ w.T
+    d_x = d_x[1:]
+    _add_rows(grad["word"], wi, d_x[:, :WORD_DIM])
+    d_char = d_x[:, WORD_DIM:] * (1 - x[:, WORD_DIM:] ** 2)
+    grad["char_b"] = d_char.sum(0)
+    _add_rows(grad["char"], co.ravel(), np.repeat(d_char, co.shape[1], axis=0))
+    grad["char"][0] = 0
+    return loss, grad
+
+
 def train(texts: list[str], labels: list[int], seed: int = SEED, steps: int = STEPS) -> Network:
     """About ``steps`` steps of Adam whatever the size of the sample, fewer once
     the mean loss of an epoch is below ``ENOUGH``."""
@@ -207,70 +280,29 @@ def train(texts: list[str], labels: list[int], seed: int = SEED, steps: int = ST
     m = {k: np.zeros_like(v) for k, v in net.p.items()}
     v = {k: np.zeros_like(x) for k, x in net.p.items()}
     step = 0
-    h = HIDDEN
     batches = -(-len(docs) // BATCH)
     for epoch in range(-(-steps // batches)):
         order, loss = g.permutation(len(docs)), 0.0
         for at in range(0, len(order), BATCH):
             pick = order[at : at + BATCH]
-            ids = np.concatenate([docs[i] for i in pick])
-            starts = np.cumsum([0, *(len(docs[i]) for i in pick[:-1])])
+            # Now and then a text is read without its blanks; its pieces are not kept.
+            extra: dict[str, int] = {}
+            place = lambda w: index.get(w) or extra.setdefault(w, len(index) + len(extra) + 1)  # noqa: E731, B023
+            read = [windows(np.array([place(w) for w in split_words("".join((texts[i] or "").split()))], np.int32), WINDOW) if g.random() < JOINED else docs[i] for i in pick]
+            ids = np.concatenate(read)
+            starts = np.cumsum([0, *map(len, read[:-1])])
             used, local = np.unique(ids, return_inverse=True)
             used = used[used > 0]
             local = local.reshape(ids.shape) + (0 if len(used) < len(np.unique(ids)) else 1)
-            wi, co = word_ids[used - 1], codes[used - 1]
+            old, new = used[used <= len(index)], used[used > len(index)]
+            wi, co = word_ids[old - 1], codes[old - 1]
+            if len(new):  # ids run on, so these are all of them in order
+                wi = np.concatenate((wi, [net.vocabulary.get(w, 0) for w in extra]))
+                co = np.concatenate((co, char_codes(list(extra))))
             # Now and then a known word is hidden, so that its characters must do.
             wi = np.where(g.random(len(wi)) < 0.3, 0, wi)
-            x = net.inputs(wi, co)
-            gates = net.gates(x)
-            kept: dict[str, list] = {"f": [], "b": []}
-            both = np.concatenate([net.states(gates[k], local, s, kept[s]) for k, s in enumerate("fb")], 2)
-            z, a, pooled = net.pool(both, local)
-            counts = np.diff(np.append(starts, len(z)))
-            doc_z = document_logits(z, starts)
-            error = (_sigmoid(doc_z) - y[pick]) * weight[pick] / len(pick)
-            loss += float(np.logaddexp(0, np.where(y[pick] > 0, -doc_z, doc_z)).sum())
-            e = np.exp(z - np.repeat(np.maximum.reduceat(z, starts), counts))
-            soft = e / np.repeat(np.add.reduceat(e, starts), counts)
-            dz = np.repeat(error, counts) * soft * (1 + z - np.repeat(doc_z, counts))
-            grad = {k: np.zeros_like(w) for k, w in net.p.items()}
-            grad["bias"][0] = dz.sum()
-            grad["out"] = pooled.T @ dz
-            d_pooled = dz[:, None] * net.p["out"]
-            d_both = a[:, :, None] * d_pooled[None]
-            da = np.einsum("tnd,nd->tn", both, d_pooled)
-            de = a * (da - (a * da).sum(0))
-            grad["att"] = np.einsum("tn,tnd->d", de, both)
-            d_both += de[:, :, None] * net.p["att"]
-            d_x = np.zeros((len(used) + 1, x.shape[1]), np.float32)
-            for k, s in enumerate("fb"):
-                u, w = net.p[f"u{s}"], net.p[f"w{s}"]
-                d_gate = np.zeros_like(gates[k])
-                d_state = np.zeros((len(ids), h), np.float32)
-                owners, parts = [], []
-                for t, who, before, zt, rt, cand in reversed(kept[s]):
-                    d_state += d_both[t][:, k * h : (k + 1) * h]
-                    d_cand = d_state * zt * (1 - cand**2)
-                    d_z = d_state * (cand - before) * zt * (1 - zt)
-                    back = d_cand @ u[:, 2 * h :].T
-                    d_r = back * before * rt * (1 - rt)
-                    pre = np.concatenate((d_z, d_r, d_cand), 1) * (who > 0)[:, None]
-                    grad[f"u{s}"][:, : 2 * h] += before.T @ pre[:, : 2 * h]
-                    grad[f"u{s}"][:, 2 * h :] += (rt * before).T @ pre[:, 2 * h :]
-                    owners.append(who)
-                    parts.append(pre)
-                    d_state = d_state * (1 - zt) + (back * rt + np.concatenate((d_z, d_r), 1) @ u[:, : 2 * h].T) * (who > 0)[:, None]
-                _add_rows(d_gate, np.concatenate(owners), np.concatenate(parts))
-                d_gate[0] = 0
-                grad[f"w{s}"] = np.concatenate((np.zeros((1, x.shape[1]), np.float32), x)).T @ d_gate
-                grad[f"c{s}"] = d_gate.sum(0)
-                d_x += d_gate @ w.T
-            d_x = d_x[1:]
-            _add_rows(grad["word"], wi, d_x[:, :WORD_DIM])
-            d_char = d_x[:, WORD_DIM:] * (1 - x[:, WORD_DIM:] ** 2)
-            grad["char_b"] = d_char.sum(0)
-            _add_rows(grad["char"], co.ravel(), np.repeat(d_char, co.shape[1], axis=0))
-            grad["char"][0] = 0
+            batch_loss, grad = gradients(net, wi, co, local, starts, y[pick], weight[pick] / len(pick))
+            loss += batch_loss
             step += 1
             rate = 0.02 if step < 0.7 * steps else 0.01
             for k, w in net.p.items():
@@ -311,19 +343,12 @@ def held_out(doc_id: int | None) -> bool:
     return zlib.crc32(("" if doc_id is None else str(doc_id)).encode()) % 5 == 0
 
 
-def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, max_train: int = MAX_TRAIN, steps: int = STEPS) -> Network | float:
-    """A network from the labelled rows outside fold 0, or a constant score."""
-    rows = labels.select(F.col("doc_id").alias("label_id"), F.col("toxic").alias("y")).filter("label_id is not null and y in (0, 1)")
-    rows = rows.filter(common.doc_fold(F.col("label_id"), folds) != 0)
-    docs = docs.select("doc_id", "text").filter(F.length("text") <= MAX_TRAIN_CHARS)
-    short = docs.select("doc_id")
-    rows = rows.join(short, F.col("label_id") == F.col("doc_id"), "left_semi")
-    order = F.xxhash64("label_id", F.lit(SEED))
-    # Two bounded top lists of ids; then only their texts come to the driver.
-    picked = [rows.filter(F.col("y") == c).orderBy(order, "label_id").limit(max_train * (1 if c else 2)) for c in (1, 0)]
-    ids = picked[0].unionByName(picked[1]).dropDuplicates(["label_id"])
-    found = docs.join(F.broadcast(ids), F.col("doc_id") == F.col("label_id"))
-    sample = sorted(found.select("doc_id", "text", "y").dropDuplicates(["doc_id"]).collect(), key=lambda r: r["doc_id"])
+def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, max_train: int = MAX_TRAIN, max_chars: int = MAX_TRAIN_CHARS, steps: int = STEPS) -> Network | float:
+    """A network from labelled rows outside fold 0, or a constant score: at most
+    ``max_train`` toxic and twice as many clean ones, of texts of up to
+    ``max_chars`` characters."""
+    sample = common.labelled_sample(docs.filter(F.length("text") <= max_chars), labels, "toxic", folds, 0, {1: max_train, 0: 2 * max_train}, SEED)
+    sample = sorted(sample.collect(), key=lambda r: r["doc_id"])
     y = [r["y"] for r in sample]
     if len(set(y)) < 2:
         return float(y[0]) if y else 0.0

@@ -10,6 +10,7 @@ from collections import Counter
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from brindle.llm import components, neardup, quality_knn, secrets, tokens, toxicity, warc
 from brindle.llm.common import new_path
@@ -81,6 +82,17 @@ def test_rows_that_repeat_an_id_are_judged_by_their_texts(spark):
     assert got == Counter([(7, text[1]), (3, text[0]), (7, text[2]), (8, text[3] + " x"), (None, text[3]), (7, None)])
 
 
+def test_rows_of_one_id_link_by_each_of_their_texts(spark):
+    """An id with a short and a long text is linked through either."""
+    r = random.Random(10)
+    text = lambda n: " ".join(r.choice("abcdefghij") + str(r.randrange(999)) for _ in range(n))
+    short, long = text(40), text(900)
+    rows = [(5, long), (5, short), (7, short + " x"), (8, long + " y"), (9, text(40)), (3, text(300)), (3, short + " z")]
+    want = brute_classes(rows, 2)
+    got = {g["doc_id"]: g["component_id"] for g in neardup.classify(docs(spark, rows), 2).collect()}
+    assert got == want and got[7] == got[8] == got[5] == 3
+
+
 def test_neardup_of_nothing(spark):
     assert neardup.contract(docs(spark, [])).count() == 0
     one = neardup.contract(docs(spark, [(1, None), (2, None)])).collect()
@@ -409,8 +421,8 @@ def test_toxicity_learns_and_covers_every_window(spark):
     assert got[903] > 0.5  # its one bad place is in the middle of a very long text
 
 
-def test_toxicity_gradients():
-    """Training moves the loss down, and the scorer agrees with the training pass."""
+def test_toxicity_learns_and_scores_alike():
+    """Training moves the loss down, and scores do not depend on the batch."""
     rows, labels = labelled(80, insult)
     net = toxicity.train([t for _, t in rows], [y for _, _, y in labels], steps=60)
     s = toxicity.Scorer(net)([t for _, t in rows])
@@ -420,6 +432,92 @@ def test_toxicity_gradients():
     assert np.allclose(one_by_one, s[:20], atol=1e-5)
 
 
+def double(net):
+    net.p = {k: v.astype(np.float64) for k, v in net.p.items()}
+    return net
+
+
+def test_toxicity_gradients():
+    """Every parameter's gradient against differences of the loss."""
+    g = np.random.default_rng(3)
+    net = double(toxicity.Network(["aa", "bb", "cc"], 5))
+    words = ["aa", "bb", "unseen", "cc", "é中", "longer-word!"]
+    wi, co = net.embed(words)[:2]
+    local = np.concatenate([toxicity.windows(g.integers(1, 7, n), toxicity.WINDOW) for n in (3, 70, 0, 40)])
+    starts = np.array([0, 1, 4, 5])
+    y, weight = np.array([1.0, 0.0, 0.0, 1.0]), np.array([0.4, 1.0, 0.7, 2.0])
+
+    def loss():
+        z = toxicity.document_logits(net.logits(net.gates(net.inputs(wi, co)), local), starts)
+        return float((weight * np.logaddexp(0, np.where(y > 0, -z, z))).sum())
+
+    _, grad = toxicity.gradients(net, wi, co, local, starts, y, weight)
+    for name, p in net.p.items():
+        used = np.flatnonzero(grad[name].ravel()) if name in ("char", "word") else np.arange(p.size)
+        assert len(used)
+        for i in g.choice(used, min(12, len(used)), replace=False):
+            keep, d = p.flat[i], 1e-6
+            p.flat[i] = keep + d
+            up = loss()
+            p.flat[i] = keep - d
+            down = loss()
+            p.flat[i] = keep
+            assert grad[name].flat[i] == pytest.approx((up - down) / (2 * d), rel=1e-4, abs=1e-8), (name, i)
+
+
+def test_toxicity_forward_pass_against_plain_loops():
+    """Scores of texts, written out word by word and gate by gate."""
+    net = double(toxicity.Network(["the", "bad", "word"], 9))
+    g = np.random.default_rng(1)
+    texts = [None, "", "The bad word, again", " ".join(g.choice(["the", "bad", "word", "ünseen", "x-y_z"], 75)), "中文" * 20]
+    p, h = net.p, toxicity.HIDDEN
+    sig = lambda x: 1 / (1 + np.exp(-x))
+
+    def step_input(word):
+        bare = word.strip(toxicity.MARKS) or word
+        first = ord(bare[0])
+        chars = p["char_b"] + p["char"][first if first < 128 else 128 + first % (toxicity.LETTERS - 128)]
+        held = [1, *map(ord, bare), 2]
+        for three in zip(held, held[1:], held[2:]):
+            x = sum(o * f for o, f in zip(three, toxicity.FACTORS, strict=True)) % 2**64
+            x = ((x ^ x >> 17) * toxicity.FACTORS[0] % 2**64) >> 15
+            chars = chars + p["char"][toxicity.LETTERS + 1 + x % (toxicity.TRIGRAMS - 1)]
+        return np.concatenate((p["word"][net.vocabulary.get(word, 0)], np.tanh(chars)))
+
+    def states(xs, s):
+        state, out = np.zeros(h), []
+        for x in xs:
+            pre, rec = x @ p[f"w{s}"] + p[f"c{s}"], p[f"u{s}"]
+            z, r = sig(pre[:h] + state @ rec[:, :h]), sig(pre[h : 2 * h] + state @ rec[:, h : 2 * h])
+            state = state + z * (np.tanh(pre[2 * h :] + (r * state) @ rec[:, 2 * h :]) - state)
+            out.append(state)
+        return out
+
+    for text, got in zip(texts, toxicity.Scorer(net)(texts), strict=True):
+        words, zs = toxicity.split_words(text), []
+        for at in range(0, max(1, len(words) - toxicity.WINDOW + toxicity.STRIDE), toxicity.STRIDE):
+            xs = [step_input(w) for w in words[at : at + toxicity.WINDOW]]
+            both = [np.concatenate(ab) for ab in zip(states(xs, "f"), states(xs[::-1], "b")[::-1], strict=True)]
+            e = np.exp([b @ p["att"] for b in both])
+            zs.append((sum(w * b for w, b in zip(e / e.sum(), both, strict=True)) if both else np.zeros(2 * h)) @ p["out"] + p["bias"][0])
+        soft = np.exp(np.array(zs) - max(zs))
+        assert got == pytest.approx(sig((soft * zs).sum() / soft.sum()), abs=1e-9)
+
+
+def test_labelled_samples_do_not_depend_on_the_order_of_rows(spark):
+    """Ids with two texts or two labels: one choice, whatever the partitions."""
+    rows = [(i, f"text {i} {k}") for i in range(60) for k in range(3)] + [(70, None), (71, "only")]
+    lab = [(i, i % 2, i % 2) for i in range(60)] + [(5, 0, 0), (5, 1, 1), (7, 1, 1), (70, 1, 1), (71, 1, 1), (72, 1, 1), (None, 1, 1)]
+    seen = set()
+    for n in (1, 3, 7):
+        d, labels = docs(spark, rows).repartition(n), spark.createDataFrame(lab, LABELS).repartition(n)
+        got = toxicity.common.labelled_sample(d, labels, "toxic", 5, 0, {1: 20, 0: 20}, 1).collect()
+        assert len({r["doc_id"] for r in got}) == len(got) == 40 and not {5, 70, 72} & {r["doc_id"] for r in got}
+        assert sum(r["y"] for r in got) == 20 and all(not toxicity.held_out(r["doc_id"]) for r in got)
+        seen.add(tuple(sorted(map(tuple, got))))
+    assert len(seen) == 1
+
+
 def test_toxicity_reads_all_of_long_words():
     for word in ("abcdefghijklmno", "".join(map(chr, range(97, 123))), "one_two/three-four.five", "".join(chr(0x4E00 + i) for i in range(500)), '"' + "abcdefghij" * 5 + '".', "https://h.example/a?b=c&d=e"):
         steps = toxicity.split_words(f"see {word} there")
@@ -436,10 +534,36 @@ def test_toxicity_reads_all_of_long_words():
     assert toxicity.split_words("Short words, (international) stay!!!!!!!!!!!") == ["short", "words,", "(international)", "stay!!!!!!!!!!!"]
     rows, labels = labelled(400, insult)
     score = toxicity.Scorer(toxicity.train([t for _, t in rows], [y for _, _, y in labels], steps=60))
+    # Words that differ in the middle alone.
+    assert len({round(float(x), 9) for x in score([f"abcdefghijkl{c}mnopqrstuvwx" for c in "xyzé中"])}) == 5
     clean, bad = "_".join(rows[1][1].split()[:30]), "_".join([*rows[1][1].split()[:15], "zzgrumble", "zzgruff", "zzgrumbles", *rows[1][1].split()[15:30]])
     assert score([clean])[0] < 0.5 < score([bad])[0]
 
 
+def test_toxicity_reads_text_without_blanks():
+    """Learnt from text with blanks, found in text without, wherever it stands."""
+    rows, labels = labelled(600, insult)
+    score = toxicity.Scorer(toxicity.train([t for _, t in rows], [y for _, _, y in labels], steps=150))
+    y = np.array([y for _, _, y in labels])
+    s = score(["".join(t.split()) for _, t in rows])
+    assert (s[y == 1] >= 0.5).mean() >= 0.9 and (s[y == 0] >= 0.5).mean() <= 0.1
+
+
+def test_toxicity_on_the_supplied_labels(spark):
+    """Held-out rows of the larger table: all with a word that marks toxic texts there, with blanks and without."""
+    base = "/root/testdata/sf0.1"
+    d, lab = spark.read.parquet(f"{base}/documents.parquet"), spark.read.parquet(f"{base}/labels.parquet")
+    held = d.join(lab.filter("toxic in (0, 1)"), "doc_id").filter(toxicity.common.doc_fold(F.col("doc_id"), 5) == 0).select("text", "toxic").collect()
+    score = toxicity.Scorer(toxicity.fit(d, lab))
+    marks = ("clown", "disgusting", "idiot", "loser", "moron", "pathetic", "scum", "stupid", "trash", "worthless")
+    with_words = np.array([any(m in r["text"].lower() for m in marks) for r in held])
+    y = np.array([r["toxic"] for r in held])
+    s = score([r["text"] for r in held])
+    assert (s[with_words] >= 0.5).mean() >= 0.95 and (s[(y == 0) & ~with_words] >= 0.5).mean() <= 0.03
+    s = score(["".join(r["text"].split()) for r in held])
+    assert (s[with_words] >= 0.5).mean() >= 0.95 and (s[(y == 0) & ~with_words] >= 0.5).mean() <= 0.06
+
+
 def test_toxicity_tells_letters_outside_ascii_apart():
     for block in ((0xC0, 0x180), (0x370, 0x4F0), (0x5D0, 0x5EB), (0xE01, 0xE3B), (0x3041, 0x30FF), (0x4E00, 0x4F00), (0xAC00, 0xAD00)):
         letters = [chr(i) for i in range(*block)]
@@ -476,6 +600,7 @@ def test_quality_neighbours_equal_brute_force(spark):
     assert all(zlib.crc32(str(i).encode()) % 3 == 1 for i, _ in held)
     assert sum((got[i]["predicted"] == 1) == bool(q) for i, q in held) / len(held) > 0.97
     model = quality_knn.fit(d, lab)
+    assert any(len(t or "") > 100_000 for _, t in rows)
     v = model.project(model.terms([(t or "").encode() for _, t in rows]))
     for (i, _), x in list(zip(rows, v, strict=True))[::7]:
         near = sorted(range(len(model.labels)), key=lambda j: -float(x @ model.vectors[j]))[: quality_knn.NEIGHBOURS]
