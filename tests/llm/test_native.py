@@ -7,6 +7,7 @@ import re
 import struct
 from collections import Counter
 
+import numpy as np
 import pytest
 import regex
 import xxhash
@@ -227,6 +228,51 @@ def test_quality_counts_and_verdicts(spark):
     assert not got[11]["kept"] and not got[12]["kept"] and not got[13]["kept"]
 
 
+def brute_votes(text):
+    """The rules of a text, from counts made here."""
+    t = text or ""
+    n, chars, symbols, dup, again = base_counts(t)
+    lines = sum(bool(WORD.search(x)) for x in t.split("\n"))
+    upper, loud, bars, letters = (len(regex.findall(p, t)) for p in (r"\p{Lu}", r"[!?]", r"\|", r"\p{L}"))
+    spelled, calm = letters * 100 >= 88 * chars and symbols * 100 <= n, upper * 8 <= chars and loud * 20 <= n
+    fresh = again * 20 <= n and dup * 8 <= lines
+    bad = [symbols * 20 > n, letters * 100 < 80 * chars, (symbols - bars) * 6 > n, bars * 8 > n, upper * 4 > chars, loud * 10 > n, dup * 4 > lines, again * 10 > n, chars < 2 * n or chars > 14 * n]
+    return tuple([-int(x) for x in bad] + [int(spelled and calm and fresh and n >= 10), int(n >= 60 and spelled and fresh)])
+
+
+def brute_em(patterns, rounds=25):
+    """Prior and accuracies by expectation-maximisation over counted patterns."""
+    v, n = np.array(list(patterns)), np.array(list(patterns.values()), float)
+    prior, right = 0.8, np.full(v.shape[1], 0.9)
+    for _ in range(rounds):
+        good = 1 / (1 + np.exp(-(np.log(prior / (1 - prior)) + (v * np.log(right / (1 - right))).sum(1))))
+        g, b = good * n, (1 - good) * n
+        prior = (g.sum() + 8) / (n.sum() + 10)
+        hit = (g[:, None] * (v > 0) + b[:, None] * (v < 0)).sum(0)
+        right = np.clip((hit + 9) / ((n[:, None] * (v != 0)).sum(0) + 10), 0.55, 0.999)
+    return prior, right
+
+
+@pytest.mark.parametrize("base", ["sf0.001", "sf0.01"])
+def test_quality_verdicts_against_brute_force(spark, base):
+    """Counts, votes, posterior and verdict of every row of the supplied documents."""
+    d = spark.read.parquet(f"/root/testdata/{base}/documents.parquet")
+    rows = {r["doc_id"]: r["text"] for r in d.select("doc_id", "text").collect()}
+    voted = {i: brute_votes(t) for i, t in rows.items()}
+    prior, right = brute_em(Counter(voted.values()))
+    weight = np.log(right / (1 - right))
+    got = quality_rules.verdicts(d).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        want = base_counts(rows[r["doc_id"]])
+        assert (r["n_words"], r["word_chars"], r["n_symbols"], r["n_dup_lines"], r["n_repeat_words"]) == want
+        assert tuple(r["votes"]) == voted[r["doc_id"]]
+        posterior = 1 / (1 + math.exp(-(math.log(prior / (1 - prior)) + float(np.dot(weight, r["votes"])))))
+        failed = want[0] < 10 or 100 * want[4] > 20 * want[0]
+        assert r["posterior"] == pytest.approx(posterior, rel=1e-6, abs=1e-9)
+        assert r["base_failed"] == failed and r["kept"] == (not failed and posterior >= 0.5)
+
+
 def test_quality_of_nothing(spark):
     assert quality_rules.verdicts(docs(spark, [])).count() == 0
 
