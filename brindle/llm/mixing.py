@@ -23,8 +23,10 @@ So the tree decides which documents are drawn, and no two shards can draw the
 same.  Shards are shuffled locally.
 
 Scale.  The text is shuffled once for the ranks and once for the shards.  A
-stratum of more than ``HOT`` documents (thousands of copies have one size) is
-dealt out by hashed salts; ranks over salts are sums of counts.  Only tables
+stratum of more than ``HOT`` documents and of more than its share of all
+(thousands of copies have one size) is hot and
+dealt out by hashed salts; ranks over salts are sums of counts.  There are at
+most ``HOT_STRATA`` such strata, so the list of them is broadcast.  Only tables
 of (source, size) counts and of sources meet in few tasks.
 
 Defined results: null text has size 0 and adds no words; null is a source of
@@ -47,8 +49,8 @@ MAX_REPEATS = 2
 SHARDS = 16
 SEED = 20240607
 SALTS = 256
-#: Strata of more documents are ranked by salts.
-HOT = 10_000
+#: Strata of more documents than this, and than this share of all, are hot.
+HOT, HOT_STRATA = 1000, 4096
 #: Places are counted in runs of so many.
 RUN = 1 << 16
 # Fixed primes near a million, one of which is coprime to any number of draws in practice.
@@ -116,10 +118,10 @@ def _inverted(given: Column) -> Column:
     return _let(F.struct(low.alias("low"), high.alias("high"), mean.alias("mean")), bounded)
 
 
-def _sized(docs: DataFrame, seed: int) -> DataFrame:
+def _sized(docs: DataFrame, seed: int, carry: list[str]) -> DataFrame:
     plain = [c.name for c in docs.schema if "map<" not in c.dataType.simpleString()]
     return docs.select(
-        F.struct(*(docs[c] for c in docs.columns)).alias("row"),
+        F.struct(*(docs[c] for c in carry)).alias("row"),
         F.when(docs["source"].isNull(), "n").otherwise(F.concat(F.lit("s"), docs["source"])).alias("src"),
         F.coalesce(F.regexp_count(docs["text"], F.lit(common.WORD)), F.lit(0)).cast("long").alias("size"),
         F.xxhash64(docs["doc_id"], docs["text"], F.lit(seed)).alias("h"), F.xxhash64(*(docs[c] for c in plain)).alias("tie"),
@@ -258,10 +260,10 @@ def _blocks(strata: DataFrame, facts: DataFrame, shards: int) -> DataFrame:
     return common.materialize(out.select("src", "size", "drawn", "starts"), "mix-blocks")
 
 
-def plan(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, max_repeats: int = MAX_REPEATS, shards: int = SHARDS, seed: int = SEED) -> DataFrame:
-    """Per row of ``docs``: row (its columns), size, source_size, target, and
-    ``draws``: an array of (shard, place) with one entry per copy taken."""
-    sized = _sized(docs, seed)
+def plan(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, max_repeats: int = MAX_REPEATS, shards: int = SHARDS, seed: int = SEED, carry: list[str] | None = None) -> DataFrame:
+    """Per row of ``docs``: row (its columns, or those of ``carry``), size, source_size,
+    target, and ``draws``: an array of (shard, place) with one entry per copy taken."""
+    sized = _sized(docs, seed, docs.columns if carry is None else carry)
     counts = common.materialize(sized.groupBy("src", "size", "salt").agg(F.count("*").alias("n")), "mix-counts")
     hist = common.materialize(counts.groupBy("src", "size").agg(F.sum("n").alias("n")), "mix-sizes")
     per_source = common.materialize(hist.groupBy("src").agg(F.sum(F.col("n") * F.col("size")).alias("words"), F.sum("n").alias("docs")), "mix-sums")
@@ -280,16 +282,20 @@ def plan(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, max_re
     facts = sources.join(ends, "src").withColumns({"step": step.cast("long"), "shift": F.pmod(F.xxhash64("src", F.lit(seed)), F.greatest(q, _long(1)))})
     facts = common.materialize(facts, "mix-facts")
     blocks = _blocks(strata, facts, shards)
+    # Hot strata, of which there are at most HOT_STRATA, are known before documents meet by stratum.
+    least = max(HOT, (hist.agg(F.sum("n")).first()[0] or 0) // HOT_STRATA)
+    hot = hist.filter(F.col("n") > least).select(F.col("src").alias("hot_src"), F.col("size").alias("hot_size"))
+    dealt = lambda df: df.join(F.broadcast(hot), (F.col("src") == F.col("hot_src")) & (F.col("size") == F.col("hot_size")), "left").withColumn(
+        "salt", F.when(F.col("hot_src").isNotNull(), F.col("salt")).otherwise(_long(-1))).drop("hot_src", "hot_size")
     # A row per stratum, and for hot ones a row per salt with the documents of the salts before.
-    strata = strata.select("src", "size", "stratum_at", (F.col("n") > HOT).alias("hot")).join(blocks, ["src", "size"], "left")
-    strata = common.materialize(strata, "mix-plan")
     over_salts = Window.partitionBy("src", "size").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
-    hot = counts.join(strata.filter("hot").select("src", "size"), ["src", "size"])
-    hot = common.materialize(hot.withColumn("salt_at", F.coalesce(F.sum("n").over(over_salts), _long(0))).drop("n"), "mix-salts")
-    ranked = sized.join(strata, ["src", "size"]).withColumn("salt", F.when(F.col("hot"), F.col("salt")).otherwise(_long(-1)))
-    ranked = ranked.withColumn("nth", (F.row_number().over(Window.partitionBy("src", "size", "salt").orderBy("h", "row.doc_id", "tie")) - 1).cast("long"))
-    ranked = ranked.join(hot, ["src", "size", "salt"], "left").join(facts, "src")
-    ranked = ranked.withColumn("rank", F.col("nth") + F.coalesce("salt_at", _long(0)))
+    salted = dealt(counts).groupBy("src", "size", "salt").agg(F.sum("n").alias("n"))
+    salted = salted.withColumn("salt_at", F.coalesce(F.sum("n").over(over_salts), _long(0))).drop("n")
+    salted = salted.join(strata.select("src", "size", "stratum_at"), ["src", "size"]).join(blocks, ["src", "size"], "left")
+    salted = common.materialize(salted, "mix-plan")
+    ranked = dealt(sized).withColumn("nth", (F.row_number().over(Window.partitionBy("src", "size", "salt").orderBy("h", "tie")) - 1).cast("long"))
+    ranked = ranked.join(salted, ["src", "size", "salt"]).join(facts, "src")
+    ranked = ranked.withColumn("rank", F.col("nth") + F.col("salt_at"))
     whole = F.transform(F.filter(F.sequence(_long(0), _long(max_repeats - 1)), lambda e: e < F.col("base")), lambda e: _place(e * F.col("docs") + F.col("stratum_at") + F.col("rank")))
     copies = F.transform(whole, lambda p: F.struct(_shard_of(p).cast("int").alias("shard"), F.xxhash64(p, "src", F.lit(seed)).alias("place")))
     # The block that a document falls in is the last that starts at or before its rank.
@@ -315,5 +321,5 @@ def mix(docs: DataFrame, shards: int = SHARDS, **options) -> DataFrame:
 
 def taken_words(docs: DataFrame, **options) -> DataFrame:
     """Per document what the mix takes of it (the contract's columns)."""
-    return plan(docs.select("doc_id", "source", "text"), **options).select(
+    return plan(docs.select("doc_id", "source", "text"), carry=["doc_id"], **options).select(
         "row.doc_id", "size", "source_size", "target", (F.size("draws") * F.col("size")).alias("taken"))
