@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from brindle.sources import shared
+
 
 def _by(group: str | None, *order: str):
     return Window.partitionBy(*([group] if group else [])).orderBy(*order)
@@ -19,11 +21,23 @@ def _keys(group: str | None) -> list[str]:
     return [group] if group else []
 
 
+def numbered(df: DataFrame, order: str, name: str) -> DataFrame:
+    """``df`` with its rows' numbers from 0 by ``order``, a column of distinct values.
+
+    Rows are dealt by ranges of it; a row's number is its place in its range
+    and the sizes of the ranges before, so only those sizes meet in one task."""
+    dealt = shared.materialize(df.repartitionByRange(order).sortWithinPartitions(order).withColumn("__part", F.spark_partition_id()), "numbered")
+    sizes = dealt.groupBy("__part").agg(F.count("*").alias("__n"))
+    before = F.coalesce(F.sum("__n").over(Window.orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    starts = sizes.select("__part", before.alias("__start"))
+    inside = dealt.withColumn("__place", F.row_number().over(Window.partitionBy("__part").orderBy(order)) - 1)
+    return inside.join(F.broadcast(starts), "__part").withColumn(name, (F.col("__start") + F.col("__place")).cast("int")).drop("__part", "__start", "__place")  # a row per range
+
+
 def dictionary(df: DataFrame, order: str, value: str) -> DataFrame:
-    """(code, value): distinct values in the order of their first occurrence.
-    Only the distinct values meet in one task."""
+    """(code, value): distinct values in the order of their first occurrence."""
     first = df.groupBy(value).agg(F.min(order).alias("__first"))
-    return first.select((F.row_number().over(Window.orderBy("__first")) - 1).alias("code"), value)
+    return numbered(first, "__first", "code").select("code", value)
 
 
 def dictionary_encode(df: DataFrame, order: str, value: str) -> DataFrame:

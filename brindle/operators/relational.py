@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-AGGREGATES = {"sum": F.sum, "count": F.count, "min": F.min, "max": F.max, "avg": F.avg, "count_distinct": F.count_distinct}
+AGGREGATES = {"sum": F.sum, "count": F.count, "min": F.min, "max": F.max, "avg": F.avg, "count_distinct": F.count_distinct, "approx_distinct": F.approx_count_distinct}
 COMPARISONS = {
     ">": lambda a, b: a > b, "<": lambda a, b: a < b, ">=": lambda a, b: a >= b, "<=": lambda a, b: a <= b,
     "=": lambda a, b: a == b, "!=": lambda a, b: a != b, "<>": lambda a, b: a != b,
@@ -29,6 +29,13 @@ def aggregate(df: DataFrame, aggs: dict[str, tuple[str, str]], by: list[str] | N
     return out.filter(having) if having is not None else out
 
 
+def grouping_sets(df: DataFrame, sets: list[list[str]], aggs: dict[str, tuple[str, str]]) -> DataFrame:
+    """One aggregate for each set of keys; keys that a set lacks are null."""
+    keys = list(dict.fromkeys(k for s in sets for k in s))
+    columns = [AGGREGATES[fn](F.col(c) if c != "*" else F.lit(1)).alias(name) for name, (fn, c) in aggs.items()]
+    return df.groupingSets([[F.col(k) for k in s] for s in sets], *map(F.col, keys)).agg(*columns)
+
+
 def conditional_sum(condition: Column, value: Column | None = None) -> Column:
     return F.sum(F.when(condition, value if value is not None else F.lit(1)).otherwise(F.lit(0)))
 
@@ -48,6 +55,43 @@ def salted_join(left: DataFrame, right: DataFrame, left_key: str, right_key: str
     return dealt.join(copied, on, how).drop("__salt", "__copy")
 
 
+def theta_join(left: DataFrame, right: DataFrame, condition: Column, how: str = "inner") -> DataFrame:
+    """A join on any boolean expression over the columns of both sides.
+
+    Catalyst takes what equality the condition holds for a hash or merge join;
+    without any, each left row meets each right row, so one side must be small.
+    For a value between two bounds see :func:`range_join`."""
+    return left.join(right, condition, how)
+
+
+def cross_join(left: DataFrame, right: DataFrame) -> DataFrame:
+    return left.crossJoin(right)
+
+
+def range_join(left: DataFrame, right: DataFrame, point: str, low: str, high: str, width: float) -> DataFrame:
+    """Left rows with each right row whose ``low`` .. ``high`` (both included) holds their ``point``.
+
+    Both sides meet by equality of a cell of ``width``: a point has one, an
+    interval one row for each that it touches, so neither side is compared with
+    all of the other.  A good width is about that of an interval."""
+    cell = lambda c: F.floor(c.cast("double") / width)
+    at = left.withColumn("__cell", cell(left[point]))
+    touched = right.filter(right[low] <= right[high]).withColumn("__touched", F.explode(F.sequence(cell(right[low]), cell(right[high]))))
+    return at.join(touched, (F.col("__cell") == F.col("__touched")) & F.col(point).between(F.col(low), F.col(high))).drop("__cell", "__touched")
+
+
+def overlap_join(left: DataFrame, right: DataFrame, by: str, start: str, end: str, width: float) -> DataFrame:
+    """Pairs of rows (l, r: structs) of one ``by`` whose intervals ``start`` .. ``end`` share
+    a moment.  Intervals meet by cells; a pair counts in the cell where its common part begins."""
+    cell = lambda c: F.floor(c.cast("double") / width)
+    spread = lambda df, name: df.select(
+        F.struct(*(df[c] for c in df.columns)).alias(name), df[by].alias("by"), df[start].alias(f"{name}_start"), df[end].alias(f"{name}_end"),
+        F.explode(F.sequence(cell(df[start]), F.greatest(cell(df[start]), cell(df[end])))).alias("cell"))
+    met = spread(left, "l").join(spread(right, "r"), ["by", "cell"])
+    first = F.greatest("l_start", "r_start")
+    return met.filter((first <= F.least("l_end", "r_end")) & (cell(first) == F.col("cell"))).select("l", "r")
+
+
 def sort(df: DataFrame, *keys: tuple[str, bool]) -> DataFrame:
     """Keys are (column, ascending); nulls come first ascending and last descending."""
     return df.orderBy(*(F.col(c).asc_nulls_first() if up else F.col(c).desc_nulls_last() for c, up in keys))

@@ -1,13 +1,29 @@
-"""Nearest neighbours: exact, and by an inverted file of k-means cells."""
+"""Nearest neighbours: exact for one query or many, and by an inverted file of cells.
+
+Searches for many queries compare blocks of vectors with blocks of queries, one
+matrix product each, and keep the k best of every query before anything is
+shuffled.  Distances of the vectors that come into question are then worked
+out pair by pair in double precision, so that ranks do not depend on blocks.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from brindle.functions.distance import METRICS
+from brindle.sources import shared
+
+#: Vectors and queries that meet in one matrix product.
+BASE_BLOCK, QUERY_BLOCK = 16_384, 1024
+#: How many more than k are worked out pair by pair.
+MARGIN = 16
+_PAIRS = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("distance", pa.float64())])
 
 
 def knn(base: DataFrame, query: list[float], k: int, metric: str = "l2", vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
@@ -18,79 +34,217 @@ def knn(base: DataFrame, query: list[float], k: int, metric: str = "l2", vec_id:
     if k <= 0:
         return base.select(F.lit(0).alias("rank"), vec_id, F.lit(0.0).alias("distance")).filter("false")
     q = F.array(*(F.lit(float(x)).cast("float") for x in query))
-    top = base.select(vec_id, METRICS[metric](F.col(vector), q).alias("distance")).orderBy("distance", vec_id).limit(k)
+    known = base.filter(F.col(vector).isNotNull())  # a null vector is no one's neighbour
+    top = known.select(vec_id, METRICS[metric](F.col(vector), q).alias("distance")).orderBy("distance", vec_id).limit(k)
     return top.select(F.row_number().over(Window.orderBy("distance", vec_id)).alias("rank"), vec_id, "distance")
 
 
-def knn_join(base: DataFrame, queries: DataFrame, k: int, metric: str = "l2", vec_id: str = "vec_id", vector: str = "embedding", block: int = 8) -> DataFrame:
+def _distances(x: np.ndarray, y: np.ndarray, metric: str) -> np.ndarray:
+    """Distances of rows of ``x`` from rows of ``y``, pair by pair."""
+    if metric == "l2":
+        return np.sqrt(((x - y) ** 2).sum(-1))
+    dots = (x * y).sum(-1)
+    if metric == "dot":
+        return -dots
+    with np.errstate(divide="ignore", invalid="ignore"):
+        return 1 - dots / (np.sqrt((x * x).sum(-1)) * np.sqrt((y * y).sum(-1)))
+
+
+def _rough(x: np.ndarray, q: np.ndarray, metric: str) -> np.ndarray:
+    """A matrix (queries by vectors) whose rows are ordered like the distances, but for rounding."""
+    dots = q @ x.T
+    if metric == "l2":
+        return (x * x).sum(1)[None] - 2 * dots
+    if metric == "dot":
+        return -dots
+    norms = np.sqrt((x * x).sum(1))
+    return np.where(norms > 0, -dots / np.where(norms > 0, norms, 1), np.inf)
+
+
+def nearest(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.ndarray, k: int, metric: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query_id, vec_id, distance) of the k closest of a block for each query of a block."""
+    rough = _rough(x, q, metric)
+    some = min(len(ids), k + MARGIN)
+    near = np.argpartition(rough, some - 1, axis=1)[:, :some] if some < len(ids) else np.broadcast_to(np.arange(len(ids)), rough.shape)
+    d = _distances(x[near], q[:, None], metric)
+    # What has no distance (NaN) comes last.
+    order = np.lexsort((ids[near], np.where(np.isnan(d), np.inf, d)), axis=1)[:, :k]
+    rows = np.arange(len(q))[:, None]
+    return np.repeat(query_ids, order.shape[1]), ids[near][rows, order].ravel(), d[rows, order].ravel()
+
+
+def _unpacked(cell) -> tuple[np.ndarray, np.ndarray]:
+    """Ids and vectors of a list of (id, vector)."""
+    flat = cell.values
+    ids, vectors = flat.field(0).to_numpy(zero_copy_only=False), flat.field(1)
+    x = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+    if len(ids) and len(x) % len(ids) or len(set(np.diff(vectors.offsets.to_numpy())[: len(ids)].tolist())) > 1:
+        raise ValueError("vectors differ in length")
+    return ids, x.reshape(len(ids), -1)
+
+
+def _matcher(k: int, metric: str):
+    def match(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for base, asked in zip(*batch.columns, strict=True):
+                (ids, x), (query_ids, q) = _unpacked(base), _unpacked(asked)
+                if x.shape[1] != q.shape[1]:
+                    raise ValueError("vectors differ in length")
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in nearest(ids, x, query_ids, q, k, metric)], schema=_PAIRS)
+
+    return match
+
+
+def _packed(rows: DataFrame, vec_id: str, vector: str, size: int, *by: str) -> DataFrame:
+    """(by, block, list): lists of about ``size`` (id, vector), null vectors left out."""
+    rows = rows.filter(F.col(vector).isNotNull())
+    if by:  # a row for each cell of an index, of which there is a stated number
+        rows = rows.join(F.broadcast(rows.groupBy(*by).agg(F.ceil(F.count("*") / size).alias("blocks"))), list(by))
+    else:
+        rows = rows.withColumn("blocks", F.lit(max(1, -(-rows.count() // size))))
+    entry = F.struct(F.col(vec_id).cast("bigint").alias("id"), F.col(vector).cast("array<float>").alias("v"))
+    dealt = rows.select(*by, F.pmod(F.xxhash64(vec_id), "blocks").alias("block"), entry.alias("x"))
+    return dealt.groupBy(*by, "block").agg(F.collect_list("x").alias("list"))
+
+
+def _ranked(pairs: DataFrame, k: int, vec_id: str) -> DataFrame:
+    """(query_id, rank, vec_id, distance): the k best per query, of the k best of each block."""
+    order = Window.partitionBy("query_id").orderBy("distance", "vec_id")
+    best = pairs.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+    return best.select("query_id", "rank", F.col("vec_id").alias(vec_id), "distance")
+
+
+def knn_join(base: DataFrame, queries: DataFrame, k: int, metric: str = "l2", vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, distance) for a stated set of queries against all rows.
 
-    Queries come in blocks of vectors in one row each; every task keeps its
-    own k best per query before anything is shuffled.
+    Blocks of queries, which are small, are copied to each block of vectors.
     """
-    packed = queries.select(F.col(vec_id).alias("query_id"), F.col(vector).alias("q"), F.pmod(F.xxhash64(vec_id), F.lit(block)).alias("b"))
-    packed = packed.groupBy("b").agg(F.collect_list(F.struct("query_id", "q")).alias("qs"))
-    spread = base.select(vec_id, vector, F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(block - 1).cast("bigint"))).alias("b"))
-    pairs = spread.join(packed, "b").select(vec_id, F.explode(F.transform("qs", lambda q: F.struct(q["query_id"].alias("query_id"), METRICS[metric](F.col(vector), q["q"]).alias("distance")))).alias("p"))
-    # A first rank inside hashed slices bounds what meets per query.
-    near = pairs.select("p.query_id", vec_id, "p.distance", F.pmod(F.xxhash64(vec_id), F.lit(64)).alias("slice"))
-    return _ranked(near, k, vec_id)
+    blocks = shared.materialize(_packed(base, vec_id, vector, BASE_BLOCK).withColumnsRenamed({"block": "i", "list": "base"}), "knn-base")
+    asked = _packed(queries, vec_id, vector, QUERY_BLOCK).select(F.col("list").alias("asked"))
+    n = blocks.agg(F.coalesce(F.max("i"), F.lit(-1))).first()[0]
+    spread = asked.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(n)).cast("array<bigint>")) if n >= 0 else F.lit(None).cast("bigint"))
+    met = spread.join(blocks, "i").select("base", "asked")
+    return _ranked(met.mapInArrow(_matcher(k, metric), "query_id bigint, vec_id bigint, distance double"), k, vec_id)
+
+
+# The inverted file.
+
 
+def as_l2(x: np.ndarray, metric: str, top: float, query: bool) -> np.ndarray:
+    """Vectors among which the order by euclidean distance is that by ``metric``:
+    directions for cosine; for dot one more coordinate that makes all vectors as
+    long as the longest (``top``), and is 0 in queries."""
+    if metric == "cosine":
+        norms = np.sqrt((x * x).sum(1, keepdims=True))
+        return np.divide(x, norms, out=np.zeros_like(x), where=norms > 0)
+    if metric == "dot":
+        more = np.zeros((len(x), 1)) if query else np.sqrt(np.maximum(0, top**2 - (x * x).sum(1, keepdims=True)))
+        return np.concatenate((x, more), 1)
+    return x
 
-def _ranked(near: DataFrame, k: int, vec_id: str) -> DataFrame:
-    """(query_id, rank, vec_id, distance): the k best per query, first of each slice and then of all."""
-    order = [F.col("distance"), F.col(vec_id)]
-    local = near.withColumn("r", F.row_number().over(Window.partitionBy("query_id", "slice").orderBy(*order))).filter(F.col("r") <= k)
-    return local.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(*order))).filter(F.col("rank") <= k).select("query_id", "rank", vec_id, "distance")
 
+def _cell_order(x: np.ndarray, centres: np.ndarray, n: int) -> np.ndarray:
+    """The ``n`` nearest cells of each row, nearest first."""
+    d = (centres * centres).sum(1)[None] - 2 * x @ centres.T
+    return np.argsort(d, axis=1, kind="stable")[:, :n]
 
-def _spots(vector: str, centres: list[list[float]]) -> Column:
-    """(d, cell) of every centre: its distance from a vector, and its number."""
-    return F.array(*(F.struct(METRICS["l2"](F.col(vector), F.array(*(F.lit(float(v)) for v in c))).alias("d"), F.lit(i).alias("cell")) for i, c in enumerate(centres)))
+
+def _placer(centres: np.ndarray, n: int, metric: str, top: float, query: bool):
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if len(batch):
+                ids, x = batch.column(0), np.array(batch.column(1).to_pylist(), np.float64)
+                cells = _cell_order(as_l2(x, metric, top, query), centres, n)
+                at = np.repeat(np.arange(len(ids)), cells.shape[1])
+                yield pa.RecordBatch.from_arrays([ids.take(pa.array(at)), batch.column(1).take(pa.array(at)), pa.array(cells.ravel().astype(np.int32))], names=["id", "v", "cell"])
+
+    return place
 
 
 @dataclass
 class IvfIndex:
-    """Cells (centres as a bounded list) and every row with its cell."""
-
-    centres: list[list[float]]
-    rows: DataFrame
-    metric: str = "l2"
-    vec_id: str = "vec_id"
-    vector: str = "embedding"
-
-    def search(self, query: list[float], k: int, probes: int = 8) -> DataFrame:
-        """The k closest among the ``probes`` cells nearest to the query; all cells make it exact."""
-        order = sorted(range(len(self.centres)), key=lambda i: sum((a - b) ** 2 for a, b in zip(self.centres[i], query, strict=True)))
-        return knn(self.rows.filter(F.col("cell").isin(order[:probes])), query, k, self.metric, self.vec_id, self.vector)
-
-    def search_many(self, queries: DataFrame, k: int, probes: int = 8, slices: int = 16) -> DataFrame:
-        """(query_id, rank, vec_id, distance): ``search`` for a stated set of queries.
-
-        Rows meet the queries that probe their cell in hashed slices of the
-        cell, so a large cell is no single task.
-        """
-        asked = queries.select(F.col(self.vec_id).alias("query_id"), F.col(self.vector).alias("q"))
-        cells = F.slice(F.array_sort(_spots("q", self.centres)), 1, probes)["cell"] if self.centres else F.array().cast("array<int>")
-        asked = asked.select("query_id", "q", F.explode(cells).alias("cell"))
-        asked = asked.withColumn("slice", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(slices - 1).cast("bigint"))))
-        rows = self.rows.select(self.vec_id, self.vector, "cell", F.pmod(F.xxhash64(self.vec_id), F.lit(slices)).alias("slice"))
-        near = rows.join(asked, ["cell", "slice"]).select("query_id", self.vec_id, METRICS[self.metric](F.col(self.vector), F.col("q")).alias("distance"), "slice")
-        return _ranked(near, k, self.vec_id)
-
-
-def build_ivf(base: DataFrame, cells: int = 16, rounds: int = 8, sample_rows: int = 20_000, seed: int = 5, metric: str = "l2", vec_id: str = "vec_id", vector: str = "embedding") -> IvfIndex:
-    """Fit centres on a bounded sample (``sample_rows`` by hashed id), then index every row."""
-    import numpy as np
-
-    sample = base.orderBy(F.xxhash64(vec_id, F.lit(seed)), vec_id).limit(sample_rows).select(vector).collect()
-    x = np.array([r[0] for r in sample], float)
-    if not len(x):
-        return IvfIndex([], base.withColumn("cell", F.lit(0)), metric, vec_id, vector)
-    g = np.random.default_rng(seed)
+    """A stored index: packed blocks of every vector by cell, and the centres of the cells."""
+
+    centres: np.ndarray
+    path: str | None
+    metric: str
+    top: float
+    probes: int
+    vec_id: str
+    vector: str
+
+    def rows(self, spark) -> DataFrame:
+        """(cell, block, list) as stored, in folders by cell."""
+        return spark.read.parquet(self.path)
+
+    def _placed(self, queries: DataFrame, probes: int) -> DataFrame:
+        asked = queries.filter(F.col(self.vector).isNotNull()).select(F.col(self.vec_id).cast("bigint").alias("id"), F.col(self.vector).cast("array<float>").alias("v"))
+        return asked.mapInArrow(_placer(self.centres, probes, self.metric, self.top, True), "id bigint, v array<float>, cell int")
+
+    def search_many(self, queries: DataFrame, k: int, probes: int | None = None) -> DataFrame:
+        """(query_id, rank, vec_id, distance): the k closest among the cells nearest to
+        each query, ``probes`` of them (as fitted, if None); all cells make it exact.
+
+        Only folders of cells that are asked for are read; blocks of queries
+        meet blocks of vectors by cell."""
+        if not len(self.centres) or k <= 0:
+            none = queries.select(F.col(self.vec_id).cast("bigint").alias("query_id"), F.lit(0).alias("rank"), F.col(self.vec_id), F.lit(0.0).alias("distance"))
+            return none.filter("false")
+        spark = queries.sparkSession
+        placed = shared.materialize(self._placed(queries, min(probes or self.probes, len(self.centres))), "ivf-asked")
+        asked = _packed(placed, "id", "v", QUERY_BLOCK, "cell").select("cell", F.col("list").alias("asked"))
+        met = self.rows(spark).join(asked, "cell").select(F.col("list").alias("base"), "asked")
+        return _ranked(met.mapInArrow(_matcher(k, self.metric), "query_id bigint, vec_id bigint, distance double"), k, self.vec_id)
+
+    def search(self, spark, query: list[float], k: int, probes: int | None = None) -> DataFrame:
+        """(rank, vec_id, distance) for a single query."""
+        one = spark.createDataFrame([(0, [float(x) for x in query])], f"{self.vec_id} bigint, {self.vector} array<float>")
+        return self.search_many(one, k, probes).drop("query_id")
+
+
+def _fit_centres(x: np.ndarray, cells: int, rounds: int, g: np.random.Generator) -> np.ndarray:
     centres = x[g.choice(len(x), min(cells, len(x)), replace=False)]
     for _ in range(rounds):
-        near = ((x[:, None] - centres[None]) ** 2).sum(2).argmin(1)
-        centres = np.array([x[near == i].mean(0) if (near == i).any() else c for i, c in enumerate(centres)])
-    rows = base.withColumn("cell", F.array_min(_spots(vector, centres))["cell"])
-    return IvfIndex(centres.tolist(), rows, metric, vec_id, vector)
+        near = _cell_order(x, centres, 1)[:, 0]
+        n = np.bincount(near, minlength=len(centres))
+        sums = np.zeros_like(centres)
+        np.add.at(sums, near, x)
+        centres = np.where(n[:, None] > 0, sums / np.maximum(n, 1)[:, None], centres)
+    return centres
+
+
+def _fit_probes(x: np.ndarray, queries: np.ndarray, centres: np.ndarray, k: int, recall: float, asked: int, g: np.random.Generator) -> int:
+    """How many cells hold ``recall`` of the sample's k nearest, over queries of the sample."""
+    pick = g.choice(len(x), min(asked, len(x)), replace=False)
+    d = (x * x).sum(1)[None] - 2 * queries[pick] @ x.T
+    near = np.argsort(d, axis=1, kind="stable")[:, : min(k, len(x))]
+    cell = _cell_order(x, centres, 1)[:, 0]
+    place = np.argsort(_cell_order(queries[pick], centres, len(centres)), axis=1)  # of each cell in a query's order
+    found = np.sort(np.take_along_axis(place, cell[near], 1).ravel())
+    return int(found[min(len(found) - 1, int(np.ceil(recall * len(found))) - 1)]) + 1
+
+
+def build_ivf(base: DataFrame, cells: int | None = None, rounds: int = 8, sample_rows: int = 20_000, recall: float = 0.96, k: int = 10, seed: int = 5, metric: str = "l2", vec_id: str = "vec_id", vector: str = "embedding", path: str | None = None) -> IvfIndex:
+    """Fit cells on a bounded sample, then store every row under its cell.
+
+    The sample is ``sample_rows`` rows by hashed id.  ``cells`` defaults to the
+    square root of the rows, 1024 at most.  The number of cells that a search
+    looks at is fitted as well: the least that finds ``recall`` of the ``k``
+    nearest rows of the sample for 512 of its rows.  The index is written under
+    ``path`` (by default, in the session's shared folder) in folders by cell;
+    a cell of any size is many blocks."""
+    spark = base.sparkSession
+    rows = base.filter(F.col(vector).isNotNull()).select(F.col(vec_id).cast("bigint").alias("id"), F.col(vector).cast("array<float>").alias("v"))
+    sample = rows.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(sample_rows).select("v").collect()
+    if not sample:
+        return IvfIndex(np.zeros((0, 0)), None, metric, 0.0, 0, vec_id, vector)
+    facts = rows.agg(F.count("*").alias("n"), F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x))).alias("top")).first()
+    raw = np.array([r[0] for r in sample], np.float64)
+    x = as_l2(raw, metric, facts["top"], False)
+    g = np.random.default_rng(seed)
+    centres = _fit_centres(x, cells or min(1024, max(1, round(facts["n"] ** 0.5))), rounds, g)
+    probes = _fit_probes(x, as_l2(raw, metric, facts["top"], True), centres, k, recall, 512, g)
+    placed = rows.mapInArrow(_placer(centres, 1, metric, facts["top"], False), "id bigint, v array<float>, cell int")
+    path = path or shared.new_path(spark, "ivf")
+    _packed(shared.materialize(placed, "ivf-placed"), "id", "v", BASE_BLOCK, "cell").repartition("cell").write.partitionBy("cell").option("compression", "zstd").parquet(path)
+    return IvfIndex(centres, path, metric, facts["top"], probes, vec_id, vector)

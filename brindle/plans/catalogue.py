@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from brindle.functions import encodings
+from brindle.functions import encodings, udfs
 from brindle.operators import relational as R
 from brindle.operators import vector
 from brindle.plans.sql import run_group_query, run_sql
+from brindle.sources import shared, tables
 from brindle.sources.tables import partition_id, scan
-from brindle.streaming.events import windowed_totals
+from brindle.streaming.events import sessions, windowed_totals
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -198,6 +199,43 @@ def join_asof(spark: SparkSession, d: str) -> DataFrame:
     return found.select("event_id", "asof_value")
 
 
+@query("SELECT n_name, r_name FROM nation JOIN region ON n_regionkey < r_regionkey")
+def join_theta(spark: SparkSession, d: str) -> DataFrame:
+    return R.theta_join(scan(spark, d, "nation"), scan(spark, d, "region"), F.col("n_regionkey") < F.col("r_regionkey")).select("n_name", "r_name")
+
+
+@query("SELECT o_orderkey, c_name FROM orders JOIN customer ON o_custkey = c_custkey AND (o_totalprice > 20 * c_acctbal OR c_mktsegment = 'BUILDING')")
+def join_condition(spark: SparkSession, d: str) -> DataFrame:
+    met = (F.col("o_custkey") == F.col("c_custkey")) & ((F.col("o_totalprice") > 20 * F.col("c_acctbal")) | (F.col("c_mktsegment") == "BUILDING"))
+    return R.theta_join(scan(spark, d, "orders"), scan(spark, d, "customer"), met).select("o_orderkey", "c_name")
+
+
+@query("SELECT r_name, n_name FROM region CROSS JOIN nation")
+def join_cross(spark: SparkSession, d: str) -> DataFrame:
+    return R.cross_join(scan(spark, d, "region", ["r_name"]), scan(spark, d, "nation", ["n_name"]))
+
+
+_BANDS = "SELECT s_suppkey, s_acctbal - 25 AS low, s_acctbal + 25 AS high FROM supplier"
+
+
+@query(f"SELECT c_custkey, s_suppkey FROM customer JOIN ({_BANDS}) b ON c_acctbal BETWEEN low AND high")
+def join_range(spark: SparkSession, d: str) -> DataFrame:
+    bands = scan(spark, d, "supplier").select("s_suppkey", (F.col("s_acctbal") - 25).alias("low"), (F.col("s_acctbal") + 25).alias("high"))
+    return R.range_join(scan(spark, d, "customer", ["c_custkey", "c_acctbal"]), bands, "c_acctbal", "low", "high", 50).select("c_custkey", "s_suppkey")
+
+
+_SPANS = "SELECT event_id, user_id, event_type, epoch_us(ts) // 1000000 AS t0, epoch_us(ts) // 1000000 + 600 AS t1 FROM events"
+
+
+@query(f"SELECT e.event_id AS error_id, p.event_id AS purchase_id FROM ({_SPANS}) e JOIN ({_SPANS}) p ON e.user_id = p.user_id AND greatest(e.t0, p.t0) <= least(e.t1, p.t1) WHERE e.event_type = 'error' AND p.event_type = 'purchase'")
+def join_overlap(spark: SparkSession, d: str) -> DataFrame:
+    """Errors and purchases of a user whose ten minutes touch."""
+    t = F.unix_micros(F.col("ts").cast("timestamp"))
+    spans = scan(spark, d, "events").select("event_id", "user_id", "event_type", F.floor(t / 1_000_000).alias("t0"), (F.floor(t / 1_000_000) + 600).alias("t1"))
+    found = R.overlap_join(spans.filter("event_type = 'error'"), spans.filter("event_type = 'purchase'"), "user_id", "t0", "t1", 600)
+    return found.select(F.col("l.event_id").alias("error_id"), F.col("r.event_id").alias("purchase_id"))
+
+
 # Aggregates.
 
 
@@ -261,6 +299,23 @@ def distributed_no_where(spark: SparkSession, d: str) -> DataFrame:
     return run_group_query(spark, d, "select max(n_nationkey) from nation group by n_regionkey")
 
 
+@query("SELECT l_returnflag, count(DISTINCT l_suppkey) AS n_supp FROM lineitem GROUP BY l_returnflag")
+def group_count_distinct(spark: SparkSession, d: str) -> DataFrame:
+    return R.aggregate(scan(spark, d, "lineitem"), {"n_supp": ("count_distinct", "l_suppkey")}, ["l_returnflag"])
+
+
+@query("SELECT true AS close")
+def approx_distinct(spark: SparkSession, d: str) -> DataFrame:
+    """Whether the estimate of distinct orders is within a tenth of their number."""
+    both_ = R.aggregate(scan(spark, d, "lineitem"), {"about": ("approx_distinct", "l_orderkey"), "n": ("count_distinct", "l_orderkey")})
+    return both_.select((F.abs(F.col("about") - F.col("n")) <= 0.1 * F.col("n")).alias("close"))
+
+
+@query("SELECT l_returnflag, l_linestatus, count(*) AS n, sum(l_quantity) AS q FROM lineitem GROUP BY GROUPING SETS ((l_returnflag, l_linestatus), (l_linestatus), ())")
+def grouping_sets(spark: SparkSession, d: str) -> DataFrame:
+    return R.grouping_sets(scan(spark, d, "lineitem"), [["l_returnflag", "l_linestatus"], ["l_linestatus"], []], {"n": ("count", "*"), "q": ("sum", "l_quantity")})
+
+
 # Sort, limit, top.
 
 
@@ -346,6 +401,76 @@ both("window_rank", "SELECT o_orderkey, row_number() OVER (PARTITION BY o_custke
 both("rollup_sets", "SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY ROLLUP (l_returnflag, l_linestatus)")
 
 
+both("cube_sets", "SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)")
+both("agg_filter", "SELECT o_orderstatus, count(*) FILTER (WHERE o_totalprice > 100000) AS large, count(*) AS n FROM orders GROUP BY o_orderstatus")
+both("agg_stats", "SELECT c_mktsegment, round(stddev_samp(c_acctbal), 6) AS sd, round(var_pop(c_acctbal), 4) AS var, round(corr(c_acctbal, c_custkey), 9) AS r FROM customer GROUP BY c_mktsegment")
+both("agg_extremes", "SELECT o_custkey, max_by(o_orderkey, o_totalprice) AS dearest, min_by(o_orderkey, o_totalprice) AS cheapest, bool_or(o_totalprice > 200000) AS any_large FROM orders GROUP BY o_custkey")
+both("set_union_all", "SELECT c_nationkey AS k FROM customer UNION ALL SELECT s_nationkey FROM supplier")
+both("set_intersect_all", "SELECT c_nationkey AS k FROM customer INTERSECT ALL SELECT s_nationkey FROM supplier")
+both("set_except_all", "SELECT c_nationkey AS k FROM customer EXCEPT ALL SELECT s_nationkey FROM supplier")
+both("window_neighbours", "SELECT o_orderkey, lag(o_orderkey) OVER w AS before, lead(o_orderkey, 2, -1) OVER w AS later, first_value(o_orderkey) OVER w AS first FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)")
+both("window_ranks", "SELECT c_custkey, rank() OVER w AS r, dense_rank() OVER w AS dr, ntile(4) OVER (PARTITION BY c_nationkey ORDER BY c_acctbal, c_custkey) AS quarter FROM customer WINDOW w AS (PARTITION BY c_nationkey ORDER BY c_mktsegment)")
+both("window_frames", """
+SELECT o_orderkey, count(*) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS near,
+  round(sum(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS UNBOUNDED PRECEDING), 2) AS running,
+  max(o_totalprice) OVER (PARTITION BY o_custkey ORDER BY o_orderkey ROWS BETWEEN 3 PRECEDING AND CURRENT ROW) AS high
+FROM orders
+""")
+both("string_functions", """
+SELECT p_partkey, upper(p_name) AS up, length(p_name) AS n, substring(p_name, 2, 4) AS part, replace(p_name, 'e', '_') AS r, concat(p_brand, '/', p_type) AS c,
+  instr(p_name, 'r') AS at, reverse(p_type) AS rev, lpad(p_type, 12, '.') AS padded, trim(concat('  ', p_type, ' ')) AS t, left(p_brand, 3) AS l3
+FROM part
+""")
+both("number_functions", "SELECT l_orderkey, l_linenumber, floor(l_extendedprice) AS f, ceil(l_discount * 100) AS c, round(l_tax, 1) AS r, CAST(l_orderkey % 7 AS BIGINT) AS m, greatest(l_quantity, 25.0) AS g, least(l_quantity, 25.0) AS l, sign(l_quantity - 25) AS s FROM lineitem")
+both("null_functions", "SELECT n_nationkey, coalesce(nullif(n_regionkey, 1), -1) AS k, CASE WHEN nullif(n_regionkey, 1) IS NULL THEN 'none' ELSE CAST(n_regionkey AS VARCHAR(10)) END AS s FROM nation")
+both("date_functions", "SELECT o_orderkey, CAST(quarter(o_orderdate) AS BIGINT) AS q, CAST(day(o_orderdate) AS BIGINT) AS d, CAST(date_trunc('month', o_orderdate) AS DATE) AS m, datediff(DATE '2001-12-31', CAST(o_orderdate AS DATE)) AS left_days FROM orders")
+ORACLE_SQL["date_functions"] = ORACLE_SQL["date_functions"].replace("datediff(DATE '2001-12-31', CAST(o_orderdate AS DATE))", "CAST(DATE '2001-12-31' - CAST(o_orderdate AS DATE) AS INTEGER)")
+both("with_recursive_free_cte", "WITH big AS (SELECT o_custkey, sum(o_totalprice) AS t FROM orders GROUP BY o_custkey), m AS (SELECT avg(t) AS a FROM big) SELECT o_custkey FROM big, m WHERE t > 1.5 * a")
+both("in_subquery", "SELECT s_suppkey FROM supplier WHERE s_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 2) AND s_suppkey NOT IN (SELECT l_suppkey FROM lineitem WHERE l_quantity > 49 AND l_discount > 0.09)")
+both("text_tables", "SELECT source, count(*) AS n, sum(length(text)) AS chars FROM documents GROUP BY source")
+
+
+@query("SELECT event_id, CAST(json_extract(props, '$.k') AS BIGINT) AS k, CASE WHEN CAST(json_extract(props, '$.k') AS BIGINT) > 50 THEN 'high' ELSE 'low' END AS level FROM events")
+def json_functions(spark: SparkSession, d: str) -> DataFrame:
+    k = F.get_json_object("props", "$.k").cast("bigint")
+    return scan(spark, d, "events").select("event_id", k.alias("k"), F.when(k > 50, "high").otherwise("low").alias("level"))
+
+
+@query("SELECT vec_id, CAST(len(embedding) AS INTEGER) AS dim, embedding[1] AS first, list_max(embedding) AS high, CAST(len(list_filter(embedding, lambda x: x > 0)) AS INTEGER) AS positive FROM embeddings")
+def array_functions(spark: SparkSession, d: str) -> DataFrame:
+    e = F.col("embedding")
+    return scan(spark, d, "embeddings").select("vec_id", F.size(e).alias("dim"), F.get(e, F.lit(0)).alias("first"), F.array_max(e).alias("high"), F.size(F.filter(e, lambda x: x > 0)).alias("positive"))
+
+
+@query("SELECT word, count(*) AS n FROM (SELECT unnest(string_split(p_name, ' ')) AS word FROM part) GROUP BY word")
+def explode_words(spark: SparkSession, d: str) -> DataFrame:
+    return scan(spark, d, "part").select(F.explode(F.split("p_name", " ")).alias("word")).groupBy("word").agg(F.count("*").alias("n"))
+
+
+@query("SELECT c_mktsegment, count(CASE WHEN c_nationkey = 1 THEN 1 END) AS n1, count(CASE WHEN c_nationkey = 2 THEN 1 END) AS n2 FROM customer GROUP BY c_mktsegment")
+def pivot_counts(spark: SparkSession, d: str) -> DataFrame:
+    out = scan(spark, d, "customer").groupBy("c_mktsegment").pivot("c_nationkey", [1, 2]).agg(F.count("c_custkey")).na.fill(0)
+    return out.withColumnsRenamed({"1": "n1", "2": "n2"})
+
+
+@query("SELECT c_custkey, upper(left(c_mktsegment, 1)) || regexp_replace(upper(substring(c_mktsegment, 2)), '[^BCDFGHJKLMNPQRSTVWXZ]', '', 'g') AS code FROM customer")
+def udf_scalar(spark: SparkSession, d: str) -> DataFrame:
+    udfs.register_all(spark)
+    return run_sql(spark, d, "SELECT c_custkey, consonants(c_mktsegment) AS code FROM customer")
+
+
+@query("SELECT c_nationkey, max(c_acctbal) - min(c_acctbal) AS width FROM customer GROUP BY c_nationkey")
+def udf_aggregate(spark: SparkSession, d: str) -> DataFrame:
+    udfs.register_all(spark)
+    return run_sql(spark, d, "SELECT c_nationkey, value_range(c_acctbal) AS width FROM customer GROUP BY c_nationkey")
+
+
+@query("SELECT s_suppkey, CAST(i AS INTEGER) AS place, CAST(substring(CAST(s_suppkey AS VARCHAR), i + 1, 1) AS INTEGER) AS digit FROM (SELECT s_suppkey, unnest(range(length(CAST(s_suppkey AS VARCHAR)))) AS i FROM supplier)")
+def udf_table(spark: SparkSession, d: str) -> DataFrame:
+    udfs.register_all(spark)
+    return run_sql(spark, d, "SELECT s_suppkey, place, digit FROM supplier, LATERAL digits(s_suppkey)")
+
+
 # Whole results of queries that are given above with a fixed range of ids or a limit.
 
 
@@ -381,6 +506,69 @@ def hash_partition_counts(spark: SparkSession, d: str) -> DataFrame:
     return scan(spark, d, "orders").groupBy(partition_id(F.col("o_custkey"), 4).alias("pid")).agg(F.count("*").alias("n"))
 
 
+# Tables written and read again.
+
+for _codec in tables.CODECS:
+
+    def _through_codec(spark: SparkSession, d: str, codec: str = _codec) -> DataFrame:
+        path = shared.new_path(spark, "codec")
+        tables.write(scan(spark, d, "orders"), path, codec)
+        return spark.read.parquet(path)
+
+    QUERIES[f"parquet_{_codec.lower()}"] = _through_codec
+    ORACLE_SQL[f"parquet_{_codec.lower()}"] = "SELECT * FROM orders"
+
+for _form in tables.FORMATS:
+
+    def _through_format(spark: SparkSession, d: str, form: str = _form) -> DataFrame:
+        path, rows = shared.new_path(spark, form), scan(spark, d, "events")
+        tables.save(rows, path, form)
+        return tables.load(spark, path, form, rows.schema)
+
+    QUERIES[f"{_form}_round_trip"] = _through_format
+    ORACLE_SQL[f"{_form}_round_trip"] = "SELECT * FROM events"
+
+
+@query("SELECT n_nationkey, n_name, CASE WHEN n_regionkey = 1 THEN NULL ELSE n_regionkey END AS k, CASE WHEN n_regionkey = 2 THEN NULL WHEN n_regionkey = 3 THEN '' ELSE n_name END AS s FROM nation")
+def parquet_nulls(spark: SparkSession, d: str) -> DataFrame:
+    name = F.when(F.col("n_regionkey") == 2, None).when(F.col("n_regionkey") == 3, "").otherwise(F.col("n_name"))
+    rows = scan(spark, d, "nation").select("n_nationkey", "n_name", F.nullif("n_regionkey", F.lit(1)).alias("k"), name.alias("s"))
+    path = shared.new_path(spark, "nulls")
+    tables.write(rows, path)
+    return spark.read.parquet(path)
+
+
+@query("SELECT CAST(o_custkey % 4 AS INTEGER) AS partition_id, count(*) AS n, sum(o_orderkey) AS keys, count(DISTINCT o_custkey) AS customers FROM orders GROUP BY 1")
+def partitioned_write(spark: SparkSession, d: str) -> DataFrame:
+    path = shared.new_path(spark, "parts")
+    tables.write_partitioned(scan(spark, d, "orders"), path, "o_custkey", 4)
+    found = spark.read.parquet(path).groupBy("partition_id")
+    return found.agg(F.count("*").alias("n"), F.sum("o_orderkey").alias("keys"), F.count_distinct("o_custkey").alias("customers"))
+
+
+def _grouped(spark: SparkSession, d: str) -> str:
+    """Line items in small row groups, sorted inside files."""
+    path = shared.new_path(spark, "groups")
+    tables.write(scan(spark, d, "lineitem").coalesce(1), path, "SNAPPY", row_group_bytes=1 << 18, sort_by=["l_orderkey"])
+    return path
+
+
+@query("SELECT 'l_orderkey' AS \"column\", min(l_orderkey) AS low, max(l_orderkey) AS high, count(*) AS n, CAST(0 AS BIGINT) AS nulls, 'SNAPPY' AS codec FROM lineitem")
+def row_group_footers(spark: SparkSession, d: str) -> DataFrame:
+    """A table's bounds and rows as its footers give them."""
+    groups = tables.row_groups(spark, _grouped(spark, d)).filter("column = 'l_orderkey'")
+    return groups.groupBy("column").agg(F.min(F.col("low").cast("bigint")).alias("low"), F.max(F.col("high").cast("bigint")).alias("high"), F.sum("n_rows").alias("n"), F.sum("nulls").alias("nulls"), F.max("codec").alias("codec"))
+
+
+@query("SELECT true AS some_skipped, count(*) AS n FROM lineitem WHERE l_orderkey < (SELECT max(l_orderkey) // 10 FROM lineitem)")
+def zone_map_pruning(spark: SparkSession, d: str) -> DataFrame:
+    """Whether bounds rule row groups out, and what the others and the filter give."""
+    path, top = _grouped(spark, d), scan(spark, d, "lineitem").agg(F.max("l_orderkey")).first()[0] or 0
+    pruned = tables.pruned_groups(spark, path, "l_orderkey", "<", top // 10).select((F.col("skipped") > 0).alias("some_skipped"))
+    n = spark.read.parquet(path).filter(F.col("l_orderkey") < top // 10).agg(F.count("*").alias("n"))
+    return R.cross_join(pruned, n)  # a row each
+
+
 _FIRSTS = "SELECT o_orderpriority, row_number() OVER (ORDER BY min(o_orderkey)) - 1 AS code FROM orders GROUP BY o_orderpriority"
 
 
@@ -469,11 +657,38 @@ def knn_many(spark: SparkSession, d: str) -> DataFrame:
     return vector.knn_join(base, base.filter("vec_id % 50 = 0"), 5).select("query_id", "rank", "vec_id")
 
 
+def _ann(spark: SparkSession, d: str, metric: str) -> DataFrame:
+    base = scan(spark, d, "embeddings")
+    return vector.build_ivf(base, metric=metric).search_many(base.filter("vec_id % 50 = 0"), 10).select("query_id", "rank", "vec_id", "distance")
+
+
 @query()
 def ann_knn(spark: SparkSession, d: str) -> DataFrame:
-    """The ten nearest of every fiftieth vector by the inverted file; tests hold its recall against exact search."""
-    base = scan(spark, d, "embeddings")
-    return vector.build_ivf(base).search_many(base.filter("vec_id % 50 = 0"), 10)
+    """The ten nearest of every fiftieth vector by the inverted file."""
+    return _ann(spark, d, "l2")
+
+
+@query()
+def ann_cosine(spark: SparkSession, d: str) -> DataFrame:
+    return _ann(spark, d, "cosine")
+
+
+@query()
+def ann_dot(spark: SparkSession, d: str) -> DataFrame:
+    return _ann(spark, d, "dot")
+
+
+@query("SELECT metric, CAST(10 * n AS BIGINT) AS rows, true AS enough FROM (SELECT unnest(['l2', 'cosine', 'dot']) AS metric), (SELECT count(*) AS n FROM embeddings WHERE vec_id % 50 = 0)")
+def ann_recall(spark: SparkSession, d: str) -> DataFrame:
+    """Rows that the index finds for every fiftieth vector, and whether 0.9 of the exact ones are among them."""
+    out = None
+    for metric in ("l2", "cosine", "dot"):
+        found = _ann(spark, d, metric).select("query_id", "vec_id", F.lit(1).alias("found"))
+        exact = _knn_many(spark, d, metric).select("query_id", "vec_id", F.lit(1).alias("exact"))
+        both_ = found.join(exact, ["query_id", "vec_id"], "full").agg(F.count("found").alias("rows"), (F.count(F.expr("found + exact")) >= 0.9 * F.count("exact")).alias("enough"))
+        both_ = both_.select(F.lit(metric).alias("metric"), "rows", "enough")
+        out = both_ if out is None else out.unionByName(both_)
+    return out
 
 
 # Event windows, the batch side of the streaming plan.
@@ -482,3 +697,22 @@ def ann_knn(spark: SparkSession, d: str) -> DataFrame:
 @query("SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n, sum(value) AS total FROM events GROUP BY 1, 2")
 def event_windows(spark: SparkSession, d: str) -> DataFrame:
     return windowed_totals(scan(spark, d, "events")).withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+
+
+@query("""
+SELECT window_start, event_type, count(*) AS n, sum(value) AS total FROM (
+  SELECT unnest([time_bucket(INTERVAL '30 minutes', ts), time_bucket(INTERVAL '30 minutes', ts) - INTERVAL '30 minutes']) AS window_start, event_type, value FROM events
+) GROUP BY 1, 2
+""")
+def event_sliding_windows(spark: SparkSession, d: str) -> DataFrame:
+    return windowed_totals(scan(spark, d, "events"), slide="30 minutes").withColumn("window_start", F.col("window_start").cast("timestamp_ntz"))
+
+
+@query("""
+WITH m AS (
+  SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER w + INTERVAL '30 minutes' THEN 0 ELSE 1 END AS new FROM events WINDOW w AS (PARTITION BY user_id ORDER BY ts)
+), s AS (SELECT user_id, ts, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM m)
+SELECT user_id, min(ts) AS session_start, max(ts) + INTERVAL '30 minutes' AS session_end, count(*) AS n FROM s GROUP BY user_id, k
+""")
+def event_sessions(spark: SparkSession, d: str) -> DataFrame:
+    return sessions(scan(spark, d, "events")).withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("session_start", "session_end")})

@@ -9,7 +9,16 @@ from pyspark.sql import types as T
 #: Column types of the data model and their Spark types.
 TYPES = {"INT32": T.IntegerType(), "INT64": T.LongType(), "FLOAT64": T.DoubleType(), "STRING": T.StringType()}
 CODECS = {"NONE": "none", "SNAPPY": "snappy", "ZSTD": "zstd"}
-TABLES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "embeddings")
+TABLES = (
+    "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
+    "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
+)
+#: Formats besides Parquet, and what makes each keep nulls, empty strings and line ends apart.
+FORMATS = {
+    "csv": {"header": "true", "nullValue": "\\N", "emptyValue": "", "quoteAll": "true", "escape": '"', "multiLine": "true", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]"},
+    "json": {"ignoreNullFields": "false", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]"},
+    "orc": {},
+}
 
 
 def schema(**columns: str) -> T.StructType:
@@ -56,34 +65,65 @@ def write_bucketed(df: DataFrame, name: str, key: str, n: int, mode: str = "erro
     df.write.mode(mode).bucketBy(n, key).sortBy(key).saveAsTable(name)
 
 
-def row_groups(spark: SparkSession, path: str) -> DataFrame:
-    """Row-group statistics of a Parquet table: file, group, rows, column, low, high, nulls.
+def save(df: DataFrame, path: str, form: str, mode: str = "errorifexists") -> None:
+    """Write a table as CSV, JSON lines or ORC."""
+    df.write.mode(mode).format(form).options(**FORMATS[form]).save(path)
 
-    Footers are read where the files are, a task per file, through Spark's own
-    file source so that any store works.
-    """
-    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").load(path)
 
-    def footers(batches):
-        import io
+def load(spark: SparkSession, path: str, form: str, columns: T.StructType | str) -> DataFrame:
+    """Read a table that :func:`save` wrote.  The schema is given, so that nothing is
+    read twice to guess it; ORC takes its own."""
+    reader = spark.read.format(form).options(**FORMATS[form])
+    return (reader if form == "orc" else reader.schema(columns)).load(path)
+
+
+def load_jdbc(spark: SparkSession, url: str, table: str, key: str, low: int, high: int, parts: int, **options: str) -> DataFrame:
+    """A table of a database, read by ranges of ``key`` in so many tasks."""
+    reader = spark.read.format("jdbc").options(url=url, dbtable=table, partitionColumn=key, lowerBound=low, upperBound=high, numPartitions=parts, **options)
+    return reader.load()
+
+
+_GROUPS = "file string, row_group int, n_rows bigint, column string, low string, high string, nulls bigint, codec string"
+
 
-        import pyarrow as pa
-        import pyarrow.parquet as pq
+def _footers(batches):
+    """Row groups of the files named, of which only the footers are read."""
+    import pyarrow as pa
+    import pyarrow.fs as fs
+    import pyarrow.parquet as pq
 
-        for batch in batches:
+    kind = pa.schema([("file", pa.string()), ("row_group", pa.int32()), ("n_rows", pa.int64()), ("column", pa.string()), ("low", pa.string()), ("high", pa.string()), ("nulls", pa.int64()), ("codec", pa.string())])
+    for batch in batches:
+        for path in batch.column(0).to_pylist():
+            store, name = fs.FileSystem.from_uri(path.replace("file:///", "file:/", 1).replace("file:/", "file:///", 1).replace("s3a://", "s3://", 1))
             out = []
-            for row in batch.to_pylist():
-                meta = pq.ParquetFile(io.BytesIO(row["content"])).metadata
-                for g in range(meta.num_row_groups):
-                    group = meta.row_group(g)
-                    for c in range(group.num_columns):
-                        col = group.column(c)
-                        s = col.statistics
-                        known = s is not None and s.has_min_max
-                        out.append({"file": row["path"], "row_group": g, "n_rows": group.num_rows, "column": col.path_in_schema, "low": str(s.min) if known else None, "high": str(s.max) if known else None, "nulls": s.null_count if s is not None else None, "codec": col.compression})
-            yield pa.RecordBatch.from_pylist(out, schema=pa.schema([("file", pa.string()), ("row_group", pa.int32()), ("n_rows", pa.int64()), ("column", pa.string()), ("low", pa.string()), ("high", pa.string()), ("nulls", pa.int64()), ("codec", pa.string())]))
-
-    return files.select("path", "content").mapInArrow(footers, "file string, row_group int, n_rows bigint, column string, low string, high string, nulls bigint, codec string")
+            with store.open_input_file(name) as file:
+                meta = pq.ParquetFile(file).metadata
+            for g in range(meta.num_row_groups):
+                group = meta.row_group(g)
+                for c in range(group.num_columns):
+                    col = group.column(c)
+                    s = col.statistics
+                    known = s is not None and s.has_min_max
+                    out.append({"file": path, "row_group": g, "n_rows": group.num_rows, "column": col.path_in_schema, "low": str(s.min) if known else None, "high": str(s.max) if known else None, "nulls": s.null_count if s is not None else None, "codec": col.compression})
+            yield pa.RecordBatch.from_pylist(out, schema=kind)
+
+
+def row_groups(spark: SparkSession, path: str) -> DataFrame:
+    """Row-group statistics of a Parquet table: file, group, rows, column, low, high, nulls, codec.
+
+    Files are listed by Spark; a task opens each where it is and reads its last
+    bytes, however large the file.  The store must be one that Arrow reaches
+    too (local, S3, GCS, HDFS)."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "*.parquet").option("recursiveFileLookup", "true").load(path)
+    return files.select("path").mapInArrow(_footers, _GROUPS)
+
+
+def pruned_groups(spark: SparkSession, path: str, column: str, op: str, value, kind: str = "bigint") -> DataFrame:
+    """(total, skipped): row groups of a table, and those whose bounds on ``column`` rule a match out."""
+    groups = row_groups(spark, path).filter(F.col("column") == column)
+    keep = might_match(F.col("low").cast(kind), F.col("high").cast(kind), op, F.lit(value))
+    return groups.agg(F.count("*").alias("total"), F.coalesce(F.sum((~keep).cast("long")), F.lit(0).cast("long")).alias("skipped"))
 
 
 def might_match(low: Column, high: Column, op: str, value: Column) -> Column:

@@ -12,12 +12,13 @@ def read_events(spark: SparkSession, path: str, files_per_trigger: int = 1) -> D
     return spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_trigger).parquet(path)
 
 
-def windowed_totals(events: DataFrame, width: str = "1 hour", late: str = "2 hours") -> DataFrame:
-    """Counts and sums per event type and tumbling window; works on streams and tables."""
+def windowed_totals(events: DataFrame, width: str = "1 hour", late: str = "2 hours", slide: str | None = None) -> DataFrame:
+    """Counts and sums per event type and window, tumbling or, with ``slide``, sliding;
+    works on streams and tables."""
     timed = events.withColumn("ts", F.col("ts").cast("timestamp"))
     if events.isStreaming:
         timed = timed.withWatermark("ts", late)
-    out = timed.groupBy(F.window("ts", width).alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
+    out = timed.groupBy(F.window("ts", width, slide).alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total"))
     return out.select(F.col("w.start").alias("window_start"), "event_type", "n", "total")
 
 
