@@ -2,79 +2,21 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from brindle.sources.shared import materialize, new_path, release, shared_dir
+
+__all__ = ["materialize", "new_path", "release", "shared_dir"]
+
 # The white space that separates words: space and code points 9 to 13.
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
-_made: list[tuple[SparkSession, str]] = []
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``.
-
-    Where it is unset, a local master gets a folder of its own (tests); on a
-    cluster it is an error, as a machine-local folder would lose data.
-    """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if base:
-        return base.rstrip("/")
-    if spark.sparkContext.master != "local" and not spark.sparkContext.master.startswith("local["):
-        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
-    base = f"file://{tempfile.mkdtemp(prefix='brindle-')}"
-    spark.conf.set("spark.checkpoint.dir", base)
-    return base
-
-
-def _delete(spark: SparkSession, path: str) -> None:
-    jvm = spark.sparkContext._jvm
-    p = jvm.org.apache.hadoop.fs.Path(path)
-    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-
-
-def release(spark: SparkSession) -> None:
-    """Delete what :func:`materialize` wrote; call it when results were read."""
-    for session, path in [x for x in _made if x[0] is spark]:
-        _delete(session, path)
-        _made.remove((session, path))
-
-
-@atexit.register
-def _release_all() -> None:
-    for session, path in _made:
-        try:
-            _delete(session, path)
-        except Exception:  # the JVM may be gone when Python ends
-            return
-
-
-def new_path(spark: SparkSession, tag: str) -> str:
-    path = f"{shared_dir(spark)}/brindle-{tag}-{uuid.uuid4().hex}"
-    _made.append((spark, path))
-    return path
-
-
-def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and read it back.
-
-    This cuts the lineage in a way that outlives a lost executor, and gives
-    the planner the table's true size for its choice of joins.
-    """
-    path = new_path(df.sparkSession, tag)
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def unused(df: DataFrame, name: str, n: int = 1) -> list[str]:
     """``n`` column names that ``df`` does not have, in any case."""
     taken, out, k = {c.lower() for c in df.columns}, [], 0
