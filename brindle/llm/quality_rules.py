@@ -157,6 +157,6 @@ def judge(docs: DataFrame, threshold: float = THRESHOLD, rounds: int = ROUNDS) -
 
 
 def verdicts(docs: DataFrame) -> DataFrame:
-    """The contract's columns, and the posterior and votes behind them."""
+    """The contract's columns, and the posterior (to six places) behind the verdict."""
     return judge(docs.select("doc_id", "text")).select(
-        "row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "posterior", "votes")
+        "row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", F.round("posterior", 6).alias("posterior"))

@@ -58,7 +58,52 @@ def op10_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_toxicity, op2_mixing, op3_token_binary, op4_minhash_neardup, op5_quality_rules, op6_secret_scans, op7_decontamination, op8_chat_formatting, op9_warc, op10_quality_classifier)}
 
+
+
+def _quality_sql() -> str:
+    """The counts, votes, rounds of expectation-maximisation and verdicts of op5."""
+    rules = [
+        "n_symbols * 20 > n_words", "n_letters * 100 < 80 * word_chars", "(n_symbols - n_bars) * 6 > n_words", "n_bars * 8 > n_words", "n_upper * 4 > word_chars",
+        "n_loud * 10 > n_words", "n_dup_lines * 4 > n_lines", "n_repeat_words * 10 > n_words", "word_chars < 2 * n_words OR word_chars > 14 * n_words",
+    ]
+    spelled, calm = "n_letters * 100 >= 88 * word_chars AND n_symbols * 100 <= n_words", "n_upper * 8 <= word_chars AND n_loud * 20 <= n_words"
+    fresh = "n_repeat_words * 20 <= n_words AND n_dup_lines * 8 <= n_lines"
+    votes = [f"CASE WHEN {r} THEN -1 ELSE 0 END" for r in rules] + [f"CASE WHEN {r} THEN 1 ELSE 0 END" for r in (f"{spelled} AND {calm} AND {fresh} AND n_words >= 10", f"n_words >= 60 AND {spelled} AND {fresh}")]
+    right = [f"least(0.999, greatest(0.55, (sum(CASE WHEN v[{j}] > 0 THEN g * n WHEN v[{j}] < 0 THEN (1 - g) * n ELSE 0 END) + 9) / (sum(CASE WHEN v[{j}] <> 0 THEN n ELSE 0 END) + 10)))" for j in range(1, len(votes) + 1)]
+    odds = " + ".join(["ln(prior / (1 - prior))", *(f"v[{j}] * ln(a[{j}] / (1 - a[{j}]))" for j in range(1, len(votes) + 1))])
+    start = ", ".join(["CAST(0.9 AS DOUBLE)"] * len(votes))
+    return rf"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, coalesce(text, '') AS t, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w,
+    list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: regexp_matches(x, '[^\x20\x09-\x0D]')) AS l
+  FROM documents
+), p AS (
+  SELECT doc_id, i, list_aggregate(w[i : i + 4], 'string_agg', ' ') AS g FROM (SELECT doc_id, w, unnest(range(1, len(w) - 3)) AS i FROM d)
+), q AS (SELECT doc_id, unnest(range(i, i + 5)) AS k FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, g) AS n FROM p) WHERE n > 1
+), r AS (SELECT doc_id, count(DISTINCT k) AS n_repeat_words FROM q GROUP BY doc_id
+), f AS (
+  SELECT d.doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(length(array_to_string(w, '')) AS BIGINT) AS word_chars,
+    CAST(len(regexp_extract_all(t, '[#*$%&|<>]')) AS BIGINT) AS n_symbols, CAST(len(l) AS BIGINT) AS n_lines,
+    CAST(len(l) - len(list_distinct(l)) AS BIGINT) AS n_dup_lines, CAST(coalesce(n_repeat_words, 0) AS BIGINT) AS n_repeat_words,
+    len(regexp_extract_all(t, '\p{{Lu}}')) AS n_upper, len(regexp_extract_all(t, '[!?]')) AS n_loud,
+    len(regexp_extract_all(t, '\|')) AS n_bars, len(regexp_extract_all(t, '\p{{L}}')) AS n_letters
+  FROM d LEFT JOIN r ON r.doc_id = d.doc_id
+), s AS (SELECT *, [{", ".join(votes)}] AS v FROM f
+), c AS (SELECT v, count(*) AS n FROM s GROUP BY v
+), em(k, prior, a) AS (
+  SELECT 0, CAST(0.8 AS DOUBLE), [{start}]
+  UNION ALL
+  SELECT k + 1, (sum(g * n) + 8) / (sum(n) + 10), [{", ".join(right)}]
+  FROM (SELECT k, v, n, 1 / (1 + exp(-({odds}))) AS g FROM em, c WHERE k < 25) GROUP BY k
+), x AS (
+  SELECT s.*, 1 / (1 + exp(-({odds}))) AS posterior, n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed FROM s, (SELECT prior, a FROM em WHERE k = 25)
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND posterior >= 0.5 AS kept, round(posterior, 6) AS posterior FROM x
+"""
+
+
 ORACLE_SQL = {
+    "op5_quality_rules": _quality_sql(),
     "op4_minhash_neardup": r"""
 WITH RECURSIVE w AS (
   SELECT doc_id, list_filter(regexp_split_to_array(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w

@@ -261,7 +261,8 @@ def test_quality_verdicts_against_brute_force(spark, base):
     voted = {i: brute_votes(t) for i, t in rows.items()}
     prior, right = brute_em(Counter(voted.values()))
     weight = np.log(right / (1 - right))
-    got = quality_rules.verdicts(d).collect()
+    judged = quality_rules.judge(d).select("row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "posterior", "votes")
+    got = judged.collect()
     assert len(got) == len(rows)
     for r in got:
         want = base_counts(rows[r["doc_id"]])
