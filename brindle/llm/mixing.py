@@ -294,7 +294,8 @@ def plan(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, max_re
     salted = salted.join(strata.select("src", "size", "stratum_at"), ["src", "size"]).join(blocks, ["src", "size"], "left")
     salted = common.materialize(salted, "mix-plan")
     ranked = dealt(sized).withColumn("nth", (F.row_number().over(Window.partitionBy("src", "size", "salt").orderBy("h", "tie")) - 1).cast("long"))
-    ranked = ranked.join(salted, ["src", "size", "salt"]).join(facts, "src")
+    # Rows are dealt by these keys for their ranks already, so the table need not go to every task.
+    ranked = ranked.join(salted.hint("merge"), ["src", "size", "salt"]).join(facts, "src")
     ranked = ranked.withColumn("rank", F.col("nth") + F.col("salt_at"))
     whole = F.transform(F.filter(F.sequence(_long(0), _long(max_repeats - 1)), lambda e: e < F.col("base")), lambda e: _place(e * F.col("docs") + F.col("stratum_at") + F.col("rank")))
     copies = F.transform(whole, lambda p: F.struct(_shard_of(p).cast("int").alias("shard"), F.xxhash64(p, "src", F.lit(seed)).alias("place")))
