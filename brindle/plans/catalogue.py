@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from brindle.functions import encodings, udfs
 from brindle.operators import relational as R
-from brindle.operators import vector
+from brindle.operators import graph, vector
 from brindle.plans.sql import run_group_query, run_sql
 from brindle.sources import shared, tables
 from brindle.sources.tables import partition_id, scan
@@ -691,6 +691,21 @@ def ann_recall(spark: SparkSession, d: str) -> DataFrame:
     return out
 
 
+@query()
+def graph_knn(spark: SparkSession, d: str) -> DataFrame:
+    """The ten nearest of every fiftieth vector by layered proximity graphs."""
+    base = scan(spark, d, "embeddings")
+    return graph.build_graph(base).search_many(base.filter("vec_id % 50 = 0"), 10, ef=300)
+
+
+@query("SELECT CAST(10 * count(*) AS BIGINT) AS rows, true AS enough FROM embeddings WHERE vec_id % 50 = 0")
+def graph_recall(spark: SparkSession, d: str) -> DataFrame:
+    """Rows that the graphs find, and whether 0.9 of the exact ones are among them."""
+    found, exact = (df.select("query_id", "vec_id", F.lit(1).alias(name)) for df, name in ((graph_knn(spark, d), "found"), (_knn_many(spark, d, "l2"), "exact")))
+    met = found.join(exact, ["query_id", "vec_id"], "full")
+    return met.agg(F.count("found").alias("rows"), (F.count(F.expr("found + exact")) >= 0.9 * F.count("exact")).alias("enough"))
+
+
 # Event windows, the batch side of the streaming plan.
 
 

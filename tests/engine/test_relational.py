@@ -9,12 +9,13 @@ from pyspark.sql import functions as F
 from brindle.functions import encodings
 from brindle.functions.distance import cosine, l2, negative_dot
 from brindle.operators import relational as R
-from brindle.operators import vector
+from brindle.operators import graph, vector
 from brindle.plans import catalogue
 from brindle.plans.sql import GroupQuery, run_group_query, run_sql
 from brindle.sources import tables
 from brindle.streaming import events
 
+# Small tables whose results are known.
 ORDERS = [(1, 50, 10), (2, 150, 20), (3, 200, 5), (4, 80, 15), (5, 300, 8)]
 
 
@@ -51,6 +52,7 @@ def test_sort_limit_and_nulls(spark, orders):
 
 
 def test_groups(spark):
+    # Fixed values.
     d = spark.createDataFrame([("USA", 100), ("UK", 200), ("USA", 150), ("UK", 50), ("USA", 50)], "nation string, price bigint")
     assert dict(rows(R.aggregate(d, {"s": ("sum", "price")}, ["nation"]))) == {"USA": 300, "UK": 250}
     n = spark.createDataFrame([("a", -5), ("a", -2), ("b", None), ("c", 3), ("c", None)], "k string, v int")
@@ -61,6 +63,7 @@ def test_groups(spark):
 
 
 def test_joins(spark):
+    # Fixed values.
     o = spark.createDataFrame([(101, 1, 500), (102, 2, 300), (103, 1, 200), (104, 3, 100), (105, None, 1)], "order_id int, cust_id int, price bigint")
     c = spark.createDataFrame([(1, "alice"), (2, "bob"), (None, "nobody")], "id bigint, name string")
     got = R.equi_join(o, c, "cust_id", "id")
@@ -317,6 +320,48 @@ def test_searches_look_at_few_cells(spark):
     assert len(found & exact) >= 0.95 * len(exact)
 
 
+def test_graph_of_a_few_vectors():
+    g = np.random.default_rng(6)
+    x = g.standard_normal((100, 8)).astype(np.float32)
+    built = graph.Graph(x, m=4, ef=50)
+    assert set(built.links[0]) == set(range(100))
+    for layer, links in enumerate(built.links):
+        assert all(len(n) <= (4 if layer else 8) and len(set(n.tolist())) == len(n) and i not in n for i, n in links.items())
+        assert set(links) <= set(built.links[max(0, layer - 1)])
+    same = graph.Graph.of(x, *built.tables())
+    for q in g.standard_normal((30, 8)):
+        exact = np.argsort(((x - q) ** 2).sum(1), kind="stable")[:5].tolist()
+        found = built.search(q, 5, 50)
+        assert len(set(found) & set(exact)) >= 4 and found == same.search(q, 5, 50)
+        assert found == sorted(found, key=lambda i: float(((x[i] - q) ** 2).sum()))
+    assert graph.Graph(x[:0]).search(x[0], 5) == [] and graph.Graph(x[:1]).search(x[0], 5) == [0] and built.search(x[0], 0) == []
+
+
+def test_neighbours_are_diverse():
+    """Of two that are close to each other only the closer is a neighbour, while others are left."""
+    x = np.array([[0, 0], [1, 0], [1.1, 0], [0, 2], [-3, 0]], np.float32)
+    built = graph.Graph(x, m=2, ef=10)
+    assert built._diverse(x[0], [1, 2, 3, 4], 3).tolist() == [1, 3, 4] and built._diverse(x[0], [1, 2, 3], 3).tolist() == [1, 3, 2]
+
+
+@pytest.mark.parametrize("metric", ["l2", "cosine", "dot"])
+def test_graphs_of_shards(spark, metric, monkeypatch):
+    monkeypatch.setattr(graph, "SHARD_ROWS", 400)
+    monkeypatch.setattr(vector, "QUERY_BLOCK", 8)
+    _, base = vectors(spark, 1000)
+    base = base.unionByName(spark.createDataFrame([(9000, None)], base.schema)).repartition(3)
+    queries = base.filter("vec_id % 50 = 0")
+    index = graph.build_graph(base, metric=metric)
+    stored = spark.read.parquet(index.path).collect()
+    assert len(stored) == 3 and sorted(i for r in stored for i in r["ids"]) == list(range(1000))
+    got = rows(index.search_many(queries, 10, ef=100))
+    exact = {(r[0], r[2]): r[3] for r in rows(vector.knn_join(base, queries, 10, metric))}
+    assert len(got) == len(exact) == 200
+    hits = [(r[3], exact[r[0], r[2]]) for r in got if (r[0], r[2]) in exact]
+    assert len(hits) >= 0.9 * len(exact) and all(a == pytest.approx(b) for a, b in hits)
+    assert graph.build_graph(base.limit(0), metric=metric).search_many(queries, 10).count() == 0
+
+
 def test_vectors_of_different_lengths_are_errors(spark):
     d = spark.createDataFrame([(1, [1.0, 2.0]), (2, [1.0])], "vec_id bigint, embedding array<float>")
     with pytest.raises(Exception, match="differ in length"):
