@@ -156,6 +156,12 @@ def judge(docs: DataFrame, threshold: float = THRESHOLD, rounds: int = ROUNDS) -
     return out.withColumn("kept", ~F.col("base_failed") & (F.col("posterior") >= threshold))
 
 
+def keep(docs: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
+    """Rows of ``docs`` that are kept, with all their columns."""
+    whole = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("whole"), docs["text"])
+    return judge(whole, threshold).filter("kept").select("row.whole.*")
+
+
 def verdicts(docs: DataFrame) -> DataFrame:
     """The contract's columns, and the posterior (to six places) behind the verdict."""
     return judge(docs.select("doc_id", "text")).select(

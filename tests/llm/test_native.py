@@ -228,6 +228,17 @@ def test_quality_counts_and_verdicts(spark):
     assert not got[11]["kept"] and not got[12]["kept"] and not got[13]["kept"]
 
 
+def test_kept_rows_have_all_their_columns(spark):
+    """Columns named like those of the operator pass through; nulls in any column are no trouble."""
+    names = ["row", "t", "w", "lines", "votes", "kept", "posterior", "n_words", "whole"]
+    prose = "The quiet river runs past the old mill, and a boat waits there every single morning of the year."
+    values = [prose, "short", None, prose.replace("mill", "barn"), "x " * 300]
+    d = spark.createDataFrame([(i, t, None, None, None, *names) for i, t in enumerate(values)] + [(None, prose, None, None, None, *[None] * 9)], DOCS + "".join(f", {n} string" for n in names))
+    kept = quality_rules.keep(d)
+    assert kept.columns == d.columns
+    assert Counter(map(tuple, kept.collect())) == Counter(tuple(r) for r in d.collect() if r["text"] in (prose, values[3]))
+
+
 def brute_votes(text):
     """The rules of a text, from counts made here."""
     t = text or ""
