@@ -271,20 +271,22 @@ def classify(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, similarity: tu
     texts = docs.select("doc_id", "text")
     signed = common.materialize(texts.mapInArrow(_signer(shingle_words, bands, rows), _SIGNED), "dup-signed")
     full = signed.filter("n_shingles > 0 and doc_id is not null")
-    classes = common.materialize(full.groupBy("d0", "d1").agg(F.min("doc_id").alias("rep")), "dup-classes")
-    reps = full.join(classes.select("d0", "d1", F.col("rep").alias("doc_id")), ["d0", "d1", "doc_id"])
-    banded = reps.select(F.col("doc_id").alias("node"), "n_shingles", F.explode("bands").alias("key"))
-    shared = banded.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("last")).filter("hub < last").select("key", "hub")
+    classes = common.materialize(full.groupBy("d0", "d1").agg(F.min("doc_id").alias("rep"), F.min("n_shingles").alias("n")), "dup-classes")
+    # The sizes of a representative's sets (several where rows repeat an id) go with it, so that no join by hub is needed.
+    ranges = classes.groupBy("rep").agg(F.min("n").alias("lo"), F.max("n").alias("hi"))
+    named = classes.join(ranges, "rep").select("d0", "d1", F.col("rep").alias("doc_id"), "lo", "hi")
+    reps = full.join(named, ["d0", "d1", "doc_id"])
+    banded = reps.select(F.col("doc_id").alias("node"), "n_shingles", "lo", "hi", F.explode("bands").alias("key"))
+    shared = banded.groupBy("key").agg(F.min("node").alias("hub"), F.max("node").alias("last"), F.min_by("lo", "node").alias("hub_lo"), F.min_by("hi", "node").alias("hub_hi"))
+    shared = shared.filter("hub < last").drop("last")
+    banded = banded.drop("lo", "hi")
     members = common.materialize(banded.join(shared, "key"), "dup-members")
     sizes = members.groupBy("node").agg(F.max("n_shingles").alias("n"))
     texts = texts.filter("doc_id is not null")
+    # Whether the sizes of a node's set and of its hub's allow a link.
+    possible = (F.col("hub_hi") * whole >= F.col("n_shingles") * part) & (F.col("n_shingles") * whole >= F.col("hub_lo") * part)
 
-    def possible(pairs: DataFrame) -> DataFrame:
-        """Pairs whose sizes allow a link."""
-        pairs = pairs.join(sizes.select(F.col("node").alias("a"), F.col("n").alias("na")), "a").join(sizes.select(F.col("node").alias("b"), F.col("n").alias("nb")), "b")
-        return pairs.filter(F.least("na", "nb") * whole >= F.greatest("na", "nb") * part).select("a", "b")
-
-    tested = possible(members.filter("node <> hub").groupBy(F.col("node").alias("a")).agg(F.min("hub").alias("b")))
+    tested = members.filter("node <> hub").filter(possible).groupBy(F.col("node").alias("a")).agg(F.min("hub").alias("b"))
     tested = common.materialize(tested, "dup-pairs")
     # Rows of a class that share a doc_id with another class are united as well.
     same = full.join(classes, ["d0", "d1"]).filter("doc_id <> rep").select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
@@ -295,12 +297,12 @@ def classify(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, similarity: tu
         """Members of band groups that hold more than one component."""
         placed = members.join(found, "node", "left").withColumn("component", F.coalesce("component", "node"))
         mixed = placed.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).filter("c0 < c1").select("key")
-        return common.materialize(placed.join(mixed, "key").select("key", "node", "hub", "component"), "dup-apart")
+        return common.materialize(placed.join(mixed, "key").select("key", "node", "n_shingles", "hub", "hub_lo", "hub_hi", "component"), "dup-apart")
 
     placed = apart()
     own = placed.filter("node = hub").select("key", F.col("component").alias("cb"))
-    pairs = placed.join(own, "key").filter("component <> cb").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
-    pairs = common.materialize(possible(pairs).join(tested, ["a", "b"], "left_anti"), "dup-pairs")
+    pairs = placed.join(own, "key").filter("component <> cb").filter(possible).select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
+    pairs = common.materialize(pairs.join(tested, ["a", "b"], "left_anti"), "dup-pairs")
     for more in (lambda: _confirmed(pairs, texts, shingle_words, similarity, "dup-links"), lambda: _linked_apart(apart(), sizes, texts, shingle_words, similarity)):
         new = more()
         if new is not None and not new.isEmpty():
