@@ -12,7 +12,7 @@ ends within its smallest document that was not picked, or none fits any more.
 
 A splitting tree parts every source's number of draws among the output
 shards: at each node the draws of each source that go left follow the
-multivariate hypergeometric law (one exact hypergeometric inversion after
+multivariate hypergeometric law (one exact hypergeometric draw after
 another, given what is left), until every leaf holds one shard's quota.  The
 draws of a source take permuted places (an affine bijection), of which each
 shard owns a disjoint run as long as its quota; that says how many documents
@@ -49,6 +49,8 @@ MAX_REPEATS = 2
 SHARDS = 16
 SEED = 20240607
 SALTS = 256
+#: Rows that hold the sources of a node of the tree, and points drawn at most for one number.
+GROUPS, TRIES = 32, 100
 #: Strata of more documents than this, and than this share of all, are hot.
 HOT, HOT_STRATA = 1000, 4096
 #: Places are counted in runs of so many.
@@ -76,46 +78,48 @@ def _unit(*parts: Column) -> Column:
     return (F.pmod(F.xxhash64(*parts), _long(1 << 52)).cast("double") + 0.5) / float(1 << 52)
 
 
-def hypergeometric(good: Column, total: Column, draws: Column, u: Column) -> Column:
-    """How many of ``draws`` out of ``total`` fall on ``good``: the inverse of the
-    distribution at ``u``, exact within ten standard deviations of the mean."""
-    given = F.struct(good.cast("double").alias("g"), total.cast("double").alias("n"), draws.cast("double").alias("k"), u.alias("u"))
-    return _let(given, _inverted)
-
-
 def _let(value: Column, body) -> Column:
     """``body`` of ``value``, which is worked out once."""
     return F.transform(F.array(value), body)[0]
 
 
-def _inverted(given: Column) -> Column:
+def hypergeometric(good: Column, total: Column, draws: Column, u: Column) -> Column:
+    """How many of ``draws`` out of ``total`` fall on ``good``, by chance that is
+    fixed by ``u``.
+
+    Ratio of uniforms: points are drawn from a hat around the law until one is
+    under it, so the law is exact and the work does not grow with the numbers.
+    More than half of the points are taken; after ``TRIES``, once in 1e20 or
+    less, the most likely number is."""
+    given = F.struct(good.cast("double").alias("g"), total.cast("double").alias("n"), draws.cast("double").alias("k"), u.alias("u"))
+    return _let(given, _drawn)
+
+
+def _drawn(given: Column) -> Column:
     g, n, k = given["g"], given["n"], given["k"]
-    mean = F.when(n > 0, k * g / n).otherwise(0.0)
-    sd = F.sqrt(F.when(n > 1, mean * (1 - g / n) * (n - k) / (n - 1)).otherwise(0.0))
-    low = F.greatest(F.lit(0.0), k - (n - g), F.floor(mean - 10 * sd - 10).cast("double")).cast("long")
-    high = F.least(g, k, F.ceil(mean + 10 * sd + 10).cast("double")).cast("long")
+    share = F.when(n > 0, g / n).otherwise(0.0)
+    spread = F.sqrt(F.when(n > 1, k * share * (1 - share) * (n - k) / (n - 1)).otherwise(0.0) + 0.5)
+    low, high = F.greatest(F.lit(0.0), k - (n - g)), F.least(g, k)
+    mode = F.least(high, F.greatest(low, F.floor((k + 1) * (g + 1) / (n + 2)).cast("double")))
 
     def log_mass(v: Column) -> Column:
         return -(_log_factorial(v) + _log_factorial(g - v) + _log_factorial(k - v) + _log_factorial(n - g - k + v))
 
-    def chosen(m: Column) -> Column:
-        start = F.struct(F.lit(0.0).alias("sum"), _long(0).alias("below"))
-        step = lambda s, v: F.struct((s["sum"] + v).alias("sum"), (s["below"] + F.when(s["sum"] + v < m["goal"], 1).otherwise(0)).cast("long").alias("below"))
-        return F.least(m["high"], m["low"] + F.aggregate(m["masses"], start, step, lambda s: s["below"]))
+    def search(m: Column) -> Column:
+        def step(s: Column, i: Column) -> Column:
+            a, b = _unit(given["u"], i), _unit(given["u"], i, F.lit(1))
+            return F.when(s.isNotNull(), s).otherwise(_let(F.struct(a.alias("a"), F.floor(m["middle"] + m["width"] * (b - 0.5) / a).cast("double").alias("v")), under))
 
-    def weighed(m: Column) -> Column:
-        masses = F.transform(F.sequence(m["low"], m["high"]), lambda x: F.exp(_let(x.cast("double"), log_mass) - m["peak"]))
-        return _let(F.struct(masses.alias("masses"), m["low"].alias("low"), m["high"].alias("high")), summed)
+        def under(p: Column) -> Column:
+            inside = (p["v"] >= m["low"]) & (p["v"] <= m["high"])
+            return F.when(inside & F.when(inside, 2 * F.log(p["a"]) <= log_mass(p["v"]) - m["peak"]).otherwise(False), p["v"].cast("long"))
 
-    def summed(m: Column) -> Column:
-        goal = given["u"] * F.aggregate(m["masses"], F.lit(0.0), lambda s, v: s + v)
-        return _let(F.struct(goal.alias("goal"), m["masses"].alias("masses"), m["low"].alias("low"), m["high"].alias("high")), chosen)
+        found = F.aggregate(F.sequence(F.lit(1), F.lit(TRIES)), F.lit(None).cast("long"), step)
+        return F.when(m["low"] >= m["high"], m["low"].cast("long")).otherwise(F.coalesce(found, m["mode"].cast("long")))
 
-    def bounded(m: Column) -> Column:
-        peak = _let(F.greatest(m["low"], F.least(m["high"], F.round(m["mean"]).cast("long"))).cast("double"), log_mass)
-        return _let(F.struct(peak.alias("peak"), m["low"].alias("low"), m["high"].alias("high")), weighed)
-
-    return _let(F.struct(low.alias("low"), high.alias("high"), mean.alias("mean")), bounded)
+    # The hat's width: 2 sqrt(2 / e) deviations and 3 - 2 sqrt(3 / e).
+    facts = F.struct(low.alias("low"), high.alias("high"), mode.alias("mode"), (k * share + 0.5).alias("middle"), (1.7155277699214135 * spread + 0.8989161620588988).alias("width"), _let(mode, log_mass).alias("peak"))
+    return _let(facts, search)
 
 
 def _sized(docs: DataFrame, seed: int, carry: list[str]) -> DataFrame:
@@ -194,35 +198,43 @@ def _quotas(hist: DataFrame, targets: DataFrame, max_repeats: int) -> DataFrame:
     return common.materialize(out, "mix-quotas")
 
 
+def _split(counts: str, room: Column, *names: Column) -> Column:
+    """What of each of ``counts`` goes left, if ``room`` draws do: one hypergeometric
+    draw after another, given what is left."""
+    first = F.struct(F.aggregate(counts, _long(0), lambda s, x: s + x).alias("total"), room.alias("room"), _long(0).alias("i"), F.array().cast("array<bigint>").alias("left"))
+
+    def step(s: Column, x: Column) -> Column:
+        got = hypergeometric(x, s["total"], s["room"], _unit(*names, s["i"]))
+        return F.struct((s["total"] - x).alias("total"), (s["room"] - got).alias("room"), (s["i"] + 1).alias("i"), F.concat(s["left"], F.array(got)).alias("left"))
+
+    return F.aggregate(counts, first, step, lambda s: s["left"])
+
+
 def splitting_tree(quotas: DataFrame, shards: int, seed: int) -> DataFrame:
     """(src, ends): the draws of each source parted among shards, as running ends.
 
-    ``quotas`` has (src, draws); ``shards`` is a power of two.  A node is one
-    row with an array over sources; its halves take draws as even as can be.
+    ``quotas`` has (src, draws); ``shards`` is a power of two.  The halves of a
+    node take draws as even as can be.  Sources are held in ``GROUPS`` rows a
+    node: what goes left is parted first among the groups and then inside each,
+    which is the same law, and no row holds all sources.
     """
     if shards < 1 or shards & (shards - 1):
         raise ValueError("shards must be a power of two")
-    node = quotas.agg(F.sort_array(F.collect_list(F.struct("src", "draws"))).alias("q"))
-    node = node.select(F.transform("q", lambda x: x["src"]).alias("srcs"), F.transform("q", lambda x: x["draws"]).alias("q"), _long(0).alias("node"))
+    node = quotas.groupBy(F.pmod(F.xxhash64("src"), _long(GROUPS)).alias("group")).agg(F.sort_array(F.collect_list(F.struct("src", "draws"))).alias("q"))
+    node = node.select(_long(0).alias("node"), "group", F.transform("q", lambda x: x["src"]).alias("srcs"), F.transform("q", lambda x: x["draws"]).alias("q"))
     level, width = 0, shards
     while width > 1:
-        first = F.struct(
-            F.aggregate("q", _long(0), lambda s, x: s + x).alias("total"),
-            F.expr("(aggregate(q, 0L, (s, x) -> s + x) + 1) div 2").alias("room"),
-            _long(0).alias("i"), F.array().cast("array<bigint>").alias("left"),
-        )
-
-        here = level
-
-        def step(s: Column, x: Column) -> Column:
-            got = hypergeometric(x, s["total"], s["room"], _unit(F.lit(seed), F.lit(here), F.col("node"), s["i"]))
-            return F.struct((s["total"] - x).alias("total"), (s["room"] - got).alias("room"), (s["i"] + 1).alias("i"), F.concat(s["left"], F.array(got)).alias("left"))
-
-        node = node.withColumn("left", F.aggregate("q", first, step, lambda s: s["left"]))
-        node = node.select("srcs", F.explode(F.array(
+        node = common.materialize(node, "mix-tree")
+        whole = node.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("group", F.aggregate("q", _long(0), lambda s, x: s + x).alias("n")))).alias("a"))
+        whole = whole.select("node", F.transform("a", lambda x: x["group"]).alias("groups"), F.transform("a", lambda x: x["n"]).alias("counts"))
+        room = F.expr("(aggregate(counts, 0L, (s, x) -> s + x) + 1) div 2")
+        whole = whole.withColumn("left", _split("counts", room, F.lit(seed), F.lit(level), F.col("node")))
+        rooms = whole.select("node", F.explode(F.arrays_zip("groups", "left")).alias("x")).select("node", F.col("x.groups").alias("group"), F.col("x.left").alias("room"))
+        node = node.join(rooms, ["node", "group"]).withColumn("left", _split("q", F.col("room"), F.lit(seed), F.lit(level), F.col("node"), F.col("group")))
+        node = node.select("group", "srcs", F.explode(F.array(
             F.struct((F.col("node") * 2).alias("node"), F.col("left").alias("q")),
             F.struct((F.col("node") * 2 + 1).alias("node"), F.zip_with("q", "left", lambda a, b: a - b).alias("q")),
-        )).alias("child")).select("srcs", "child.*")
+        )).alias("child")).select("child.node", "group", "srcs", "child.q")
         level, width = level + 1, width // 2
     leaves = node.select("node", F.explode(F.arrays_zip("srcs", "q")).alias("x")).select("node", F.col("x.srcs").alias("src"), F.col("x.q").alias("q"))
     running = leaves.groupBy("src").agg(F.sort_array(F.collect_list(F.struct("node", "q"))).alias("a"))

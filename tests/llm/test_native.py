@@ -185,15 +185,43 @@ def test_mix_of_nothing(spark):
 
 
 def test_hypergeometric_moments(spark):
-    u = spark.range(4000).select(((F.col("id") + 0.5) / 4000).alias("u"))
+    u = spark.range(400_000).select(((F.col("id") + 0.5) / 400_000).alias("u"))
     long = lambda x: F.lit(x).cast("long")
-    got = [r[0] for r in u.select(mixing.hypergeometric(long(30), long(100), long(20), F.col("u"))).collect()]
-    mean = sum(got) / len(got)
-    assert abs(mean - 6) < 0.01 and abs(sum((x - mean) ** 2 for x in got) / len(got) - 3.394) < 0.05
+    got = Counter(r[0] for r in u.select(mixing.hypergeometric(long(30), long(100), long(20), F.col("u"))).collect())
+    n = sum(got.values())
+    mean = sum(x * k for x, k in got.items()) / n
+    assert abs(mean - 6) < 0.01 and abs(sum((x - mean) ** 2 * k for x, k in got.items()) / n - 3.394) < 0.05
+    for x in range(14):  # the law itself, within five standard deviations
+        p = math.comb(30, x) * math.comb(70, 20 - x) / math.comb(100, 20)
+        assert abs(got[x] - n * p) <= 5 * math.sqrt(n * p) + 1, x
     edge = spark.range(1).select(mixing.hypergeometric(long(5), long(5), long(3), F.lit(0.3)), mixing.hypergeometric(long(0), long(5), long(3), F.lit(0.3)), mixing.hypergeometric(long(0), long(0), long(0), F.lit(0.9))).first()
     assert tuple(edge) == (3, 0, 0)
 
 
+def test_hypergeometric_of_large_numbers(spark):
+    """Billions cost what dozens do."""
+    long = lambda x: F.lit(x).cast("long")
+    g, n, k = 3 * 10**9, 10**10, 4 * 10**9
+    u = spark.range(4000).select(((F.col("id") + 0.5) / 4000).alias("u"))
+    got = [r[0] for r in u.select(mixing.hypergeometric(long(g), long(n), long(k), F.col("u"))).collect()]
+    sd = math.sqrt(k * (g / n) * (1 - g / n) * (n - k) / (n - 1))
+    z = np.array([(x - k * g / n) / sd for x in got])
+    assert abs(z.mean()) < 0.08 and abs(z.std() - 1) < 0.06 and np.abs(z).max() < 6
+
+
+def test_tree_parts_all_draws(spark):
+    """Shards are as even as can be, and every draw of many sources is in one of them."""
+    draws = {f"s{i}": i * 37 % 101 for i in range(300)} | {"n": 5000}
+    q = spark.createDataFrame(list(draws.items()), "src string, draws bigint")
+    got = {r["src"]: r["ends"] for r in mixing.splitting_tree(q, 8, 3).collect()}
+    assert {s: e[-1] for s, e in got.items()} == draws and all(len(e) == 8 and e == sorted(e) for e in got.values())
+    shards = [sum(e[j] - (e[j - 1] if j else 0) for e in got.values()) for j in range(8)]
+    assert max(shards) - min(shards) <= 1
+    # A source's share of a shard is about its share of all.
+    part = [got["n"][j] - (got["n"][j - 1] if j else 0) for j in range(8)]
+    assert all(abs(x - 625) < 100 for x in part) and len(set(part)) > 1
+
+
 # Quality rules.
 
 
