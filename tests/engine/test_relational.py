@@ -405,6 +405,17 @@ def test_stream_equals_batch(spark, tmp_path):
     assert sorted(map(key, spark.table("totals").collect())) == sorted(map(key, events.windowed_totals(source).collect()))
 
 
+def test_streams_of_sliding_windows_and_sessions(spark, tmp_path):
+    source = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    source.repartitionByRange(3, "ts").write.parquet(str(tmp_path / "in"))
+    for name, plan in (("sliding", lambda d: events.windowed_totals(d, late="400 days", slide="20 minutes")), ("gaps", lambda d: events.sessions(d, late="400 days"))):
+        stream = plan(events.read_events(spark, str(tmp_path / "in")))
+        q = stream.writeStream.format("memory").queryName(name).outputMode("complete").option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start()
+        q.awaitTermination(120)
+        key = lambda r: tuple(round(x, 4) if isinstance(x, float) else x for x in r)
+        assert sorted(map(key, spark.table(name).collect())) == sorted(map(key, plan(source).collect())), name
+
+
 def test_sessions(spark):
     d = spark.createDataFrame([(1, "2024-01-01 00:00:00"), (1, "2024-01-01 00:10:00"), (1, "2024-01-01 02:00:00"), (2, "2024-01-01 00:00:00")], "user_id bigint, ts string").withColumn("ts", F.col("ts").cast("timestamp_ntz"))
     assert sorted((r[0], r[3]) for r in rows(events.sessions(d))) == [(1, 1), (1, 2), (2, 1)]
