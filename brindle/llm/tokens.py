@@ -46,6 +46,8 @@ MAGIC = b"DACS"
 END_ID = 2
 #: A segment is closed once it has this many ids; a document never straddles two.
 SEGMENT_IDS = 1 << 20
+#: So many documents are read at a time.
+RUN = 64
 #: Text is encoded in runs of about so many bytes.
 SLICE_BYTES = 8 << 20
 
@@ -275,10 +277,14 @@ def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for docs, blob, at in zip(*batch.columns, strict=True):
             segment, rows, start = Segment(blob.as_buffer()), [], 0
-            for k, (doc, end) in enumerate(zip(docs.as_py(), segment.ends.tolist(), strict=True)):
-                rows.append({"doc_id": doc, "start": at.as_py() + start, "n_tokens": end - start, "ids_crc32": zlib.crc32(segment.document(k).astype("<u4", copy=False))})
-                start = end
-            yield pa.RecordBatch.from_pylist(rows, schema=_REPORT)
+            names, ends, before = docs.as_py(), segment.ends.tolist(), at.as_py()
+            for k in range(0, len(names), RUN):  # a run of documents takes two look-ups a level
+                first = start
+                raw = memoryview(segment.span(first, ends[min(k + RUN, len(ends)) - 1]).astype("<u4", copy=False)).cast("B")
+                for doc, end in zip(names[k : k + RUN], ends[k : k + RUN], strict=True):
+                    rows.append((doc, before + start, end - start, zlib.crc32(raw[4 * (start - first) : 4 * (end - first)])))
+                    start = end
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)] if rows else [pa.array([], pa.int64())] * 4, schema=_REPORT)
 
 
 _REPORT = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("n_tokens", pa.int64()), ("ids_crc32", pa.int64())])
@@ -302,7 +308,7 @@ def segment_starts(spark: SparkSession, path: str) -> DataFrame:
 def read_files(spark: SparkSession, path: str) -> DataFrame:
     """Per document: doc_id, start (ids of all before it), n_tokens, ids_crc32, all from the files.
 
-    Each document is read by itself, through the rank directories."""
+    Documents are read a few at a time, through the rank directories."""
     placed = spark.read.schema(_SEGMENT_DDL).parquet(path).join(segment_starts(spark, path).select("part", "seq", "at"), ["part", "seq"])
     return placed.select("docs", "segment", "at").mapInArrow(_reader, T.StructType.fromDDL("doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint"))
 
