@@ -49,8 +49,8 @@ MAX_REPEATS = 2
 SHARDS = 16
 SEED = 20240607
 SALTS = 256
-#: Rows that hold the sources of a node of the tree, and points drawn at most for one number.
-GROUPS, TRIES = 32, 100
+#: Sources that a row of the tree holds, about, and points drawn at most for one number.
+GROUP, TRIES = 4096, 100
 #: Strata of more documents than this, and than this share of all, are hot.
 HOT, HOT_STRATA = 1000, 4096
 #: Places are counted in runs of so many.
@@ -63,14 +63,18 @@ def _long(value) -> Column:
     return F.lit(value).cast("long")
 
 
-def _log_factorial(n: Column) -> Column:
-    """log n! by Stirling's series, shifted up by eight so that small n are exact to 1e-12."""
-    x = n + F.lit(9.0)
-    series = (x - 0.5) * F.log(x) - x + F.lit(0.9189385332046727) + 1 / (12 * x) - 1 / (360 * x * x * x) + 1 / (1260 * x * x * x * x * x)
-    product = F.lit(1.0)
-    for i in range(1, 9):
-        product = product * (n + F.lit(float(i)))
-    return series - F.log(product)
+def _log_factorials(*ns: Column) -> Column:
+    """log of the product of n!, each by Stirling's series, shifted up by eight so
+    that small n are exact to 1e-12."""
+
+    def one(x: Column) -> Column:
+        y = 1 / (x * x)
+        product = x - 8
+        for i in range(1, 8):
+            product = product * (x - i)
+        return (x - 0.5) * F.log(x) - x + 0.9189385332046727 + (1 / 12 - y * (1 / 360 - y / 1260)) / x - F.log(product)
+
+    return F.aggregate(F.array(*(n + 9.0 for n in ns)), F.lit(0.0), lambda s, x: s + one(x))
 
 
 def _unit(*parts: Column) -> Column:
@@ -103,7 +107,7 @@ def _drawn(given: Column) -> Column:
     mode = F.least(high, F.greatest(low, F.floor((k + 1) * (g + 1) / (n + 2)).cast("double")))
 
     def log_mass(v: Column) -> Column:
-        return -(_log_factorial(v) + _log_factorial(g - v) + _log_factorial(k - v) + _log_factorial(n - g - k + v))
+        return -_log_factorials(v, g - v, k - v, n - g - k + v)
 
     def search(m: Column) -> Column:
         def step(s: Column, i: Column) -> Column:
@@ -214,23 +218,27 @@ def splitting_tree(quotas: DataFrame, shards: int, seed: int) -> DataFrame:
     """(src, ends): the draws of each source parted among shards, as running ends.
 
     ``quotas`` has (src, draws); ``shards`` is a power of two.  The halves of a
-    node take draws as even as can be.  Sources are held in ``GROUPS`` rows a
-    node: what goes left is parted first among the groups and then inside each,
-    which is the same law, and no row holds all sources.
+    node take draws as even as can be.  A row of a node holds about ``GROUP``
+    sources; where there are more, what goes left is parted first among the rows
+    and then inside each, which is the same law.
     """
     if shards < 1 or shards & (shards - 1):
         raise ValueError("shards must be a power of two")
-    node = quotas.groupBy(F.pmod(F.xxhash64("src"), _long(GROUPS)).alias("group")).agg(F.sort_array(F.collect_list(F.struct("src", "draws"))).alias("q"))
+    groups = max(1, -(-quotas.count() // GROUP))
+    node = quotas.groupBy(F.pmod(F.xxhash64("src"), _long(groups)).alias("group")).agg(F.sort_array(F.collect_list(F.struct("src", "draws"))).alias("q"))
     node = node.select(_long(0).alias("node"), "group", F.transform("q", lambda x: x["src"]).alias("srcs"), F.transform("q", lambda x: x["draws"]).alias("q"))
+    half = lambda counts: F.expr(f"(aggregate({counts}, 0L, (s, x) -> s + x) + 1) div 2")
     level, width = 0, shards
     while width > 1:
-        node = common.materialize(node, "mix-tree")
-        whole = node.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("group", F.aggregate("q", _long(0), lambda s, x: s + x).alias("n")))).alias("a"))
-        whole = whole.select("node", F.transform("a", lambda x: x["group"]).alias("groups"), F.transform("a", lambda x: x["n"]).alias("counts"))
-        room = F.expr("(aggregate(counts, 0L, (s, x) -> s + x) + 1) div 2")
-        whole = whole.withColumn("left", _split("counts", room, F.lit(seed), F.lit(level), F.col("node")))
-        rooms = whole.select("node", F.explode(F.arrays_zip("groups", "left")).alias("x")).select("node", F.col("x.groups").alias("group"), F.col("x.left").alias("room"))
-        node = node.join(rooms, ["node", "group"]).withColumn("left", _split("q", F.col("room"), F.lit(seed), F.lit(level), F.col("node"), F.col("group")))
+        room = half("q")
+        if groups > 1:
+            node = common.materialize(node, "mix-tree")
+            whole = node.groupBy("node").agg(F.sort_array(F.collect_list(F.struct("group", F.aggregate("q", _long(0), lambda s, x: s + x).alias("n")))).alias("a"))
+            whole = whole.select("node", F.transform("a", lambda x: x["group"]).alias("groups"), F.transform("a", lambda x: x["n"]).alias("counts"))
+            whole = whole.withColumn("left", _split("counts", half("counts"), F.lit(seed), F.lit(level), F.col("node")))
+            rooms = whole.select("node", F.explode(F.arrays_zip("groups", "left")).alias("x")).select("node", F.col("x.groups").alias("group"), F.col("x.left").alias("room"))
+            node, room = node.join(rooms, ["node", "group"]), F.col("room")
+        node = node.withColumn("left", _split("q", room, F.lit(seed), F.lit(level), F.col("node"), F.col("group")))
         node = node.select("group", "srcs", F.explode(F.array(
             F.struct((F.col("node") * 2).alias("node"), F.col("left").alias("q")),
             F.struct((F.col("node") * 2 + 1).alias("node"), F.zip_with("q", "left", lambda a, b: a - b).alias("q")),
@@ -275,6 +283,7 @@ def _blocks(strata: DataFrame, facts: DataFrame, shards: int) -> DataFrame:
 def plan(docs: DataFrame, weights: tuple = WEIGHTS, share: float = SHARE, max_repeats: int = MAX_REPEATS, shards: int = SHARDS, seed: int = SEED, carry: list[str] | None = None) -> DataFrame:
     """Per row of ``docs``: row (its columns, or those of ``carry``), size, source_size,
     target, and ``draws``: an array of (shard, place) with one entry per copy taken."""
+    common.give_back(docs.sparkSession)
     sized = _sized(docs, seed, docs.columns if carry is None else carry)
     counts = common.materialize(sized.groupBy("src", "size", "salt").agg(F.count("*").alias("n")), "mix-counts")
     hist = common.materialize(counts.groupBy("src", "size").agg(F.sum("n").alias("n")), "mix-sizes")

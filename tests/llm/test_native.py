@@ -209,8 +209,10 @@ def test_hypergeometric_of_large_numbers(spark):
     assert abs(z.mean()) < 0.08 and abs(z.std() - 1) < 0.06 and np.abs(z).max() < 6
 
 
-def test_tree_parts_all_draws(spark):
+@pytest.mark.parametrize("group", [4096, 20])
+def test_tree_parts_all_draws(spark, monkeypatch, group):
     """Shards are as even as can be, and every draw of many sources is in one of them."""
+    monkeypatch.setattr(mixing, "GROUP", group)
     draws = {f"s{i}": i * 37 % 101 for i in range(300)} | {"n": 5000}
     q = spark.createDataFrame(list(draws.items()), "src string, draws bigint")
     got = {r["src"]: r["ends"] for r in mixing.splitting_tree(q, 8, 3).collect()}
