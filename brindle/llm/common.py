@@ -2,6 +2,14 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,6 +26,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def slices(batch: pa.RecordBatch, columns: tuple[int, ...], most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """Runs of a batch's rows with about ``most`` bytes in its text columns, so that
+    only a run at a time is made Python objects."""
+    size = sum(pc.fill_null(pc.binary_length(batch.column(c)), 0).to_numpy(zero_copy_only=False).astype(np.int64) for c in columns)
+    ends, at = np.cumsum(size), 0
+    while at < len(batch):
+        done = ends[at - 1] if at else 0
+        end = max(at + 1, int(np.searchsorted(ends, done + most)))
+        yield batch.slice(at, end - at)
+        at = end
+
+
+def give_back(spark: SparkSession) -> None:
+    """Let go of what ran before: plans that Python still names in the driver's JVM,
+    what they held there, and freed memory that the C library keeps."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+    with contextlib.suppress(AttributeError, OSError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def unused(df: DataFrame, name: str, n: int = 1) -> list[str]:
     """``n`` column names that ``df`` does not have, in any case."""
     taken, out, k = {c.lower() for c in df.columns}, [], 0

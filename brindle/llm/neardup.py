@@ -39,7 +39,7 @@ from .components import connected_components
 BANDS, ROWS = 32, 5
 SIMILARITY = (80, 100)
 SHINGLE_WORDS = 5
-KNOWN_WORDS = 500_000
+KNOWN_WORDS = 200_000
 _SEED = 0x9E3779B97F4A7C15
 
 
@@ -117,20 +117,6 @@ def band_keys(signature: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return key.view(np.int64)
 
 
-def _batches(batch: pa.RecordBatch, most: int = 1 << 20) -> Iterator[tuple[list, ...]]:
-    """Rows of an Arrow batch in runs of about ``most`` characters."""
-    columns = [c.to_pylist() for c in batch.columns]
-    rows, size = [], 0
-    for row in zip(*columns, strict=True):
-        rows.append(row)
-        size += sum(len(x) for x in row if isinstance(x, str))
-        if size >= most:
-            yield rows
-            rows, size = [], 0
-    if rows:
-        yield rows
-
-
 _SIGNED = "doc_id bigint, n_shingles bigint, d0 bigint, d1 bigint, bands array<bigint>"
 _SIGNED_ARROW = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("d0", pa.int64()), ("d1", pa.int64()), ("bands", pa.list_(pa.int64()))])
 
@@ -141,9 +127,8 @@ def _signer(width: int, bands: int, rows: int):
 
         words, multipliers = _Words(), permutations(bands * rows // 2)
         for batch in batches:
-            for run in _batches(batch):
-                ids = [r[0] for r in run]
-                sets = shingle_sets([r[1] for r in run], width, words)
+            for run in common.slices(batch, (1,)):
+                sets = shingle_sets(run.column(1).to_pylist(), width, words)
                 full = [i for i, s in enumerate(sets) if len(s)]
                 keys: list = [None] * len(run)
                 digests = np.zeros((len(run), 2), np.int64)
@@ -152,7 +137,7 @@ def _signer(width: int, bands: int, rows: int):
                     for i, k in zip(full, found, strict=True):
                         keys[i] = k
                         digests[i] = np.frombuffer(xxhash.xxh3_128_digest(sets[i].tobytes()), np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests[:, 0]), pa.array(digests[:, 1]), pa.array(keys, pa.list_(pa.int64()))], schema=_SIGNED_ARROW)
+                yield pa.RecordBatch.from_arrays([run.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests[:, 0]), pa.array(digests[:, 1]), pa.array(keys, pa.list_(pa.int64()))], schema=_SIGNED_ARROW)
 
     return sign
 
@@ -163,9 +148,9 @@ def _confirmer(width: int, similarity: tuple[int, int]):
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, hub, hub_set = _Words(), None, None
         for batch in batches:
-            for run in _batches(batch):
-                sets, out = shingle_sets([r[2] for r in run], width, words), []
-                for (a, b, _, text_b), s in zip(run, sets, strict=True):
+            for run in common.slices(batch, (2, 3)):
+                sets, out = shingle_sets(run.column(2).to_pylist(), width, words), []
+                for a, b, text_b, s in zip(*(run.column(c).to_pylist() for c in (0, 1, 3)), sets, strict=True):
                     if hub != (b, text_b):
                         hub, hub_set = (b, text_b), shingle_sets([text_b], width, words)[0]
                     common_n = len(np.intersect1d(s, hub_set, assume_unique=True))
@@ -198,8 +183,8 @@ def _block_linker(width: int, similarity: tuple[int, int]):
         inverted index; one link per left document and component is enough."""
         words, sets = _Words(), []
         for batch in table.select(["text"]).to_batches():
-            for run in _batches(batch):
-                sets += shingle_sets([r[0] for r in run], width, words)
+            for run in common.slices(batch, (0,)):
+                sets += shingle_sets(run.column(0).to_pylist(), width, words)
         rows = table.drop_columns(["text"]).to_pylist()
         right = [i for i, r in enumerate(rows) if not r["is_left"]]
         out = []
@@ -268,6 +253,7 @@ def _linked_apart(apart: DataFrame, sizes: DataFrame, texts: DataFrame, width: i
 def classify(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, similarity: tuple[int, int] = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """(doc_id, n_shingles, component_id) per row of ``docs`` (doc_id, text)."""
     part, whole = similarity
+    common.give_back(docs.sparkSession)
     texts = docs.select("doc_id", "text")
     signed = common.materialize(texts.mapInArrow(_signer(shingle_words, bands, rows), _SIGNED), "dup-signed")
     full = signed.filter("n_shingles > 0 and doc_id is not null")
@@ -299,6 +285,7 @@ def classify(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, similarity: tu
         mixed = placed.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).filter("c0 < c1").select("key")
         return common.materialize(placed.join(mixed, "key").select("key", "node", "n_shingles", "hub", "hub_lo", "hub_hi", "component"), "dup-apart")
 
+    common.give_back(docs.sparkSession)
     placed = apart()
     own = placed.filter("node = hub").select("key", F.col("component").alias("cb"))
     pairs = placed.join(own, "key").filter("component <> cb").filter(possible).select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()

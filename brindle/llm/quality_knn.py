@@ -142,14 +142,10 @@ class Model:
 
 
 def _runs(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[tuple[pa.RecordBatch, list[bytes]]]:
-    """Slices of batches of about a megabyte of text."""
+    """Slices of batches, and their texts in UTF-8."""
     for batch in batches:
-        texts, at, size = batch.column(column).to_pylist(), 0, 0
-        for i, t in enumerate(texts):
-            size += len(t or "")
-            if size >= 1 << 20 or i == len(texts) - 1:
-                yield batch.slice(at, i + 1 - at), [(x or "").encode() for x in texts[at : i + 1]]
-                at, size = i + 1, 0
+        for rows in common.slices(batch, (column,)):
+            yield rows, [(x or "").encode() for x in rows.column(column).to_pylist()]
 
 
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

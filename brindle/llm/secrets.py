@@ -267,7 +267,7 @@ _SCANNED = "doc_id bigint, spans array<struct<kind:string,start:bigint,end:bigin
 
 
 def _scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in (run for whole in batches for run in common.slices(whole, (1,))):
         found, counts = [], []
         for t in batch.column(1).to_pylist():
             out, maybe, tested = _looked_at(t or "")

@@ -57,7 +57,7 @@ MARKS = ".,;:!?\"'()"
 JOINS = re.compile(r"([!-/:-@\[-`{-~]+)")
 BATCH, STEPS, ENOUGH = 48, 450, 0.003
 SEED = 11
-KNOWN_WORDS = 300_000
+KNOWN_WORDS = 100_000
 
 
 def pieces(word: str) -> list[str]:
@@ -273,7 +273,11 @@ def train(texts: list[str], labels: list[int], seed: int = SEED, steps: int = ST
     net = Network(vocabulary, seed)
     g = np.random.default_rng(seed)
     word_ids = np.array([net.vocabulary.get(w, 0) for w in index], np.int64)
-    codes = char_codes(list(index)).astype(np.int32)
+    every = list(index)
+    codes = np.empty((len(every), LONG + 1), np.int32)
+    for at in range(0, len(every), 8192):  # what it is worked out from takes far more room
+        codes[at : at + 8192] = char_codes(every[at : at + 8192])
+    del every
     y = np.array(labels, np.float32)
     share = y.mean()
     weight = np.where(y > 0, 0.5 / share, 0.5 / (1 - share)) ** 0.5
@@ -304,12 +308,14 @@ def train(texts: list[str], labels: list[int], seed: int = SEED, steps: int = ST
             batch_loss, grad = gradients(net, wi, co, local, starts, y[pick], weight[pick] / len(pick))
             loss += batch_loss
             step += 1
-            rate = 0.02 if step < 0.7 * steps else 0.01
+            rate = 0.02 if step < 0.6 * steps else 0.01 if step < 0.8 * steps else 0.004
             for k, w in net.p.items():
-                d = np.clip(grad[k], -1, 1)
-                m[k] = 0.9 * m[k] + 0.1 * d
-                v[k] = 0.99 * v[k] + 0.01 * d * d
-                w -= (rate * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-7)).astype(np.float32)
+                d = np.clip(grad[k], -1, 1, out=grad[k])
+                m[k] *= np.float32(0.9)
+                m[k] += np.float32(0.1) * d
+                v[k] *= np.float32(0.99)
+                v[k] += np.float32(0.01) * d * d
+                w -= np.float32(rate / (1 - 0.9**step)) * m[k] / (np.sqrt(v[k] / np.float32(1 - 0.99**step)) + np.float32(1e-7))
         if epoch >= 4 and loss < ENOUGH * len(docs):
             break
     return net
@@ -347,27 +353,25 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, max_train: int = MAX
     """A network from labelled rows outside fold 0, or a constant score: at most
     ``max_train`` toxic and twice as many clean ones, of texts of up to
     ``max_chars`` characters."""
+    common.give_back(docs.sparkSession)
     sample = common.labelled_sample(docs.filter(F.length("text") <= max_chars), labels, "toxic", folds, 0, {1: max_train, 0: 2 * max_train}, SEED)
     sample = sorted(sample.collect(), key=lambda r: r["doc_id"])
     y = [r["y"] for r in sample]
     if len(set(y)) < 2:
         return float(y[0]) if y else 0.0
-    return train([r["text"] for r in sample], y, steps=steps)
+    net = train([r["text"] for r in sample], y, steps=steps)
+    del sample
+    common.give_back(docs.sparkSession)  # training takes far more room than the network
+    return net
 
 
 def _scoring(model: Network | float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(model) if isinstance(model, Network) else None
         for batch in batches:
-            texts, out, at, size = batch.column(1).to_pylist(), [], 0, 0
-            for i, t in enumerate(texts):
-                size += len(t or "")
-                if size >= 1 << 20 or i == len(texts) - 1:
-                    part = texts[at : i + 1]
-                    out.append(scorer(part) if scorer else np.full(len(part), model))
-                    at, size = i + 1, 0
-            scores = np.concatenate(out) if out else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(scores, pa.float64())], names=["doc_id", "score"])
+            for rows in common.slices(batch, (1,)):
+                scores = scorer(rows.column(1).to_pylist()) if scorer else np.full(len(rows), model)
+                yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(scores, pa.float64())], names=["doc_id", "score"])
 
     return run
 
@@ -388,10 +392,10 @@ def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> Da
     at = docs.columns.index("text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scorer = Scorer(model) if isinstance(model, Network) else None
         for batch in batches:
-            rows = pa.RecordBatch.from_arrays([pa.nulls(len(batch), pa.int64()), batch.column(at)], names=["doc_id", "text"])
-            for scored in _scoring(model)([rows]):
-                keep = np.asarray(scored.column(1)) < threshold
-                yield batch.filter(pa.array(keep))
+            for rows in common.slices(batch, (at,)):
+                scores = scorer(rows.column(at).to_pylist()) if scorer else np.full(len(rows), model)
+                yield rows.filter(pa.array(scores < threshold))
 
     return docs.mapInArrow(run, schema)
