@@ -5,7 +5,7 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -20,6 +20,9 @@ __all__ = ["materialize", "new_path", "release", "shared_dir"]
 # The white space that separates words: space and code points 9 to 13.
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
+#: Bytes of a batch of rows that goes to a Python worker where an operator asks for small ones.
+BATCH_BYTES = 4 << 20
+_BATCH_KEY = "spark.sql.execution.arrow.maxBytesPerBatch"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,13 +41,46 @@ def slices(batch: pa.RecordBatch, columns: tuple[int, ...], most: int = 1 << 20)
         at = end
 
 
+def trim() -> None:
+    """Give freed memory that Arrow's pool and the C library keep back to the system."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(AttributeError, OSError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def give_back(spark: SparkSession) -> None:
     """Let go of what ran before: plans that Python still names in the driver's JVM,
-    what they held there, and freed memory that the C library keeps."""
+    what they held there, and freed memory."""
     gc.collect()
     spark.sparkContext._jvm.System.gc()
-    with contextlib.suppress(AttributeError, OSError):
-        ctypes.CDLL(None).malloc_trim(0)
+    trim()
+
+
+def trimmed(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run`` of a ``mapInArrow``; at a task's end its worker, which stays for later
+    tasks and idles beside plans without Python, gives freed memory back."""
+
+    def to_the_end(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        try:
+            yield from run(batches)
+        finally:
+            trim()
+
+    return to_the_end
+
+
+def materialize_mapped(df: DataFrame, tag: str) -> DataFrame:
+    """:func:`materialize` for a plan that hands texts to Python workers: in batches of
+    about ``BATCH_BYTES``, as both sides hold a batch whole, outside the heap.  A size
+    that the session was given stays."""
+    conf = df.sparkSession.conf
+    if conf.get(_BATCH_KEY, None):
+        return materialize(df, tag)
+    conf.set(_BATCH_KEY, str(BATCH_BYTES))
+    try:
+        return materialize(df, tag)
+    finally:
+        conf.unset(_BATCH_KEY)
 
 
 def unused(df: DataFrame, name: str, n: int = 1) -> list[str]:

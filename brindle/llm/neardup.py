@@ -139,7 +139,7 @@ def _signer(width: int, bands: int, rows: int):
                         digests[i] = np.frombuffer(xxhash.xxh3_128_digest(sets[i].tobytes()), np.int64)
                 yield pa.RecordBatch.from_arrays([run.column(0), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests[:, 0]), pa.array(digests[:, 1]), pa.array(keys, pa.list_(pa.int64()))], schema=_SIGNED_ARROW)
 
-    return sign
+    return common.trimmed(sign)
 
 
 def _confirmer(width: int, similarity: tuple[int, int]):
@@ -158,14 +158,14 @@ def _confirmer(width: int, similarity: tuple[int, int]):
                         out.append((a, b))
                 yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.int64())], names=["a", "b"])
 
-    return confirm
+    return common.trimmed(confirm)
 
 
 def _confirmed(pairs: DataFrame, texts: DataFrame, width: int, similarity: tuple[int, int], tag: str) -> DataFrame:
     """Those of ``pairs`` (a, b) whose full sets are similar enough."""
     with_a = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
     both = with_a.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
-    return common.materialize(both.select("a", "b", "text_a", "text_b").mapInArrow(_confirmer(width, similarity), "a bigint, b bigint"), tag)
+    return common.materialize_mapped(both.select("a", "b", "text_a", "text_b").mapInArrow(_confirmer(width, similarity), "a bigint, b bigint"), tag)
 
 
 #: At most so many documents, and about so many shingles, on either side of a block.
@@ -206,7 +206,12 @@ def _block_linker(width: int, similarity: tuple[int, int]):
                     out.append((r["node"], rows[right[j]]["node"]))
         return pa.table({"a": pa.array([x[0] for x in out], pa.int64()), "b": pa.array([x[1] for x in out], pa.int64())})
 
-    return link
+    def trimmed(table: pa.Table) -> pa.Table:
+        links = link(table)
+        common.trim()
+        return links
+
+    return trimmed
 
 
 def _by_hub(units: DataFrame, *totals) -> DataFrame:
@@ -247,7 +252,7 @@ def _linked_apart(apart: DataFrame, sizes: DataFrame, texts: DataFrame, width: i
     if blocks.isEmpty():
         return None
     filled = blocks.join(texts.select(F.col("doc_id").alias("node"), "text"), "node")
-    return common.materialize(filled.groupBy("hub", "i", "j").applyInArrow(_block_linker(width, similarity), "a bigint, b bigint"), "dup-links")
+    return common.materialize_mapped(filled.groupBy("hub", "i", "j").applyInArrow(_block_linker(width, similarity), "a bigint, b bigint"), "dup-links")
 
 
 def classify(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, similarity: tuple[int, int] = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -255,7 +260,7 @@ def classify(docs: DataFrame, shingle_words: int = SHINGLE_WORDS, similarity: tu
     part, whole = similarity
     common.give_back(docs.sparkSession)
     texts = docs.select("doc_id", "text")
-    signed = common.materialize(texts.mapInArrow(_signer(shingle_words, bands, rows), _SIGNED), "dup-signed")
+    signed = common.materialize_mapped(texts.mapInArrow(_signer(shingle_words, bands, rows), _SIGNED), "dup-signed")
     full = signed.filter("n_shingles > 0 and doc_id is not null")
     classes = common.materialize(full.groupBy("d0", "d1").agg(F.min("doc_id").alias("rep"), F.min("n_shingles").alias("n")), "dup-classes")
     # The sizes of a representative's sets (several where rows repeat an id) go with it, so that no join by hub is needed.

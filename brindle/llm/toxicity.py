@@ -398,4 +398,4 @@ def keep_clean(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> Da
                 scores = scorer(rows.column(at).to_pylist()) if scorer else np.full(len(rows), model)
                 yield rows.filter(pa.array(scores < threshold))
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(common.trimmed(run), schema)

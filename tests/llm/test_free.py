@@ -4,8 +4,11 @@ import hashlib
 import math
 import random
 import re
+import subprocess
+import sys
 import zlib
 from collections import Counter
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -99,6 +102,62 @@ def test_neardup_of_nothing(spark):
     assert {(r["doc_id"], r["n_shingles"], r["component_id"], r["kept"]) for r in one} == {(1, 0, 1, True), (2, 0, 2, True)}
 
 
+KEPT_BY_A_WORKER = """
+import re
+import pyarrow as pa
+from brindle.llm import neardup
+
+def private():
+    return int(re.search("Anonymous: +([0-9]+)", open("/proc/self/smaps_rollup").read())[1]) / 1024
+
+def batches():
+    texts = [" ".join(f"word{(i * j) % 5000}" for j in range(400)) for i in range(12000)]
+    whole = pa.RecordBatch.from_arrays([pa.array(range(12000)), pa.array(texts)], names=["doc_id", "text"])
+    out = pa.BufferOutputStream()
+    with pa.ipc.new_stream(out, whole.schema) as w:
+        w.write_batch(whole)
+    yield from pa.ipc.open_stream(out.getvalue())
+
+sign = neardup._signer(5, 32, 5)
+for _ in sign(iter([])):
+    pass
+before, n = private(), 0
+for run in sign(batches()):
+    n += len(run)
+del run
+print(n, private() - before)
+"""
+
+
+def test_a_worker_gives_memory_back_at_the_end_of_its_task():
+    """Workers stay between tasks: of a batch of 40 MB they must not keep most."""
+    ran = subprocess.run([sys.executable, "-c", KEPT_BY_A_WORKER], cwd=Path(__file__).parents[2], capture_output=True, text=True, check=True, timeout=120)
+    n, kept = ran.stdout.split()
+    assert int(n) == 12000 and float(kept) < 40
+
+
+def test_texts_reach_workers_in_small_batches(spark, monkeypatch):
+    """Texts of 24 MB in one partition are not one batch; the session's setting stays as it was."""
+    sign = neardup._signer
+
+    def watched(*a):
+        run = sign(*a)
+
+        def checked(batches):
+            for b in batches:
+                assert b.nbytes < 6 << 20, f"a batch of {b.nbytes} bytes"
+                yield from run(iter([b]))
+
+        return checked
+
+    monkeypatch.setattr(neardup, "_signer", watched)
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    d = spark.range(400).select(F.col("id").alias("doc_id"), F.concat(F.lit("n"), "id", F.repeat(F.concat(F.lit(" w"), "id"), 15000)).alias("text")).coalesce(1)
+    got = neardup.classify(d).collect()
+    assert len(got) == 400 and all(g["component_id"] == g["doc_id"] for g in got)
+    assert spark.conf.get(key, None) is None
+
+
 def test_components_of_a_long_chain(spark):
     n = 200
     order = random.Random(1).sample(range(n), n)
