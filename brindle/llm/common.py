@@ -56,6 +56,14 @@ def give_back(spark: SparkSession) -> None:
     trim()
 
 
+def give_back_everywhere(spark: SparkSession) -> None:
+    """:func:`give_back`, and a collection in the executors, whose heaps else stay as
+    large as the largest plan before made them: a task for each core, of no rows' work."""
+    give_back(spark)
+    n = spark.sparkContext.defaultParallelism
+    spark.range(0, n, 1, n).selectExpr("reflect('java.lang.System', 'gc')").collect()
+
+
 def trimmed(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """``run`` of a ``mapInArrow``; at a task's end its worker, which stays for later
     tasks and idles beside plans without Python, gives freed memory back."""
@@ -69,18 +77,25 @@ def trimmed(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]])
     return to_the_end
 
 
-def materialize_mapped(df: DataFrame, tag: str) -> DataFrame:
-    """:func:`materialize` for a plan that hands texts to Python workers: in batches of
-    about ``BATCH_BYTES``, as both sides hold a batch whole, outside the heap.  A size
-    that the session was given stays."""
-    conf = df.sparkSession.conf
-    if conf.get(_BATCH_KEY, None):
-        return materialize(df, tag)
-    conf.set(_BATCH_KEY, str(BATCH_BYTES))
+@contextlib.contextmanager
+def small_batches(spark: SparkSession) -> Iterator[None]:
+    """What is written inside goes to Python workers in batches of about ``BATCH_BYTES``,
+    as both sides hold a batch whole, outside the heap.  A size that the session was
+    given stays."""
+    if spark.conf.get(_BATCH_KEY, None):
+        yield
+        return
+    spark.conf.set(_BATCH_KEY, str(BATCH_BYTES))
     try:
-        return materialize(df, tag)
+        yield
     finally:
-        conf.unset(_BATCH_KEY)
+        spark.conf.unset(_BATCH_KEY)
+
+
+def materialize_mapped(df: DataFrame, tag: str) -> DataFrame:
+    """:func:`materialize` for a plan that hands texts to Python workers, in small batches."""
+    with small_batches(df.sparkSession):
+        return materialize(df, tag)
 
 
 def unused(df: DataFrame, name: str, n: int = 1) -> list[str]:

@@ -270,7 +270,9 @@ def write_files(docs: DataFrame, path: str, tokenizer_path: str, end_id: int = E
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), F.xxhash64("text").alias("h"))
     n = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
     dealt = rows.repartitionByRange(n, "doc_id", "h").sortWithinPartitions("doc_id", "h", "text")
-    dealt.select("doc_id", "text").mapInArrow(_writer(tokenizer_path, end_id), _SEGMENT_DDL).write.option("compression", "none").parquet(path)
+    written = dealt.select("doc_id", "text").mapInArrow(common.trimmed(_writer(tokenizer_path, end_id)), _SEGMENT_DDL)
+    with common.small_batches(spark):
+        written.write.option("compression", "none").parquet(path)
 
 
 def _reader(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -310,7 +312,7 @@ def read_files(spark: SparkSession, path: str) -> DataFrame:
 
     Documents are read a few at a time, through the rank directories."""
     placed = spark.read.schema(_SEGMENT_DDL).parquet(path).join(segment_starts(spark, path).select("part", "seq", "at"), ["part", "seq"])
-    return placed.select("docs", "segment", "at").mapInArrow(_reader, T.StructType.fromDDL("doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint"))
+    return placed.select("docs", "segment", "at").mapInArrow(common.trimmed(_reader), T.StructType.fromDDL("doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint"))
 
 
 def _finder(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -70,3 +70,19 @@ def test_stages_take_empty_tables_and_nulls(spark):
         for _, stage in corpus_pipeline.STAGES:
             d = common.materialize(stage(spark, d, SF), "odd")
             assert n is None or d.count() == n
+
+
+def test_stages_begin_with_a_collection_in_the_executors(spark):
+    """Full collections of the JVM, which is driver and executor here."""
+    def full():
+        beans = spark._jvm.java.lang.management.ManagementFactory.getGarbageCollectorMXBeans()
+        return sum(b.getCollectionCount() for b in beans if "Old" in b.getName() or "MarkSweep" in b.getName())
+
+    docs = common.table(spark, SF, "documents").limit(0)
+    for name, stage in corpus_pipeline.STAGES:
+        before = full()
+        common.give_back(spark)
+        alone = full() - before
+        stage(spark, docs, SF)
+        # Toxicity and near-dedup collect in the driver within as well, twice at most.
+        assert full() - before > alone + 3, name
