@@ -161,10 +161,29 @@ def _confirmer(width: int, similarity: tuple[int, int]):
     return common.trimmed(confirm)
 
 
+#: A bitmap of ids has at most so many bits (8 MB).
+MOST_BITS = 1 << 26
+
+
+def _texts_of(texts: DataFrame, rows: DataFrame, column: str, n: int) -> DataFrame:
+    """(``column``, text) of every document that ``column`` of the ``n`` rows names,
+    and of a few others: a bitmap of hashed ids goes to the texts where they are
+    read, so that the join which follows moves little more than it needs.  Of ids
+    beyond a sixteenth of ``MOST_BITS`` more others pass; none that is named is lost."""
+    bits = min(MOST_BITS, 1 << max(15, (16 * n).bit_length()))
+    at = lambda c: F.pmod(F.xxhash64(F.col(c).cast("bigint")), F.lit(bits)) + 1
+    bitmap = rows.select(at(column).alias("at")).groupBy(F.bitmap_bucket_number("at").alias("part"))
+    bitmap = bitmap.agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bitmap"))
+    placed = texts.select(F.col("doc_id").alias(column), "text", F.bitmap_bucket_number(at("doc_id")).alias("part"), F.bitmap_bit_position(at("doc_id")).cast("int").alias("bit"))
+    is_set = F.expr("shiftright(cast(conv(hex(substring(bitmap, bit div 8 + 1, 1)), 16, 10) AS int), bit % 8) % 2 = 1")
+    return placed.join(F.broadcast(bitmap), "part").filter(is_set).select(column, "text")
+
+
 def _confirmed(pairs: DataFrame, texts: DataFrame, width: int, similarity: tuple[int, int], tag: str) -> DataFrame:
-    """Those of ``pairs`` (a, b) whose full sets are similar enough."""
-    with_a = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a")), "a")
-    both = with_a.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b")), "b")
+    """Those of ``pairs`` (a, b), a written table, whose full sets are similar enough."""
+    n = pairs.count()
+    with_a = pairs.join(_texts_of(texts, pairs, "a", n).withColumnRenamed("text", "text_a"), "a")
+    both = with_a.join(_texts_of(texts, pairs, "b", n).withColumnRenamed("text", "text_b"), "b")
     return common.materialize_mapped(both.select("a", "b", "text_a", "text_b").mapInArrow(_confirmer(width, similarity), "a bigint, b bigint"), tag)
 
 
@@ -249,9 +268,9 @@ def _linked_apart(apart: DataFrame, sizes: DataFrame, texts: DataFrame, width: i
     left = units.filter("is_left").select("hub", F.pmod(F.xxhash64("node"), F.col("lefts")).alias("i"), every("rights").alias("j"), "node", "component", "is_left")
     right = units.select("hub", every("lefts").alias("i"), F.pmod(F.xxhash64("node"), F.col("rights")).alias("j"), "node", "component", F.lit(False).alias("is_left"))
     blocks = common.materialize(left.unionByName(right), "dup-blocks")
-    if blocks.isEmpty():
+    if not (n := blocks.count()):
         return None
-    filled = blocks.join(texts.select(F.col("doc_id").alias("node"), "text"), "node")
+    filled = blocks.join(_texts_of(texts, blocks, "node", n), "node")
     return common.materialize_mapped(filled.groupBy("hub", "i", "j").applyInArrow(_block_linker(width, similarity), "a bigint, b bigint"), "dup-links")
 
 

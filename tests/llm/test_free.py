@@ -96,6 +96,45 @@ def test_rows_of_one_id_link_by_each_of_their_texts(spark):
     assert got == want and got[7] == got[8] == got[5] == 3
 
 
+def test_texts_that_no_pair_names_are_not_moved(spark):
+    """Without joins by broadcast, only the texts of candidates may be shuffled, not all in each round."""
+    r = random.Random(12)
+    text = lambda: " ".join(f"{r.getrandbits(64):x}" for _ in range(2000))
+    rows = [(i, text()) for i in range(400)]
+    rows += [(1000 + i, rows[i][1] + " x") for i in range(8)] + [(-1, rows[30][1] + " y"), (-2, rows[30][1])]
+    d = docs(spark, rows).localCheckpoint()
+    jvm, context = spark.sparkContext._jvm, spark.sparkContext._jsc.sc()
+
+    def stages() -> dict:
+        none = jvm.java.util.ArrayList()
+        found = context.statusStore().stageList(none, False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), none)
+        return {s.stageId(): s.shuffleWriteBytes() for s in map(found.apply, range(found.size()))}
+
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    threshold, before = spark.conf.get(key), set(stages())
+    spark.conf.set(key, "-1")
+    try:
+        got = {g["doc_id"]: g["component_id"] for g in neardup.classify(d, 2).collect()}
+    finally:
+        spark.conf.set(key, threshold)
+    context.listenerBus().waitUntilEmpty()
+    assert all(got[1000 + i] == i for i in range(8)) and got[30] == got[-1] == got[-2] == -2 and len(set(got.values())) == 400
+    moved = sum(n for i, n in stages().items() if i not in before)
+    assert moved < sum(len(t) for _, t in rows) / 4, moved
+
+
+@pytest.mark.parametrize("most", [1 << 15, 1 << 26])
+def test_bitmaps_of_ids_lose_none(spark, monkeypatch, most):
+    """Every row of a named id passes, however full the bitmap; of the others few where it has room."""
+    monkeypatch.setattr(neardup, "MOST_BITS", most)
+    ids = [*range(-3000, 3000, 3), -(1 << 63), (1 << 63) - 1]
+    named = spark.createDataFrame([(i,) for i in ids] * 2 + [(None,)], "b bigint")
+    texts = spark.createDataFrame([(i, f"{i} {k}") for i in {*ids, *range(-3000, 9000)} for k in range(2)], "doc_id bigint, text string")
+    got = Counter((g["b"], g["text"]) for g in neardup._texts_of(texts, named, "b", 2 * len(ids) + 1).collect())
+    assert set(got.values()) == {1} and {(i, f"{i} {k}") for i in ids for k in range(2)} <= set(got)
+    assert len(got) - 2 * len(ids) < 20000 / (5 if most > 1 << 15 else 8)
+
+
 def test_neardup_of_nothing(spark):
     assert neardup.contract(docs(spark, [])).count() == 0
     one = neardup.contract(docs(spark, [(1, None), (2, None)])).collect()
