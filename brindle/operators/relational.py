@@ -14,6 +14,8 @@ COMPARISONS = {
     ">": lambda a, b: a > b, "<": lambda a, b: a < b, ">=": lambda a, b: a >= b, "<=": lambda a, b: a <= b,
     "=": lambda a, b: a == b, "!=": lambda a, b: a != b, "<>": lambda a, b: a != b,
 }
+#: Left rows from which a key is dealt over salts, and how many keys are at most.
+HOT_ROWS, HOT_KEYS = 10_000, 1024
 
 
 def compare(column: str, op: str, value) -> Column:
@@ -48,11 +50,19 @@ def equi_join(left: DataFrame, right: DataFrame, left_key: str, right_key: str,
 
 def salted_join(left: DataFrame, right: DataFrame, left_key: str, right_key: str, salts: int = 32, how: str = "inner") -> DataFrame:
     """For keys that AQE cannot split, such as joins that feed a grouped operator:
-    left rows are dealt over salts by a hash of the row, right rows copied to each."""
-    dealt = left.withColumn("__salt", F.pmod(F.xxhash64(*left.columns), F.lit(salts)))
-    copied = right.withColumn("__copy", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    left rows of hot keys are dealt over salts by a hash of the row, right rows of
+    these keys copied to each.
+
+    A key is hot from ``HOT_ROWS`` left rows on; the ``HOT_KEYS`` with most rows are
+    taken.  The planner takes a table with its copies for as small as without, so
+    the right side is never broadcast."""
+    counts = left.groupBy(F.col(left_key).alias("k")).count().filter((F.col("count") >= HOT_ROWS) & F.col("k").isNotNull())
+    hot = [r["k"] for r in counts.orderBy(F.desc("count"), "k").limit(HOT_KEYS).collect()]
+    dealt = left.withColumn("__salt", F.when(F.col(left_key).isNull() | F.col(left_key).isin(hot), F.pmod(F.xxhash64(*left.columns), F.lit(salts))).otherwise(F.lit(0)))
+    copies = F.when(F.col(right_key).isin(hot), F.sequence(F.lit(0), F.lit(salts - 1))).otherwise(F.array(F.lit(0)))
+    copied = right.withColumn("__copy", F.explode(copies))
     on = (F.col(left_key) == F.col(right_key)) & (F.col("__salt") == F.col("__copy"))
-    return dealt.join(copied, on, how).drop("__salt", "__copy")
+    return dealt.join(copied.hint("merge"), on, how).drop("__salt", "__copy")
 
 
 def theta_join(left: DataFrame, right: DataFrame, condition: Column, how: str = "inner") -> DataFrame:

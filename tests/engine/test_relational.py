@@ -73,6 +73,18 @@ def test_joins(spark):
     assert R.equi_join(o, c, "cust_id", "id", "left").count() == 5 and R.equi_join(o, c, "cust_id", "id", "full").count() == 6
 
 
+def test_salted_joins_copy_hot_keys_alone(spark, monkeypatch):
+    """Copies of all right rows were 32 times the table, and broadcast as if there were none."""
+    monkeypatch.setattr(R, "HOT_ROWS", 50)
+    left = spark.createDataFrame([(i, 1 if i < 100 else i % 40 if i < 190 else None) for i in range(200)], "id int, k int")
+    right = spark.createDataFrame([(k, f"n{k}") for k in range(30)] + [(1, "again"), (None, "none")], "key bigint, name string")
+    for how in ("inner", "left"):
+        assert sorted(rows(R.salted_join(left, right, "k", "key", how=how)), key=str) == sorted(rows(R.equi_join(left, right, "k", "key", how)), key=str)
+    joined = R.salted_join(left, right, "k", "key")
+    copies = [n for n in str(joined._jdf.queryExecution().executedPlan()).splitlines() if "Join" in n]
+    assert copies and all("SortMergeJoin" in n for n in copies)
+
+
 def test_range_and_overlap_joins(spark):
     r = np.random.default_rng(4)
     points = [(i, float(v)) for i, v in enumerate(r.uniform(-50, 50, 120))] + [(900, None), (901, 10.0)]
