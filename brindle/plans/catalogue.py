@@ -547,9 +547,9 @@ def partitioned_write(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _grouped(spark: SparkSession, d: str) -> str:
-    """Line items in small row groups, sorted inside files."""
+    """Line items in small row groups, in files by range and sorted inside them."""
     path = shared.new_path(spark, "groups")
-    tables.write(scan(spark, d, "lineitem").coalesce(1), path, "SNAPPY", row_group_bytes=1 << 18, sort_by=["l_orderkey"])
+    tables.write_ranges(scan(spark, d, "lineitem"), path, "l_orderkey", "SNAPPY", row_group_bytes=1 << 18)
     return path
 
 

@@ -13,6 +13,8 @@ TABLES = (
     "region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events",
     "documents", "embeddings", "pages", "benchmark", "labels", "conversations",
 )
+#: Rows of a file, and of the task that writes it, where a table is dealt anew.
+FILE_ROWS = 1 << 20
 #: Formats besides Parquet, and what makes each keep nulls, empty strings and line ends apart.
 FORMATS = {
     "csv": {"header": "true", "nullValue": "\\N", "emptyValue": "", "quoteAll": "true", "escape": '"', "multiLine": "true", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss[.SSSSSS]"},
@@ -55,6 +57,13 @@ def partition_id(key: Column, n: int) -> Column:
     return F.pmod(checked, F.lit(n)).cast("int")
 
 
+def write_ranges(df: DataFrame, path: str, key: str, codec: str = "ZSTD", row_group_bytes: int = 128 << 20) -> None:
+    """Write Parquet in files of about ``FILE_ROWS`` rows, each a range of ``key`` and
+    sorted by it, so that the bounds of row groups do not overlap however the rows came."""
+    files = max(1, -(-df.count() // FILE_ROWS))
+    write(df.repartitionByRange(files, key) if files > 1 else df.coalesce(1), path, codec, row_group_bytes, [key])
+
+
 def write_partitioned(df: DataFrame, path: str, key: str, n: int, mode: str = "errorifexists") -> None:
     """Split a table by ``key`` into ``partition_id=i`` folders, one file set each."""
     df.withColumn("partition_id", partition_id(F.col(key), n)).repartition(n, "partition_id").write.mode(mode).partitionBy("partition_id").parquet(path)

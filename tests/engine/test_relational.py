@@ -184,6 +184,30 @@ def test_footers_are_read_without_the_files(spark, tmp_path):
     assert pruned["total"] == pruned["skipped"] == 3
 
 
+def test_tables_by_range_have_many_files(spark, tmp_path, monkeypatch):
+    """One task wrote the whole table."""
+    monkeypatch.setattr(tables, "FILE_ROWS", 300)
+    d = spark.range(1000).withColumn("v", F.xxhash64("id")).orderBy("v")
+    tables.write_ranges(d, str(tmp_path / "t"), "id")
+    groups = [(int(r["low"]), int(r["high"]), r["n_rows"]) for r in tables.row_groups(spark, str(tmp_path / "t")).filter("column = 'id'").collect()]
+    assert len(groups) == 4 and sum(n for *_, n in groups) == 1000 and max(n for *_, n in groups) < 500
+    groups.sort()
+    assert all(a[1] < b[0] for a, b in zip(groups, groups[1:]))
+    assert sorted(rows(spark.read.parquet(str(tmp_path / "t")))) == sorted(rows(d))
+    tables.write_ranges(d.limit(0), str(tmp_path / "none"), "id")
+    assert spark.read.parquet(str(tmp_path / "none")).count() == 0
+
+
+def test_registered_row_groups_are_in_several_files(spark, monkeypatch):
+    monkeypatch.setattr(tables, "FILE_ROWS", 1000)
+    d = "/root/testdata/sf0.001"
+    lines = spark.read.parquet(f"{d}/lineitem.parquet")
+    n, top = lines.count(), lines.agg(F.max("l_orderkey")).first()[0]
+    assert tables.row_groups(spark, catalogue._grouped(spark, d)).select("file").distinct().count() == -(-n // 1000) > 1
+    assert [tuple(r)[3:] for r in catalogue.QUERIES["row_group_footers"](spark, d).collect()] == [(n, 0, "SNAPPY")]
+    assert rows(catalogue.QUERIES["zone_map_pruning"](spark, d)) == [(True, lines.filter(F.col("l_orderkey") < top // 10).count())]
+
+
 def test_might_match(spark):
     one = spark.range(1)
     for op, v, want in ((">", 10, False), (">", 9, True), (">=", 10, True), ("<", 1, False), ("<=", 1, True), ("=", 11, False), ("=", 5, True), ("!=", 5, True), ("like", 5, True)):
