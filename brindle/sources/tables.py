@@ -65,8 +65,16 @@ def write_ranges(df: DataFrame, path: str, key: str, codec: str = "ZSTD", row_gr
 
 
 def write_partitioned(df: DataFrame, path: str, key: str, n: int, mode: str = "errorifexists") -> None:
-    """Split a table by ``key`` into ``partition_id=i`` folders, one file set each."""
-    df.withColumn("partition_id", partition_id(F.col(key), n)).repartition(n, "partition_id").write.mode(mode).partitionBy("partition_id").parquet(path)
+    """Split a table by ``key`` into ``partition_id=i`` folders.
+
+    A folder has a file for about ``FILE_ROWS`` rows, each written by a task of its
+    own: rows of a partition are dealt by a hash of the row."""
+    dealt = df.withColumn("partition_id", partition_id(F.col(key), n))
+    files = max(1, -(-dealt.select("partition_id").count() // (n * FILE_ROWS)))
+    # A task for each partition and slot; a hash of both would put some together.
+    slot = F.pmod(F.xxhash64(*df.columns), F.lit(files)).cast("int")
+    dealt = dealt.repartitionById(n * files, F.col("partition_id") * files + slot)
+    dealt.write.mode(mode).partitionBy("partition_id").parquet(path)
 
 
 def write_bucketed(df: DataFrame, name: str, key: str, n: int, mode: str = "errorifexists") -> None:

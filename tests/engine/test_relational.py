@@ -227,6 +227,18 @@ def test_hash_partitions(spark, tmp_path):
         spark.createDataFrame([(None,)], "id int").select(tables.partition_id(F.col("id"), 4)).collect()
 
 
+def test_large_hash_partitions_have_many_files(spark, tmp_path, monkeypatch):
+    """A partition was one task's, however large."""
+    monkeypatch.setattr(tables, "FILE_ROWS", 100)
+    d = spark.range(1000).select("id", (F.col("id") * 100).alias("price"))
+    tables.write_partitioned(d, str(tmp_path / "p"), "id", 4)
+    back = spark.read.parquet(str(tmp_path / "p"))
+    assert sorted(rows(back.select("id", "price"))) == sorted(rows(d)) and back.filter("partition_id <> pmod(id, 4)").count() == 0
+    for i in range(4):
+        assert len(list((tmp_path / "p" / f"partition_id={i}").glob("*.parquet"))) == 3
+    assert back.groupBy(F.input_file_name()).count().agg(F.max("count")).first()[0] < 150
+
+
 def test_bucketed_tables_join_without_a_shuffle(spark):
     for name in ("bucketed_a", "bucketed_b"):
         tables.write_bucketed(spark.range(1000).withColumn("v", F.col("id")), name, "id", 4, "overwrite")
