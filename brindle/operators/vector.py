@@ -21,6 +21,8 @@ from brindle.sources import shared
 
 #: Vectors and queries that meet in one matrix product.
 BASE_BLOCK, QUERY_BLOCK = 16_384, 1024
+#: Entries of the matrix that is worked out at once.
+MATRIX = 1 << 21
 #: How many more than k are worked out pair by pair.
 MARGIN = 16
 _PAIRS = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("distance", pa.float64())])
@@ -63,6 +65,10 @@ def _rough(x: np.ndarray, q: np.ndarray, metric: str) -> np.ndarray:
 
 def nearest(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.ndarray, k: int, metric: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query_id, vec_id, distance) of the k closest of a block for each query of a block."""
+    step = max(1, MATRIX // max(1, len(ids)))
+    if len(q) > step:
+        parts = [nearest(ids, x, query_ids[a : a + step], q[a : a + step], k, metric) for a in range(0, len(q), step)]
+        return tuple(np.concatenate(c) for c in zip(*parts, strict=True))
     rough = _rough(x, q, metric)
     some = min(len(ids), k + MARGIN)
     near = np.argpartition(rough, some - 1, axis=1)[:, :some] if some < len(ids) else np.broadcast_to(np.arange(len(ids)), rough.shape)
@@ -91,6 +97,7 @@ def _matcher(k: int, metric: str):
                 if x.shape[1] != q.shape[1]:
                     raise ValueError("vectors differ in length")
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in nearest(ids, x, query_ids, q, k, metric)], schema=_PAIRS)
+        pa.default_memory_pool().release_unused()
 
     return match
 
@@ -117,13 +124,15 @@ def _ranked(pairs: DataFrame, k: int, vec_id: str) -> DataFrame:
 def knn_join(base: DataFrame, queries: DataFrame, k: int, metric: str = "l2", vec_id: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, distance) for a stated set of queries against all rows.
 
-    Blocks of queries, which are small, are copied to each block of vectors.
+    Blocks of queries, which are small, are copied to each block of vectors.  The
+    planner does not count the copies, so they are never broadcast; a partition for
+    each block of vectors keeps AQE from joining them into few tasks.
     """
     blocks = shared.materialize(_packed(base, vec_id, vector, BASE_BLOCK).withColumnsRenamed({"block": "i", "list": "base"}), "knn-base")
     asked = _packed(queries, vec_id, vector, QUERY_BLOCK).select(F.col("list").alias("asked"))
     n = blocks.agg(F.coalesce(F.max("i"), F.lit(-1))).first()[0]
     spread = asked.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(n)).cast("array<bigint>")) if n >= 0 else F.lit(None).cast("bigint"))
-    met = spread.join(blocks, "i").select("base", "asked")
+    met = spread.repartition(n + 1, "i").hint("merge").join(blocks.repartition(n + 1, "i"), "i").select("base", "asked") if n >= 0 else spread.join(blocks, "i").select("base", "asked")
     return _ranked(met.mapInArrow(_matcher(k, metric), "query_id bigint, vec_id bigint, distance double"), k, vec_id)
 
 

@@ -410,6 +410,25 @@ def test_graphs_of_shards(spark, metric, monkeypatch):
     assert graph.build_graph(base.limit(0), metric=metric).search_many(queries, 10).count() == 0
 
 
+def test_blocks_are_compared_in_small_matrices(monkeypatch):
+    """A block of queries by a block of vectors was one matrix, and several copies of it."""
+    g, shapes, rough = np.random.default_rng(3), [], vector._rough
+    x, q = g.standard_normal((300, 8)), g.standard_normal((70, 8))
+    args = (np.arange(300), x, np.arange(70) * 2, q, 5)
+    whole = {m: vector.nearest(*args, m) for m in ("l2", "cosine", "dot")}
+    monkeypatch.setattr(vector, "MATRIX", 3000)
+    monkeypatch.setattr(vector, "_rough", lambda x, q, m: shapes.append((len(q), len(x))) or rough(x, q, m))
+    for m, want in whole.items():
+        assert all(np.array_equal(a, b) for a, b in zip(vector.nearest(*args, m), want, strict=True))
+    assert shapes and max(a * b for a, b in shapes) <= 3000 and sum(a for a, _ in shapes) == 210
+
+
+def test_copies_of_queries_are_not_broadcast(spark):
+    _, base = vectors(spark, 200)
+    plan = vector.knn_join(base, base.filter("vec_id % 50 = 0"), 5)._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
 def test_vectors_of_different_lengths_are_errors(spark):
     d = spark.createDataFrame([(1, [1.0, 2.0]), (2, [1.0])], "vec_id bigint, embedding array<float>")
     with pytest.raises(Exception, match="differ in length"):
