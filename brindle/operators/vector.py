@@ -21,8 +21,8 @@ from brindle.sources import shared
 
 #: Vectors and queries that meet in one matrix product.
 BASE_BLOCK, QUERY_BLOCK = 16_384, 1024
-#: Entries of the matrix that is worked out at once.
-MATRIX = 1 << 21
+#: Entries of the matrix that is worked out at once, and rows that a query's cells are given out in.
+MATRIX, PLACED = 1 << 21, 1 << 16
 #: How many more than k are worked out pair by pair.
 MARGIN = 16
 _PAIRS = pa.schema([("query_id", pa.int64()), ("vec_id", pa.int64()), ("distance", pa.float64())])
@@ -162,10 +162,13 @@ def _placer(centres: np.ndarray, n: int, metric: str, top: float, query: bool):
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if len(batch):
-                ids, x = batch.column(0), np.array(batch.column(1).to_pylist(), np.float64)
-                cells = _cell_order(as_l2(x, metric, top, query), centres, n)
-                at = np.repeat(np.arange(len(ids)), cells.shape[1])
-                yield pa.RecordBatch.from_arrays([ids.take(pa.array(at)), batch.column(1).take(pa.array(at)), pa.array(cells.ravel().astype(np.int32))], names=["id", "v", "cell"])
+                # A row is given out n times, and compared with all cells.
+                step = max(1, min(PLACED // n, MATRIX // len(centres)))
+                for some in (batch.slice(a, step) for a in range(0, len(batch), step)):
+                    ids, x = some.column(0), np.array(some.column(1).to_pylist(), np.float64)
+                    cells = _cell_order(as_l2(x, metric, top, query), centres, n)
+                    at = np.repeat(np.arange(len(ids)), cells.shape[1])
+                    yield pa.RecordBatch.from_arrays([ids.take(pa.array(at)), some.column(1).take(pa.array(at)), pa.array(cells.ravel().astype(np.int32))], names=["id", "v", "cell"])
 
     return place
 
@@ -195,14 +198,16 @@ class IvfIndex:
         each query, ``probes`` of them (as fitted, if None); all cells make it exact.
 
         Only folders of cells that are asked for are read; blocks of queries
-        meet blocks of vectors by cell."""
+        meet blocks of vectors by cell.  A query is in as many blocks as it asks
+        cells, whose files compress to little, so the planner must not broadcast them."""
         if not len(self.centres) or k <= 0:
             none = queries.select(F.col(self.vec_id).cast("bigint").alias("query_id"), F.lit(0).alias("rank"), F.col(self.vec_id), F.lit(0.0).alias("distance"))
             return none.filter("false")
         spark = queries.sparkSession
         placed = shared.materialize(self._placed(queries, min(probes or self.probes, len(self.centres))), "ivf-asked")
         asked = _packed(placed, "id", "v", QUERY_BLOCK, "cell").select("cell", F.col("list").alias("asked"))
-        met = self.rows(spark).join(asked, "cell").select(F.col("list").alias("base"), "asked")
+        wanted = [r[0] for r in placed.select("cell").distinct().collect()]  # of a stated number of cells
+        met = self.rows(spark).filter(F.col("cell").isin(wanted)).join(asked.hint("merge"), "cell").select(F.col("list").alias("base"), "asked")
         return _ranked(met.mapInArrow(_matcher(k, self.metric), "query_id bigint, vec_id bigint, distance double"), k, self.vec_id)
 
     def search(self, spark, query: list[float], k: int, probes: int | None = None) -> DataFrame:
@@ -233,6 +238,17 @@ def _fit_probes(x: np.ndarray, queries: np.ndarray, centres: np.ndarray, k: int,
     return int(found[min(len(found) - 1, int(np.ceil(recall * len(found))) - 1)]) + 1
 
 
+def _least_hashes(rows: DataFrame, n: int, most: int, seed: int) -> list:
+    """The vectors of the ``most`` rows (of ``n``) whose ids have the least hashes.
+
+    Every task sends the driver as many as are asked for, so those that are likely
+    among the least of all, by their hash, are picked before."""
+    h, share = F.xxhash64("id", F.lit(seed)), (1.1 * most + 1000) / n
+    least = lambda some: some.orderBy(h, "id").limit(most).select("v").collect()
+    found = least(rows.filter(h < F.lit(int(share * 2**64) - 2**63))) if share < 1 else least(rows)
+    return found if len(found) >= min(most, n) else least(rows)
+
+
 def build_ivf(base: DataFrame, cells: int | None = None, rounds: int = 8, sample_rows: int = 20_000, recall: float = 0.96, k: int = 10, seed: int = 5, metric: str = "l2", vec_id: str = "vec_id", vector: str = "embedding", path: str | None = None) -> IvfIndex:
     """Fit cells on a bounded sample, then store every row under its cell.
 
@@ -244,10 +260,10 @@ def build_ivf(base: DataFrame, cells: int | None = None, rounds: int = 8, sample
     a cell of any size is many blocks."""
     spark = base.sparkSession
     rows = base.filter(F.col(vector).isNotNull()).select(F.col(vec_id).cast("bigint").alias("id"), F.col(vector).cast("array<float>").alias("v"))
-    sample = rows.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(sample_rows).select("v").collect()
-    if not sample:
-        return IvfIndex(np.zeros((0, 0)), None, metric, 0.0, 0, vec_id, vector)
     facts = rows.agg(F.count("*").alias("n"), F.max(F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double") * x))).alias("top")).first()
+    if not facts["n"]:
+        return IvfIndex(np.zeros((0, 0)), None, metric, 0.0, 0, vec_id, vector)
+    sample = _least_hashes(rows, facts["n"], sample_rows, seed)
     raw = np.array([r[0] for r in sample], np.float64)
     x = as_l2(raw, metric, facts["top"], False)
     g = np.random.default_rng(seed)

@@ -3,6 +3,7 @@
 import math
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -429,6 +430,34 @@ def test_copies_of_queries_are_not_broadcast(spark):
     assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
 
 
+def test_queries_of_cells_are_not_broadcast(spark):
+    """A query is in a block of each cell that it asks; the planner saw the size of their compressed files."""
+    _, base = vectors(spark, 400)
+    index = vector.build_ivf(base)
+    found = index.search_many(base.filter("vec_id % 50 = 0"), 5)
+    assert "SortMergeJoin" in found._jdf.queryExecution().executedPlan().toString()
+
+
+def test_queries_are_given_out_in_small_batches(monkeypatch):
+    monkeypatch.setattr(vector, "PLACED", 40)
+    x = np.random.default_rng(3).standard_normal((100, 4)).astype(np.float32)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(100)), pa.array(x.tolist(), pa.list_(pa.float32()))], names=["id", "v"])
+    out = list(vector._placer(x[:20].astype(float), 7, "l2", 0.0, True)(iter([batch])))
+    assert max(map(len, out)) <= 40 and sum(map(len, out)) == 700
+    got = pa.Table.from_batches(out)
+    assert got["id"].to_pylist() == np.repeat(np.arange(100), 7).tolist()
+    assert got["cell"].to_numpy().reshape(100, 7).tolist() == vector._cell_order(x.astype(float), x[:20].astype(float), 7).tolist()
+
+
+def test_samples_are_the_least_hashes(spark):
+    """The driver was sent a whole sample by each task."""
+    d = spark.range(5000).select("id", F.array(F.col("id").cast("float")).alias("v")).repartition(8)
+    want = [r["v"] for r in d.orderBy(F.xxhash64("id", F.lit(5)), "id").limit(1000).collect()]
+    assert [r["v"] for r in vector._least_hashes(d, 5000, 1000, 5)] == want
+    assert [r["v"] for r in vector._least_hashes(d, 10**9, 1000, 5)] == want  # too few by a wrong count: all are sorted
+    assert len(vector._least_hashes(d, 5000, 9000, 5)) == 5000
+
+
 def test_vectors_of_different_lengths_are_errors(spark):
     d = spark.createDataFrame([(1, [1.0, 2.0]), (2, [1.0])], "vec_id bigint, embedding array<float>")
     with pytest.raises(Exception, match="differ in length"):
