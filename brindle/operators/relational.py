@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from brindle.sources import shared
+
 AGGREGATES = {"sum": F.sum, "count": F.count, "min": F.min, "max": F.max, "avg": F.avg, "count_distinct": F.count_distinct, "approx_distinct": F.approx_count_distinct}
 COMPARISONS = {
     ">": lambda a, b: a > b, "<": lambda a, b: a < b, ">=": lambda a, b: a >= b, "<=": lambda a, b: a <= b,
@@ -16,6 +18,8 @@ COMPARISONS = {
 }
 #: Left rows from which a key is dealt over salts, and how many keys are at most.
 HOT_ROWS, HOT_KEYS = 10_000, 1024
+#: Rows of each side of a range join that meet in a square, and pairs and rows of a task.
+CELL_ROWS, TASK_PAIRS, TASK_ROWS = 4096, 1 << 25, 1 << 20
 
 
 def compare(column: str, op: str, value) -> Column:
@@ -83,11 +87,29 @@ def range_join(left: DataFrame, right: DataFrame, point: str, low: str, high: st
 
     Both sides meet by equality of a cell of ``width``: a point has one, an
     interval one row for each that it touches, so neither side is compared with
-    all of the other.  A good width is about that of an interval."""
+    all of the other.  A good width is about that of an interval.
+
+    The rows of a full cell are dealt over a grid: ``CELL_ROWS`` of each side meet
+    in a square, and tasks are as many as the pairs to be compared call for.  So a
+    task's work is bounded, while the pairs are as many as the result makes them."""
     cell = lambda c: F.floor(c.cast("double") / width)
     at = left.withColumn("__cell", cell(left[point]))
     touched = right.filter(right[low] <= right[high]).withColumn("__touched", F.explode(F.sequence(cell(right[low]), cell(right[high]))))
-    return at.join(touched, (F.col("__cell") == F.col("__touched")) & F.col(point).between(F.col(low), F.col(high))).drop("__cell", "__touched")
+    counts = at.groupBy("__cell").agg(F.count("*").alias("__m")).join(touched.groupBy(F.col("__touched").alias("__cell")).agg(F.count("*").alias("__n")), "__cell")
+    size = lambda n: F.ceil(F.col(n) / CELL_ROWS).cast("int")
+    counts = shared.materialize(counts.select("__cell", size("__m").alias("__rows"), size("__n").alias("__columns"), (F.col("__m").cast("double") * F.col("__n")).alias("__pairs"), (F.col("__m") + F.col("__n")).alias("__both")), "cells")
+    tasks = counts.agg(F.ceil(F.sum("__pairs") / TASK_PAIRS + F.sum("__both") / TASK_ROWS)).first()[0] or 1
+    # Full cells are fewer than a row in CELL_ROWS.
+    full = F.broadcast(counts.filter("__rows > 1 or __columns > 1").select("__cell", "__rows", "__columns"))
+    some = lambda n: F.coalesce(F.col(n), F.lit(1))
+    part = lambda df, n: F.pmod(F.xxhash64(*df.columns), some(n)).cast("int")
+    copies = lambda n: F.explode(F.sequence(F.lit(0), some(n) - 1))
+    at = at.join(full, "__cell", "left").withColumn("__i", part(left, "__rows")).withColumn("__j", copies("__columns")).drop("__rows", "__columns")
+    full = full.withColumnRenamed("__cell", "__touched")
+    touched = touched.join(full, "__touched", "left").withColumn("__l", part(right, "__columns")).withColumn("__k", copies("__rows")).drop("__rows", "__columns")
+    at, touched = at.repartition(tasks, "__cell", "__i", "__j"), touched.repartition(tasks, "__touched", "__k", "__l")
+    met = (F.col("__cell") == F.col("__touched")) & (F.col("__i") == F.col("__k")) & (F.col("__j") == F.col("__l")) & F.col(point).between(F.col(low), F.col(high))
+    return at.hint("merge").join(touched, met).drop("__cell", "__touched", "__i", "__j", "__k", "__l")
 
 
 def overlap_join(left: DataFrame, right: DataFrame, by: str, start: str, end: str, width: float) -> DataFrame:

@@ -103,6 +103,21 @@ def test_range_and_overlap_joins(spark):
         assert sorted(rows(R.overlap_join(d, d, "k", "s", "e", width).select("l.id", "r.id"))) == want
 
 
+def test_full_cells_of_range_joins_are_dealt_out(spark, monkeypatch):
+    """A cell was one task's, though its pairs grow with the square of its rows."""
+    monkeypatch.setattr(R, "CELL_ROWS", 20)
+    monkeypatch.setattr(R, "TASK_PAIRS", 2000)
+    p = spark.createDataFrame([(i, float(i % 7) if i < 150 else None if i < 155 else 40.0 + i) for i in range(200)] + [(900, 3.0)] * 2, "id int, v double")
+    b = spark.createDataFrame([(i, i % 5 - 0.5, i % 5 + 1.5) for i in range(60)] + [(70, 5.0, None), (71, 4.0, 3.0)], "bid int, low double, high double")
+    want = sorted(rows(R.theta_join(p, b, F.col("v").between(F.col("low"), F.col("high"))).select("id", "bid")))
+    for width in (2, 50):
+        got = R.range_join(p, b, "v", "low", "high", width)
+        assert sorted(rows(got.select("id", "bid"))) == want and got.columns == ["id", "v", "bid", "low", "high"]
+        assert "SortMergeJoin" in got._jdf.queryExecution().executedPlan().toString()
+        sizes = [n for n in got.rdd.glom().map(len).collect() if n]
+        assert len(sizes) > 2 and max(sizes) < 0.7 * len(want)
+
+
 def test_numbering_by_ranges(spark):
     d = spark.createDataFrame([(v * 7 % 1009,) for v in range(1, 1009)], "v int").repartition(7)
     assert sorted(rows(encodings.numbered(d, "v", "n"))) == [(v, v - 1) for v in range(1, 1009)]
