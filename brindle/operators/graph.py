@@ -154,14 +154,18 @@ def _builder(metric: str, top: float, m: int, ef: int):
 def _asker(metric: str, top: float, k: int, ef: int):
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for row in batch.to_pylist():
+            shards, asked = batch.select(["ids", "vectors", "dim", "entry", "layers"]), batch.column("asked")
+            for i in range(len(batch)):  # one at a time, as a graph is many Python objects
+                row = shards.slice(i, 1).to_pylist()[0]
                 x = np.frombuffer(row["vectors"], np.float32).reshape(-1, row["dim"])
                 graph = Graph.of(V.as_l2(x.astype(np.float64), metric, top, False), row["entry"], [np.frombuffer(b, np.int32) for b in row["layers"]])
-                ids, q = np.array(row["ids"]), np.array([a["v"] for a in row["asked"]], np.float32).astype(np.float64)
-                for a, raw, moved in zip(row["asked"], q, V.as_l2(q, metric, top, True), strict=True):
+                ids, (query_ids, q) = np.array(row["ids"]), V._unpacked(asked[i])
+                found = []
+                for a, raw, moved in zip(query_ids.tolist(), q, V.as_l2(q, metric, top, True), strict=True):
                     near = np.array(graph.search(moved, k, ef), np.int64)
-                    d = V._distances(x[near].astype(np.float64), raw[None], metric)
-                    yield pa.RecordBatch.from_arrays([pa.array([a["id"]] * len(near), pa.int64()), pa.array(ids[near], pa.int64()), pa.array(d)], names=["query_id", "vec_id", "distance"])
+                    found.append((np.full(len(near), a), ids[near], V._distances(x[near].astype(np.float64), raw[None], metric)))
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*found, strict=True)], schema=V._PAIRS)
+        pa.default_memory_pool().release_unused()
 
     return ask
 
@@ -186,7 +190,7 @@ class GraphIndex:
         asked = V._packed(queries, self.vec_id, self.vector, V.QUERY_BLOCK).select(F.col("list").alias("asked"))
         n = stored.agg(F.max("shard")).first()[0]
         spread = asked.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(n)).cast("array<bigint>")))
-        met = spread.join(stored, "shard").select("ids", "vectors", "dim", "entry", "layers", "asked")
+        met = spread.repartition(n + 1, "shard").hint("merge").join(stored.repartition(n + 1, "shard"), "shard").select("ids", "vectors", "dim", "entry", "layers", "asked")
         return V._ranked(met.mapInArrow(_asker(self.metric, self.top, k, ef), "query_id bigint, vec_id bigint, distance double"), k, self.vec_id)
 
 

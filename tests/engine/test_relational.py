@@ -473,6 +473,22 @@ def test_samples_are_the_least_hashes(spark):
     assert len(vector._least_hashes(d, 5000, 9000, 5)) == 5000
 
 
+def test_graphs_are_asked_one_at_a_time():
+    """A batch of graphs and queries was made Python objects as a whole."""
+    x = np.random.default_rng(3).standard_normal((90, 4)).astype(np.float32)
+    kind = pa.schema([("ids", pa.list_(pa.int64())), ("vectors", pa.binary()), ("dim", pa.int32()), ("entry", pa.int32()), ("layers", pa.list_(pa.binary())), ("asked", pa.list_(pa.struct([("id", pa.int64()), ("v", pa.list_(pa.float32()))])))])
+    stored = []
+    for i in range(0, 90, 30):
+        entry, layers = graph.Graph(x[i : i + 30]).tables()
+        stored.append({"ids": list(range(i, i + 30)), "vectors": x[i : i + 30].tobytes(), "dim": 4, "entry": entry, "layers": [layer.tobytes() for layer in layers], "asked": [{"id": j, "v": x[j].tolist()} for j in (3, 40)]})
+    out = list(graph._asker("l2", 0.0, 5, 40)(iter([pa.RecordBatch.from_pylist(stored, schema=kind)])))
+    assert [b.num_rows for b in out] == [10, 10, 10]  # a batch for each graph and block of queries
+    got = pa.Table.from_batches(out).to_pylist()
+    best = {q: sorted((r["distance"], r["vec_id"]) for r in got if r["query_id"] == q)[:5] for q in (3, 40)}
+    for q, near in best.items():
+        assert [i for _, i in near] == np.argsort(((x.astype(float) - x[q]) ** 2).sum(1), kind="stable")[:5].tolist() and near[0] == (0, q)
+
+
 def test_vectors_of_different_lengths_are_errors(spark):
     d = spark.createDataFrame([(1, [1.0, 2.0]), (2, [1.0])], "vec_id bigint, embedding array<float>")
     with pytest.raises(Exception, match="differ in length"):
