@@ -6,9 +6,12 @@ vectors, of which a diverse few become neighbours: one is taken if it is closer
 to the new vector than to any taken before.  Searches walk greedily down from
 the top layer and run a beam of width ``ef`` on the lowest.
 
-A shard has at most about ``SHARD_ROWS`` vectors, so graphs are built and
-searched side by side, each as one row of a stored table.  A query is asked
-of every shard, in blocks, and the best of all are ranked.  Cosine and dot
+A shard has about ``SHARD_ROWS`` vectors, so graphs are built and searched
+side by side, each as one row of a stored table.  A query is asked of every
+shard, in blocks, and the best of all are ranked.  So there are ``SHARDS`` at
+most, which have more vectors then: a search in a larger graph takes hardly
+longer, while searches in ever more of them would grow with the square of the
+rows.  Cosine and dot
 products are searched as euclidean distances (see :func:`vector.as_l2`);
 distances given back are those of the metric.
 """
@@ -28,7 +31,7 @@ from pyspark.sql import functions as F
 from brindle.operators import vector as V
 from brindle.sources import shared
 
-SHARD_ROWS = 4096
+SHARD_ROWS, SHARDS = 4096, 12
 
 
 class Graph:
@@ -203,6 +206,7 @@ def build_graph(base: DataFrame, m: int = 16, ef: int = 100, metric: str = "l2",
     if not facts["n"]:
         return GraphIndex(None, metric, 0.0, vec_id, vector)
     path = path or shared.new_path(spark, "graph")
-    dealt = rows.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(-(-facts["n"] // SHARD_ROWS))))
+    shards = min(SHARDS, -(-facts["n"] // SHARD_ROWS))
+    dealt = rows.withColumn("shard", F.pmod(F.xxhash64("id"), F.lit(shards)))
     dealt.groupBy("shard").applyInArrow(_builder(metric, facts["top"], m, ef), _STORED).write.option("compression", "zstd").parquet(path)
     return GraphIndex(path, metric, facts["top"], vec_id, vector)

@@ -473,6 +473,20 @@ def test_samples_are_the_least_hashes(spark):
     assert len(vector._least_hashes(d, 5000, 9000, 5)) == 5000
 
 
+def test_graphs_are_few(spark, monkeypatch):
+    """Each query is asked of every graph, whose number grew with the rows."""
+    monkeypatch.setattr(graph, "SHARD_ROWS", 50)
+    monkeypatch.setattr(graph, "SHARDS", 4)
+    _, base = vectors(spark, 600)
+    index = graph.build_graph(base)
+    stored = spark.read.parquet(index.path).collect()
+    assert len(stored) == 4 and sorted(i for r in stored for i in r["ids"]) == list(range(600))
+    queries = base.filter("vec_id % 50 = 0")
+    found = {(r[0], r[2]) for r in rows(index.search_many(queries, 10, ef=100))}
+    exact = {(r[0], r[2]) for r in rows(vector.knn_join(base, queries, 10))}
+    assert len(found) == len(exact) == 120 and len(found & exact) >= 0.9 * len(exact)
+
+
 def test_graphs_are_asked_one_at_a_time():
     """A batch of graphs and queries was made Python objects as a whole."""
     x = np.random.default_rng(3).standard_normal((90, 4)).astype(np.float32)
